@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontaminate, ngram_join, spm, substring_dedup, toxicity
+from larkspur.llm import decontaminate, html_extract, licenses, media, ngram_join, quality, spm, substring_dedup, toxicity, url_filters
 from larkspur.llm.shared import held_out, table
 
 
@@ -18,6 +18,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_firsts").alias("first_doc_ids"), F.col("_ranges").alias("removed"), gone.alias("removed_chars"), F.length("text").alias("left_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+#: The rules of the query's contract.
+RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is the quality that labels gives its number."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("label"))
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels, RULES)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaks: a row for each document and benchmark item whose text it holds."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tk")
@@ -36,10 +46,40 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("_ids").alias("n_pieces"), F.col("_ids").alias("token_ids"), F.sha2("_decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each license notice found in a document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a page with one figure whose payload is the document's text; the page's reference is resolved by its digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = media.media_digest(F.col("text"))
+    page = F.concat(F.lit('<figure><img src="media:'), digest, F.lit('"><figcaption>text of document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("</figcaption></figure>"))
+    pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), page.alias("html"))
+    out = media.resolve(media.sequences(pages), media.store(docs))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("ref").alias("media_sha256"), "feature", "position", "caption")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", F.col("kept_key").alias("kept"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_benchmark_decontamination, op4_toxicity, op5_sentencepiece, op8_ngram_jaccard_join)}
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    p = quality.QualityFit()
+    out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), p))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= p.threshold).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_url_filters, op3_benchmark_decontamination, op4_toxicity, op5_sentencepiece, op6_license_scans, op7_media_columns, op8_ngram_jaccard_join, op9_html_extraction, op10_quality_classifier)
+}
 #: None of these operators can be stated in SQL at a bearable cost; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {}

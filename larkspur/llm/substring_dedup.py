@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import plus, ready
+from larkspur.llm.shared import cut, plus, ready
 from larkspur.llm.words import MARK, MUL, MUL_INV, Words, mix, steps, strings
 
 
@@ -93,35 +93,59 @@ def _merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def without(text: str, found: list[dict], p: SentenceSpans) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The text without the spans that it really holds, the removed ranges of characters, and the first places' ids."""
-    w = Words([text], sentences=True)
-    x = spans(w, p)
-    own = {(int(s), int(e)): int(h) for s, e, h in zip(x["start"], x["end"], x["hash"].view(np.int64), strict=True)}
-    real = [r for r in found if own.get((r["s"], r["e"])) == r["h"]]
-    if not real:
-        return text, [], []
+def _key(text: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix(mix(text.astype(np.uint64) * MUL + start.astype(np.uint64)) * MUL + end.astype(np.uint64)) ^ value.view(np.uint64)
+
+
+def without(text: str, tokens: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """The text without ranges of words, and the removed ranges of characters; tokens: each word's place among the text's tokens."""
     at = [m.span() for m in re.finditer(r"\S+", text.replace(MARK, " "))]
-    ranges = []
-    for s, e in _merged([(r["s"], r["e"]) for r in real]):
-        to = int(w.token[e]) if e < len(w.token) else len(at)
-        begin = at[int(w.token[s])][0]
-        ranges.append((begin, at[to][0] if to < len(at) else len(text)))
-    out, last = [], 0
+    out, gone, last = [], [], 0
     for s, e in ranges:
-        out.append(text[last:s])
-        last = e
-    return "".join(out) + text[last:], ranges, sorted({r["first"] for r in real})
+        to = int(tokens[e]) if e < len(tokens) else len(at)
+        begin, end = at[int(tokens[s])][0], at[to][0] if to < len(at) else len(text)
+        out.append(text[last:begin])
+        gone.append((begin, end))
+        last = end
+    return "".join(out) + text[last:], gone
+
+
+def cleaned(texts: list[str], owner: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray, first: np.ndarray, p: SentenceSpans) -> list[tuple[str, list[tuple[int, int]], list[int]]]:
+    """For each text: what is left without those of its spans that it really holds, the removed ranges, and the ids of the first places."""
+    w = Words(texts, sentences=True)
+    x = spans(w, p)
+    real = np.isin(_key(owner, start, end, value), _key(x["text"], x["start"], x["end"], x["hash"]))
+    by: dict[int, list[int]] = {}
+    for k in np.flatnonzero(real).tolist():
+        by.setdefault(int(owner[k]), []).append(k)
+    out = []
+    for t, text in enumerate(texts):
+        if t not in by:
+            out.append((text, [], []))
+            continue
+        k = np.array(by[t])
+        ranges = _merged(list(zip(start[k].tolist(), end[k].tolist(), strict=True)))
+        out.append((*without(text, w.token[w.first[t] : w.first[t + 1]], ranges), np.unique(first[k]).tolist()))
+    return out
 
 
 def _remove(batches: Iterator[pa.RecordBatch], p: SentenceSpans) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out, ranges, firsts = [], [], []
-        for text, found in zip(batch["text"].to_pylist(), batch["_found"].to_pylist(), strict=True):
-            t, r, f = without(text, found, p) if text and found else (text, [], [])
-            out.append(t)
-            ranges.append([{"start": s, "end": e} for s, e in r])
-            firsts.append(f)
+        n = batch.num_rows
+        out, ranges, firsts = batch["text"].to_pylist(), [[]] * n, [[]] * n
+        found = batch["_found"]
+        offsets = found.offsets.to_numpy().astype(np.int64)
+        values = found.values
+        columns = [values.field(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        size = np.where(found.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+        rows = [k for k in np.flatnonzero(size).tolist() if out[k]]
+        for a, b in steps([out[k] for k in rows]):
+            part = rows[a:b]
+            at = np.concatenate([np.arange(offsets[k], offsets[k + 1]) for k in part])
+            owner = np.repeat(np.arange(len(part)), size[part])
+            s, e, h, f = (c[at] for c in columns)
+            for k, (t, r, ids) in zip(part, cleaned([out[k] for k in part], owner, s, e, h, f, p), strict=True):
+                out[k], ranges[k], firsts[k] = t, [{"start": x, "end": y} for x, y in r], ids
         yield pa.RecordBatch.from_pydict({c: batch[c] for c in batch.schema.names if c != "_found"} | {"text": pa.array(out, pa.string()), "_ranges": pa.array(ranges, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "_firsts": pa.array(firsts, pa.list_(pa.int64()))})
 
 
@@ -129,7 +153,9 @@ def repeated_spans(docs: DataFrame, p: SentenceSpans = SentenceSpans()) -> DataF
     """Spans at other places than their first: h, doc_id, s, e (words), first (the first place's doc_id)."""
     ready(docs.sparkSession)
     made = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _spans(it, p), "h long, doc_id long, s int, e int")
+    # cut: so the join reads both sides from exchanges, and adaptive execution can split a hot hash
     first = made.groupBy("h").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("h", F.col("f.doc_id").alias("first"), F.col("f.s").alias("fs"))
+    first = cut(first)
     return made.join(first, "h").filter("doc_id <> first OR s <> fs").drop("fs")
 
 

@@ -113,63 +113,61 @@ def nodes(dom: Dom) -> Nodes:
     return Nodes(parent, features, n)
 
 
+#: The ties of parent and child that can be: below a mixed element any state, else the parent's own.
+TIES = {(MIXED, MIXED): 0, (MIXED, MAIN): 1, (MIXED, OTHER): 2, (MAIN, MAIN): 3, (OTHER, OTHER): 4}
+
+
 @dataclass
 class Potentials:
-    """Emission by feature; pair[parent][child] for elements and for texts; root."""
+    """For each feature, its potential with each tie; the ties' own, for elements and for texts; the root's states."""
 
-    emission: dict[tuple, tuple[float, float, float]]
-    unknown: tuple[float, float, float]
-    pair: list[list[float]]
-    pair_text: list[list[float]]
+    emission: dict[tuple, tuple[float, ...]]
+    unknown: tuple[float, ...]
+    pair: tuple[float, ...]
+    pair_text: tuple[float, ...]
     root: tuple[float, float, float]
 
 
 def marginals(x: Nodes, p: Potentials) -> list[float]:
     """Each text's marginal of being main text, by sum-product messages up and down the tree."""
     n = len(x.parent)
-    emission, get = p.emission, p.unknown
-    belief: list[list[float]] = []
-    for f in x.features:
-        a = b = c = 1.0
-        for k in f:
-            u, v, w = emission.get(k, get)
-            a *= u
-            b *= v
-            c *= w
-        belief.append([a, b, c])
+    emission, unknown = p.emission, p.unknown
+    ties: list[tuple[float, ...]] = [(1.0,) * 5] * n
+    for k in range(1, n):
+        a, b, c, d, e = p.pair_text if k >= x.first_text else p.pair
+        for f in x.features[k]:
+            v = emission.get(f, unknown)
+            a, b, c, d, e = a * v[0], b * v[1], c * v[2], d * v[3], e * v[4]
+        s = a + b + c + d + e
+        ties[k] = (a / s, b / s, c / s, d / s, e / s)
+    belief = [[1.0, 1.0, 1.0] for _ in range(n)]
     up: list[tuple[float, float, float]] = [(1.0, 1.0, 1.0)] * n
-    for part, pair in ((range(n - 1, x.first_text - 1, -1), p.pair_text), (range(x.first_text - 1, 0, -1), p.pair)):
-        (aa, ab, ac), (ba, bb, bc), (ca, cb, cc) = pair
+    for part in (range(n - 1, x.first_text - 1, -1), range(x.first_text - 1, 0, -1)):
         for k in part:
-            a, b, c = belief[k]
-            s = a + b + c
-            a, b, c = a / s, b / s, c / s
-            m = (aa * a + ab * b + ac * c, ba * a + bb * b + bc * c, ca * a + cb * b + cc * c)
-            up[k] = m
+            a, b, c, d, e = ties[k]
+            u, v, w = belief[k]
+            m = (a * u + b * v + c * w, d * v, e * w)
+            s = m[0] + m[1] + m[2]
+            up[k] = m = (max(m[0] / s, 1e-30), max(m[1] / s, 1e-30), max(m[2] / s, 1e-30))
             q = belief[x.parent[k]]
-            q[0] *= m[0]
-            q[1] *= m[1]
-            q[2] *= m[2]
-            s = q[0] + q[1] + q[2]
-            if s < 1e-100:
-                q[0], q[1], q[2] = q[0] / s, q[1] / s, q[2] / s
+            q[0], q[1], q[2] = q[0] * m[0], q[1] * m[1], q[2] * m[2]
+            s = max(q)
+            q[0], q[1], q[2] = max(q[0] / s, 1e-30), max(q[1] / s, 1e-30), max(q[2] / s, 1e-30)
     root = belief[0]
     for s in range(3):
         root[s] *= p.root[s]
     out = []
     for k in range(1, n):
-        pair = p.pair_text if k >= x.first_text else p.pair
         q, m = belief[x.parent[k]], up[k]
-        a, b, c = q[0] / m[0], q[1] / m[1], q[2] / m[2]
-        s = a + b + c
-        a, b, c = a / s, b / s, c / s
-        d = [a * pair[0][j] + b * pair[1][j] + c * pair[2][j] for j in range(3)]
-        v = belief[k]
-        v[0], v[1], v[2] = v[0] * d[0], v[1] * d[1], v[2] * d[2]
-        s = v[0] + v[1] + v[2]
-        v[0], v[1], v[2] = max(v[0] / s, 1e-12), max(v[1] / s, 1e-12), max(v[2] / s, 1e-12)
+        a, b, c, d, e = ties[k]
+        u, v, w = q[0] / m[0], q[1] / m[1], q[2] / m[2]
+        z = belief[k]
+        z[0], z[1], z[2] = z[0] * u * a, z[1] * (u * b + v * d), z[2] * (u * c + w * e)
+        s = z[0] + z[1] + z[2]
+        if s > 0:
+            z[0], z[1], z[2] = z[0] / s, z[1] / s, z[2] / s
         if k >= x.first_text:
-            out.append(v[1])
+            out.append(z[1])
     return out
 
 
@@ -198,15 +196,14 @@ def extract(page: str, p: Potentials) -> str:
 
 
 #: The features of a node aren't independent: each kind's potential is raised to a power.
-POWERS = {"role": 0.7, "name": 1.5, "links": 0.4, "chars": 0.3, "leaf": 0.6, "length": 0.3, "ends": 0.3}
+POWERS = {"role": 0.7, "name": 1.0, "links": 0.1, "chars": 0.3, "leaf": 0.1, "length": 0.3, "ends": 0.3}
 
 
-def fit(pages: Iterable[tuple[str, object]], smooth: float = 0.02, powers: dict[str, float] = POWERS) -> Potentials:
+def fit(pages: Iterable[tuple[str, object]], smooth: float = 0.05, powers: dict[str, float] = POWERS) -> Potentials:
     """From (html, is_main), where is_main(text piece) says whether a piece is main text (None: it doesn't count)."""
     seen: dict[tuple, list[float]] = {}
     total: dict[str, list[float]] = {}
-    pair = [[smooth] * 3 for _ in range(3)]
-    pair_text = [[smooth] * 3 for _ in range(3)]
+    ties = {False: [smooth] * 5, True: [smooth] * 5}
     root = [smooth] * 3
     for page, is_main in pages:
         dom = parse(page)
@@ -221,20 +218,22 @@ def fit(pages: Iterable[tuple[str, object]], smooth: float = 0.02, powers: dict[
             others[x.parent[k]] += others[k]
         state = [MIXED if a and b else MAIN if a else OTHER for a, b in zip(mains, others, strict=True)]
         root[state[0]] += 1
-        for k in range(len(x.parent)):
+        for k in range(1, len(x.parent)):
             if not (mains[k] or others[k]):
                 continue  # nothing to say
+            tie = TIES[state[x.parent[k]], state[k]]
+            ties[k >= x.first_text][tie] += 1
             for f in x.features[k]:
-                seen.setdefault(f, [0.0] * 3)[state[k]] += 1
-                total.setdefault(f[0], [0.0] * 3)[state[k]] += 1
-            if k:
-                (pair_text if k >= x.first_text else pair)[state[x.parent[k]]][state[k]] += 1
-    # a text is never mixed
-    for row in pair_text:
-        row[MIXED] = 1e-9
+                seen.setdefault(f, [0.0] * 5)[tie] += 1
+                total.setdefault(f[0], [0.0] * 5)[tie] += 1
     values = {k: sum(1 for f in seen if f[0] == k) for k in total}
     emission = {f: tuple(((v + smooth) / (t + smooth * (values[f[0]] + 1))) ** powers[f[0]] for v, t in zip(c, total[f[0]], strict=True)) for f, c in seen.items()}
-    return Potentials(emission, (0.02, 0.02, 0.02), [[v / sum(r) for v in r] for r in pair], [[v / sum(r) for v in r] for r in pair_text], tuple(v / sum(root) for v in root))
+
+    def own(t: list[float], text: bool) -> tuple[float, ...]:
+        mixed = t[1] + t[2] if text else t[0] + t[1] + t[2]
+        return (0.0 if text else t[0] / mixed, t[1] / mixed, t[2] / mixed, 1.0, 1.0)  # a text is never mixed
+
+    return Potentials(emission, (0.02,) * 5, own(ties[False], False), own(ties[True], True), tuple(v / sum(root) for v in root))
 
 
 def labelled_pages(count: int = 1200, seed: int = 7) -> Iterator[tuple[str, object]]:

@@ -4,7 +4,9 @@ Texts are folded first: lower case, homoglyphs of other scripts and digits or
 signs used as letters become Latin letters. The lexicon is learned from a
 bounded sample of labelled rows: beginnings of words (of 4 to 8 characters, or
 whole) whose share among toxic documents is far above that among others, with
-the log of that ratio as weight. Exception phrases are whole words that begin
+the log of that ratio as weight. A beginning must follow several different
+words among the toxic documents, so that a text with many copies doesn't make
+all its words look toxic. Exception phrases are whole words that begin
 with a lexicon entry but don't follow its label; a match inside one doesn't
 count. The score is a logistic function of the weights' sum and of that sum
 divided by the text's words.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,7 +43,8 @@ class ToxicityFit:
     train_rows: int = 12_000
     lengths: tuple[int, ...] = (4, 5, 6, 7, 8)
     least_documents: int = 3
-    least_weight: float = 1.6
+    least_weight: float = 2.2
+    least_contexts: int = 5
     entries: int = 400
     exceptions: int = 2_000
     threshold: float = 0.7
@@ -90,26 +94,30 @@ def _values(total: float, count: int, words: int) -> tuple[float, float]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], p: ToxicityFit) -> Iterator[pa.RecordBatch]:
-    """For each beginning and whole word (marked by a full stop), the toxic and other documents with it, of one task."""
+    """For each beginning and whole word (marked by a full stop), the toxic and other documents with it, of one task; contexts: a bit for each hash value of the word before it in a toxic document."""
     tox: Counter = Counter()
     other: Counter = Counter()
+    contexts: dict[str, int] = {}
     for batch in batches:
         for text, label in zip(strings(batch["text"]), batch["label"].to_pylist(), strict=True):
-            seen = set()
-            for w in set(_WORD.findall(fold(text))):
-                seen.add(w + ".")
+            seen: dict[str, int] = {}
+            before = ""
+            for w in _WORD.findall(fold(text)):
+                bit = 1 << (zlib.crc32(before.encode()) % 63) if label else 0
+                seen[w + "."] = seen.get(w + ".", 0) | bit
+                before = w
+            for key, bits in list(seen.items()):
                 for n in p.lengths:
-                    if len(w) >= n:
-                        seen.add(w[:n])
-            (tox if label else other).update(seen)
-    keys = [k for k, v in tox.items()]
-    rest = [k for k in other if k not in tox]
+                    if len(key) > n:
+                        seen[key[:n]] = seen.get(key[:n], 0) | bits
+            (tox if label else other).update(seen.keys())
+            if label:
+                for k, bits in seen.items():
+                    contexts[k] = contexts.get(k, 0) | bits
+    keys = list(tox | other)
     for a in range(0, len(keys), 20_000):
         k = keys[a : a + 20_000]
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(k), "tox": pa.array([tox[x] for x in k]), "other": pa.array([other[x] for x in k])})
-    for a in range(0, len(rest), 20_000):
-        k = rest[a : a + 20_000]
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(k), "tox": pa.array([0] * len(k)), "other": pa.array([other[x] for x in k])})
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(k), "tox": pa.array([tox[x] for x in k]), "other": pa.array([other[x] for x in k]), "contexts": pa.array([contexts.get(x, 0) for x in k], pa.int64())})
 
 
 def _match_rows(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
@@ -155,10 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityFit = ToxicityFit()) -> L
     if not toxic or not other:
         rows.unpersist()
         return lexicon
-    counts = rows.select("text", (F.col("label") == 1).alias("label")).mapInArrow(lambda it: _counts(it, p), "gram string, tox long, other long").groupBy("gram").agg(F.sum("tox").alias("tox"), F.sum("other").alias("other"))
+    counts = rows.select("text", (F.col("label") == 1).alias("label")).mapInArrow(lambda it: _counts(it, p), "gram string, tox long, other long, contexts long").groupBy("gram").agg(F.sum("tox").alias("tox"), F.sum("other").alias("other"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
     weight = F.log((F.col("tox") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
     counts = counts.withColumn("weight", weight).persist()
-    found = counts.filter((F.col("tox") >= p.least_documents) & (F.col("weight") >= p.least_weight) & ~F.col("gram").endswith("."))
+    found = counts.filter((F.col("tox") >= p.least_documents) & (F.col("weight") >= p.least_weight) & (F.col("contexts") >= p.least_contexts) & ~F.col("gram").endswith("."))
     # evidence: how surely the ratio isn't chance (the signed root of the likelihood ratio's main term)
     found = found.withColumn("proof", F.col("weight") * F.sqrt("tox")).orderBy(F.desc("proof"), F.length("gram"), "gram").limit(20 * p.entries).collect()
     chosen: dict[str, tuple[float, int]] = {}
@@ -166,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityFit = ToxicityFit()) -> L
         g = r["gram"]
         if len(chosen) >= p.entries:
             break
-        if any(g.startswith(k) or k.startswith(g) for k in chosen) or r["proof"] < 6:
+        if any(g.startswith(k) or k.startswith(g) for k in chosen) or r["proof"] < 8:
             continue
         chosen[g] = (r["weight"], r["tox"])
     # the longest beginning with the same documents says the same and matches less
@@ -180,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityFit = ToxicityFit()) -> L
     if lexicon.weights:
         begins = F.lit(False)
         words = F.col("gram").endswith(".") & (F.col("other") >= 3) & (F.col("weight") < 0)
-        for g in lexicon.weights:
-            begins = begins | F.col("gram").startswith(g)
+        for n in sorted({len(g) for g in lexicon.weights}):
+            begins = begins | F.substring("gram", 1, n).isin([g for g in lexicon.weights if len(g) == n])
         lexicon.exceptions = {r["gram"][:-1] for r in counts.filter(words & begins).orderBy(F.desc("other"), "gram").limit(p.exceptions).select("gram").collect()}
     counts.unpersist()
     got = rows.mapInArrow(lambda it: _match_rows(it, lexicon), "label int, total double, count long, words long").collect()

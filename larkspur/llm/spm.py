@@ -65,9 +65,8 @@ class Automaton:
         """The pieces of a text as it stands, without a space put in front; an unknown character is a piece by itself."""
         if not text:
             return []
-        # a line end in front keeps the model's own space apart from the text: it is no part of a longer piece
         pieces, held = [], bytearray()
-        for x in self.sp.encode("\n" + text.replace(SPACE, " "))[2:]:
+        for x in self.raw_ids(text).tolist():
             if x in self.byte:
                 held.append(self.byte[x])
                 continue
@@ -76,6 +75,10 @@ class Automaton:
             pieces.append(self.piece[x])
         return pieces + list(held.decode())
 
+    def raw_ids(self, text: str) -> np.ndarray:
+        # a line end in front keeps the model's own space apart from the text: it is no part of a longer piece
+        return self.sp.encode("\n" + text.replace(SPACE, " "), return_type="numpy")[2:]
+
     def valid(self, a: str, b: str) -> bool:
         got = self._valid.get((a, b))
         if got is None:
@@ -213,14 +216,23 @@ def times(x: Matrix, y: Matrix) -> Matrix:
     return out
 
 
-def trace(a: Automaton, text: str, start: int, end: int, enter: State, leave: State) -> list[str]:
-    """The chunk's own pieces: those that begin in it."""
+def trace(a: Automaton, text: str, start: int, end: int, enter: State, leave: State) -> np.ndarray:
+    """The ids of the chunk's own pieces: those that begin in it."""
     calm = inner(a, text, start, end)
     if calm is None:
-        return [x for x, _ in walk(a, text, start, end, enter)[leave]]
+        return np.array(a.ids([x for x, _ in walk(a, text, start, end, enter)[leave]]), np.int32)
     head = [x for x, _ in walk(a, text, start, calm[0], enter)[("", 0)]] if calm[0] > start else []
     tail = [x for x, _ in walk(a, text, calm[1], end, ("", 0))[leave]] if calm[1] < end else []
-    return head + a.raw(text[calm[0] : calm[1]]) + tail
+    return np.concatenate([np.array(a.ids(head), np.int32), a.raw_ids(text[calm[0] : calm[1]]).astype(np.int32), np.array(a.ids(tail), np.int32)])
+
+
+def lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """An Arrow column of lists of ids."""
+    size = np.array([0 if x is None else len(x) for x in parts], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int32), *(x for x in parts if x is not None)]).astype(np.int32)
+    missing = np.array([x is None for x in parts], bool)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(missing) if missing.any() else None)
 
 
 def borders(length: int, chunk: int) -> list[int]:
@@ -255,8 +267,8 @@ def _borders(rows: pa.Table) -> pa.Table:
 def _traces(batches: Iterator[pa.RecordBatch], p: Pieces) -> Iterator[pa.RecordBatch]:
     a = automaton(p.model)
     for batch in batches:
-        ids = [a.ids(trace(a, r["around"], r["s"], r["e"], (r["enter"], r["enter_at"]), (r["leave"], r["leave_at"]))) for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_pydict({"_row": batch["_row"], "n": batch["n"], "ids": pa.array(ids, pa.list_(pa.int32()))})
+        ids = [trace(a, r["around"], r["s"], r["e"], (r["enter"], r["enter_at"]), (r["leave"], r["leave_at"])) for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_pydict({"_row": batch["_row"], "n": batch["n"], "ids": lists(ids)})
 
 
 def dump(m: Matrix) -> str:
@@ -274,10 +286,10 @@ def encode_text(text: str, p: Pieces = Pieces()) -> list[int]:
         return a.sp.encode(text)
     text = SPACE + text.replace(" ", SPACE)
     cuts = borders(len(text), p.chunk)
-    pieces: list[str] = []
+    ids: list[int] = []
     for s, e, (enter, leave) in zip(cuts, cuts[1:], scan([transfer(a, text, s, e) for s, e in zip(cuts, cuts[1:], strict=False)]), strict=False):
-        pieces += trace(a, text, s, e, enter, leave)
-    return a.ids(pieces)
+        ids += trace(a, text, s, e, enter, leave).tolist()
+    return ids
 
 
 def scan(matrices: list[Matrix]) -> list[tuple[State, State]]:
@@ -303,9 +315,9 @@ def _whole(batches: Iterator[pa.RecordBatch], p: Pieces) -> Iterator[pa.RecordBa
         texts = batch["text"].to_pylist()
         for k in range(0, max(len(texts), 1), 256):
             part = texts[k : k + 256]
-            ids = [None if t is None else sp.encode(t) for t in part]
+            ids = [None if t is None else sp.encode(t, return_type="numpy") for t in part]
             out = {c: batch[c].slice(k, len(part)) for c in batch.schema.names}
-            yield pa.RecordBatch.from_pydict(out | {"_ids": pa.array(ids, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict(out | {"_ids": lists(ids)})
 
 
 def encode(docs: DataFrame, p: Pieces = Pieces()) -> DataFrame:
@@ -332,7 +344,9 @@ def _decode(batches: Iterator[pa.RecordBatch], p: Pieces, ids: str, out: str) ->
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            texts = [None if x is None else sp.decode(x) for x in part[ids].to_pylist()]
+            column = part[ids]
+            at, values = column.offsets.to_numpy(), column.values.to_numpy()
+            texts = [sp.decode(values[at[i] : at[i + 1]]) if column.is_valid()[i].as_py() else None for i in range(len(column))]
             yield pa.RecordBatch.from_pydict({c: part[c] for c in part.schema.names} | {out: pa.array(texts, pa.string())})
 
 

@@ -1,6 +1,545 @@
-"""The named queries and their SQL."""
+"""The named queries over the synthetic tables, and SQL that says the same.
+
+Bindings: class = events.event_type, embeddings.label or documents.lang; client
+= user_id or vec_id modulo 5; record = a document with its text's SHA-256 and
+its first line as leaf; run = mean order price by (status, segment, arm, region).
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.functions import scalars as S
+from larkspur.operators import accounting, curation, evaluation, federated, inference, models, partitions, similarity, vectors
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(F.col(c), digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+# ---------------------------------------------------------------- bindings
+
+
+def events(spark, d):
+    return table(spark, d, "events").select("event_type", (F.col("user_id") % 5).alias("client"))
+
+
+def grid(spark, d):
+    return partitions.class_client_grid(events(spark, d), "event_type", "client")
+
+
+GRID = """c AS (SELECT event_type AS class_name, user_id % 5 AS client, count(*) AS n FROM events GROUP BY 1, 2),
+g AS (SELECT a.class_name, b.client, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT class_name FROM c) a CROSS JOIN (SELECT DISTINCT client FROM c) b LEFT JOIN c USING (class_name, client))"""
+
+
+def local_vectors(spark, d):
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("client"), "embedding")
+    return vectors.exploded(e, "client", "embedding").groupBy("client", "pos").agg(F.avg("w").alias("w"), F.count("*").alias("n"))
+
+
+def global_vector(spark, d):
+    return vectors.exploded(table(spark, d, "embeddings"), "vec_id", "embedding").groupBy("pos").agg(F.avg("w").alias("w"))
+
+
+VEC = """x AS (SELECT vec_id % 5 AS client, unnest(embedding)::DOUBLE AS w, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+v AS (SELECT client, pos, avg(w) AS w, count(*) AS n FROM x GROUP BY 1, 2), b AS (SELECT pos, avg(w) AS g FROM x GROUP BY 1)"""
+KRUM = """d AS (SELECT a.client, b.client AS other, sum((a.w - b.w) * (a.w - b.w)) AS d FROM v a JOIN v b ON a.pos = b.pos AND a.client <> b.client GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY d, other) AS rn FROM d), k AS (SELECT client, sum(d) AS score FROM r WHERE rn <= 2 GROUP BY 1)"""
+
+
+def predictions(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).when(F.col("vec_id") % 11 == 0, (F.col("label") * 3) % 10).otherwise(F.col("label")).cast("int").alias("predicted"))
+
+
+PRED = "p AS (SELECT vec_id, label, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 WHEN vec_id % 11 = 0 THEN (label * 3) % 10 ELSE label END)::INT AS predicted FROM embeddings)"
+CLASSES = (
+    PRED
+    + """, s AS (SELECT label AS class, count(*) AS support, sum((label = predicted)::INT)::BIGINT AS tp FROM p GROUP BY 1), q AS (SELECT predicted AS class, count(*) AS said FROM p GROUP BY 1),
+j AS (SELECT coalesce(s.class, q.class) AS class, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(said, 0) AS said FROM s FULL JOIN q ON s.class = q.class),
+k AS (SELECT class, support, tp, CASE WHEN said > 0 THEN tp / said::DOUBLE ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support::DOUBLE ELSE 0 END AS recall FROM j),
+m AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM k)"""
+)
+
+
+def records(spark, d):
+    docs = table(spark, d, "documents")
+    line = F.split("text", "\n")
+    return docs.select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.col("lang").alias("class_name"), F.sha2("text", 256).alias("sha256"), F.when(F.size(line) > 1, line[0]).alias("leaf_id"), F.concat("lang", F.lit("-"), "source").alias("group_id"), "doc_id")
+
+
+REC = """rec AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS path, lang AS class_name, sha256(text) AS sha256, CASE WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) END AS leaf_id, lang || '-' || source AS group_id, doc_id FROM documents)"""
+
+
+def groups(spark, d):
+    return records(spark, d).groupBy("class_name", "group_id").agg(F.count("*").alias("n"))
+
+
+def splits(spark, d, k=10):
+    m = F.col("doc_id") % k
+    return records(spark, d).withColumn("split", F.when(m < 7, "train").when(m < 9, "validation").otherwise("test"))
+
+
+SPLIT = "CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'validation' ELSE 'test' END"
+
+
+def hashes(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select(F.lpad(F.col("vec_id").cast("string"), 9, "0").alias("path"), F.col("label").alias("class_name"), S.sign_bits(F.col("embedding")).alias("h"))
+
+
+RADIUS = 20
+PAIRS = f"""x AS (SELECT lpad(vec_id::VARCHAR, 9, '0') AS path, label AS class_name, embedding AS e FROM embeddings),
+pairs AS (SELECT a.class_name, a.path AS left_path, b.path AS right_path, list_sum(list_transform(list_zip(a.e, b.e), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END))::INT AS distance FROM x a JOIN x b ON a.class_name = b.class_name AND a.path < b.path),
+h AS (SELECT * FROM pairs WHERE distance <= {RADIUS})"""
+
+
+def runs(spark, d):
+    """(alpha, pair, arm, seed, value): one job each."""
+    c, n, o = (table(spark, d, x) for x in ("customer", "nation", "orders"))
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    return j.groupBy(F.col("o_orderstatus").alias("alpha"), F.col("c_mktsegment").alias("pair"), (F.col("o_custkey") % 2).alias("arm"), F.col("n_regionkey").alias("seed")).agg((F.avg("o_totalprice") / 100000).alias("value"))
+
+
+RUNS = "runs AS (SELECT o_orderstatus AS alpha, c_mktsegment AS pair, o_custkey % 2 AS arm, n_regionkey AS seed, avg(o_totalprice) / 100000 AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4)"
+
+
+def diffs(spark, d):
+    """Per alpha and seed: the arms' difference of the mean over pairs."""
+    block = runs(spark, d).groupBy("alpha", "seed", "arm").agg(F.avg("value").alias("value"))
+    return inference.paired(block, "arm", "value", 1, 0, ["alpha", "seed"])
+
+
+DIFFS = RUNS + ", bl AS (SELECT alpha, seed, arm, avg(value) AS value FROM runs GROUP BY 1, 2, 3), df AS (SELECT a.alpha, a.seed, a.value - b.value AS diff FROM bl a JOIN bl b ON a.alpha = b.alpha AND a.seed = b.seed AND a.arm = 1 AND b.arm = 0)"
+MASKS = DIFFS + """, nd AS (SELECT *, row_number() OVER (PARTITION BY alpha ORDER BY diff) - 1 AS i, count(*) OVER (PARTITION BY alpha) AS n FROM df),
+mk AS (SELECT alpha, n, unnest(range(0, (1 << n)::BIGINT)) AS mask FROM (SELECT DISTINCT alpha, n FROM nd)),
+st AS (SELECT mk.alpha, mk.n, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN -diff ELSE diff END) AS total FROM mk JOIN nd ON mk.alpha = nd.alpha GROUP BY 1, 2, 3),
+sf AS (SELECT st.alpha, any_value(st.n) AS n, any_value(o.mean) AS mean, avg((abs(total / st.n) + 1e-12 >= abs(o.mean))::INT::DOUBLE) AS p FROM st JOIN (SELECT alpha, avg(diff) AS mean FROM df GROUP BY 1) o ON st.alpha = o.alpha GROUP BY 1)"""
+WILCOX = """, wn AS (SELECT alpha, diff AS v, rank() OVER (PARTITION BY alpha ORDER BY round(abs(diff), 12)) + (count(*) OVER (PARTITION BY alpha, round(abs(diff), 12)) - 1) / 2.0::DOUBLE AS r, row_number() OVER (PARTITION BY alpha ORDER BY diff) - 1 AS i, count(*) OVER (PARTITION BY alpha) AS n FROM df WHERE abs(diff) > 1e-12),
+wm AS (SELECT alpha, unnest(range(0, (1 << n)::BIGINT)) AS mask FROM (SELECT DISTINCT alpha, n FROM wn)),
+ws AS (SELECT wm.alpha, mask, sum(CASE WHEN (mask >> i) & 1 = 1 THEN -r ELSE r END) AS total FROM wm JOIN wn ON wm.alpha = wn.alpha GROUP BY 1, 2),
+wx AS (SELECT ws.alpha, any_value(o.w) AS w, avg((abs(total) + 1e-9 >= abs(o.w))::INT::DOUBLE) AS p FROM ws JOIN (SELECT alpha, sum(sign(v) * r) AS w FROM wn GROUP BY 1) o ON ws.alpha = o.alpha GROUP BY 1)"""
+
+
+# ------------------------------------------------------- shares of classes
+
+
+@query(f"""WITH {GRID}, p AS (SELECT *, n / sum(n) OVER (PARTITION BY class_name)::DOUBLE AS p FROM g), h AS (SELECT class_name, sum(n)::BIGINT AS n, max(p) AS monopoly, sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) AS e, count(*) AS k, sum((n > 0)::INT)::BIGINT AS clients_with_samples FROM p GROUP BY 1)
+SELECT class_name, n, round(monopoly, 6) AS monopoly, round(e, 6) + 0 AS entropy, round(CASE WHEN k > 1 THEN e / ln(k) ELSE 0 END, 6) + 0 AS normalized_entropy, round(exp(e), 6) AS effective_clients, clients_with_samples FROM h""")
+def class_heterogeneity(spark, d):
+    return rounded(partitions.heterogeneity(grid(spark, d)))
+
+
+@query(f"WITH {GRID} SELECT client, sum(n)::BIGINT AS n, sum((n > 0)::INT)::BIGINT AS classes, round(sum(n) / (SELECT sum(n) FROM g)::DOUBLE, 6) AS share FROM g GROUP BY 1")
+def client_totals(spark, d):
+    return rounded(partitions.client_totals(grid(spark, d)))
+
+
+@query(f"WITH {GRID} SELECT client, n FROM g WHERE class_name = 'click' ORDER BY n DESC, client LIMIT 1")
+def attacker_by_class(spark, d):
+    return partitions.attackers(grid(spark, d), "click")
+
+
+# ----------------------------------------------------------------- metrics
+
+
+@query(f"""WITH {CLASSES} SELECT round(sum(tp) / sum(support)::DOUBLE, 6) AS accuracy, round(avg(recall) FILTER (support > 0), 6) AS balanced_accuracy, round(avg(f1) FILTER (support > 0), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, round(min(recall) FILTER (support > 0), 6) AS worst_recall, round(quantile_cont(recall, 0.1) FILTER (support > 0), 6) AS p10_recall FROM m""")
+def confusion_metrics(spark, d):
+    return rounded(evaluation.metrics(evaluation.confusion(predictions(spark, d), "label", "predicted")))
+
+
+@query(f"WITH {CLASSES} SELECT class, support, tp, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m")
+def class_metrics(spark, d):
+    return rounded(evaluation.class_metrics(evaluation.confusion(predictions(spark, d), "label", "predicted")))
+
+
+@query(f"""WITH {PRED}, c AS (SELECT label AS target, predicted, count(*) AS n FROM p GROUP BY 1, 2), t AS (SELECT target, sum(n) AS support, sum(CASE WHEN target = predicted THEN n ELSE 0 END) AS ok FROM c GROUP BY 1)
+SELECT c.target, predicted, n, round(n / support::DOUBLE, 6) AS rate, round(n / nullif(support - ok, 0)::DOUBLE, 6) AS share_of_errors FROM c JOIN t ON c.target = t.target WHERE c.target <> predicted""")
+def confusion_rates(spark, d):
+    return rounded(evaluation.confusion_rates(evaluation.confusion(predictions(spark, d), "label", "predicted")))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding[1:10])::DOUBLE AS v, generate_subscripts(embedding[1:10], 1) - 1 AS i FROM embeddings), e AS (SELECT vec_id, i, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS rank FROM e) SELECT vec_id, rank, i::INT AS class_index, round(p, 6) AS probability FROM r WHERE rank <= 3""")
+def top3_classes(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", S.top_k(S.softmax(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))), 3).alias("top"))
+    return rounded(e.select("vec_id", F.posexplode("top").alias("r", "t")).select("vec_id", (F.col("r") + 1).cast("long").alias("rank"), F.col("t.class_index").alias("class_index"), F.col("t.probability").alias("probability")))
+
+
+# ------------------------------------------------------ vector aggregation
+
+
+@query(f"WITH {VEC} SELECT pos::INT AS pos, round(sum(w * n) / sum(n), 6) + 0 AS w FROM v GROUP BY 1")
+def fedavg_mean(spark, d):
+    return rounded(vectors.fedavg(local_vectors(spark, d)))
+
+
+@query(f"WITH {VEC} SELECT pos::INT AS pos, round(quantile_cont(w, 0.5), 6) + 0 AS w FROM v GROUP BY 1")
+def coordinate_median(spark, d):
+    return rounded(vectors.coordinate_median(local_vectors(spark, d)))
+
+
+@query(f"WITH {VEC}, r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY w, client) AS rn FROM v) SELECT pos::INT AS pos, round(avg(w), 6) + 0 AS w FROM r WHERE rn > 1 AND rn <= 4 GROUP BY 1")
+def trimmed_mean(spark, d):
+    return rounded(vectors.trimmed_mean(local_vectors(spark, d), 5))
+
+
+@query(f"WITH {VEC}, {KRUM} SELECT client, round(score, 6) AS score FROM k")
+def krum_scores(spark, d):
+    return rounded(vectors.krum_scores(local_vectors(spark, d), 5))
+
+
+@query(f"WITH {VEC}, {KRUM}, z AS (SELECT client FROM k ORDER BY round(score, 9), client LIMIT 4) SELECT pos::INT AS pos, round(sum(w * n) / sum(n), 6) + 0 AS w FROM v WHERE client IN (SELECT client FROM z) GROUP BY 1")
+def multikrum_mean(spark, d):
+    return rounded(vectors.multikrum(local_vectors(spark, d), 5))
+
+
+@query(f"WITH {VEC} SELECT client, v.pos::INT AS pos, round(g - 0.5 * (w - g), 6) + 0 AS sent FROM v JOIN b USING (pos)")
+def scale_delta(spark, d):
+    return rounded(vectors.scaled(local_vectors(spark, d), global_vector(spark, d), -0.5).select("client", "pos", "sent"))
+
+
+@query(f"WITH {VEC} SELECT client, round(sqrt(sum((w - g) * (w - g))), 6) AS clean_l2, round(0.5 * sqrt(sum((w - g) * (w - g))), 6) AS sent_l2 FROM v JOIN b USING (pos) GROUP BY 1")
+def delta_norms(spark, d):
+    return rounded(vectors.delta_norms(vectors.scaled(local_vectors(spark, d), global_vector(spark, d), -0.5)))
+
+
+@query(f"WITH {VEC}, q AS (SELECT client, sqrt(sum((w - g) * (w - g))) AS norm FROM v JOIN b USING (pos) GROUP BY 1) SELECT v.client, v.pos::INT AS pos, round(g + (w - g) * CASE WHEN norm > 0.5 THEN 0.5 / norm ELSE 1 END, 6) + 0 AS w, round(norm, 6) AS norm FROM v JOIN b USING (pos) JOIN q USING (client)")
+def clip_update(spark, d):
+    return rounded(vectors.clipped(local_vectors(spark, d), global_vector(spark, d), 0.5))
+
+
+# ---------------------------------------------------------------- curation
+
+
+@query(f"""WITH RECURSIVE {REC}, ke AS (SELECT path, '0:' || leaf_id AS key FROM rec WHERE leaf_id IS NOT NULL UNION SELECT path, '1:' || sha256 FROM rec), ed AS (SELECT DISTINCT a.path AS x, b.path AS y FROM ke a JOIN ke b USING (key)),
+re AS (SELECT path AS x, path AS y FROM rec UNION SELECT re.x, ed.y FROM re JOIN ed ON re.y = ed.x), ro AS (SELECT x AS path, min(y) AS root FROM re GROUP BY 1),
+gi AS (SELECT root, 'pv-' || substr(sha256(string_agg(path, chr(10) ORDER BY path)), 1, 20) AS group_id, count(*) AS group_size FROM ro GROUP BY 1) SELECT path, gi.group_id, group_size FROM ro JOIN gi USING (root)""")
+def content_groups(spark, d):
+    r = records(spark, d).select("path", "leaf_id", "sha256")
+    return curation.with_group_id(r, "path", curation.shared_key_components(r, "path", ["leaf_id", "sha256"])).select("path", "group_id", "group_size")
+
+
+@query(f"WITH {REC}, s AS (SELECT sha256, count(*) AS n, min(class_name) AS a, max(class_name) AS b FROM rec GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS duplicate_sets, coalesce(sum(n), 0)::BIGINT AS duplicate_images, coalesce(sum((a <> b)::INT), 0)::BIGINT AS label_conflicts FROM s")
+def exact_duplicate_stats(spark, d):
+    return curation.duplicate_sets(records(spark, d), "sha256", "class_name")
+
+
+@query(f"WITH {REC} SELECT class_name, count(*) AS images, count(leaf_id) AS mapped, count(*) - count(leaf_id) AS unmapped FROM rec GROUP BY 1")
+def coverage_by_class(spark, d):
+    return curation.coverage(records(spark, d), "class_name", "leaf_id")
+
+
+@query(f"WITH {REC}, g AS (SELECT class_name FROM rec GROUP BY 1 HAVING count(leaf_id) / greatest(count(*), 1)::DOUBLE >= 0.9) SELECT class_name, count(*) AS images FROM rec WHERE leaf_id IS NOT NULL AND class_name IN (SELECT class_name FROM g) GROUP BY 1")
+def eligible_classes(spark, d):
+    return curation.eligible(records(spark, d), "class_name", "leaf_id", 0.9).groupBy("class_name").agg(F.count("*").alias("images"))
+
+
+@query(f"WITH {REC}, z AS (SELECT *, {SPLIT} AS split FROM rec), c AS (SELECT class_name, split, count(*) AS images, count(DISTINCT group_id) AS groups FROM z GROUP BY 1, 2) SELECT a.class_name, s.split, coalesce(images, 0) AS images, coalesce(groups, 0) AS groups FROM (SELECT DISTINCT class_name FROM rec) a CROSS JOIN (SELECT unnest(['train', 'validation', 'test']) AS split) s LEFT JOIN c ON a.class_name = c.class_name AND s.split = c.split")
+def split_validation(spark, d):
+    return curation.split_counts(splits(spark, d), "class_name", "split", partitions.SPLITS)
+
+
+@query(f"WITH {REC}, z AS (SELECT *, {SPLIT} AS split FROM rec) SELECT sha256 AS key, count(DISTINCT split) AS splits, count(*) AS images FROM z GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def leak_check(spark, d):
+    return curation.leaks(splits(spark, d), "sha256", "split")
+
+
+@query(f"WITH {REC}, f AS (SELECT sha256 AS group_id, count(leaf_id) > 0 AS has_leaf, count(*) > 1 AS has_copy, count(*) AS images FROM rec GROUP BY 1) SELECT CASE WHEN has_leaf AND has_copy THEN 'leaf_id+sha256' WHEN has_leaf THEN 'leaf_id' WHEN has_copy THEN 'sha256' ELSE 'singleton' END AS group_source, count(*) AS groups, sum(images)::BIGINT AS images FROM f GROUP BY 1")
+def group_sources(spark, d):
+    r = records(spark, d).withColumn("g", F.col("sha256"))
+    facts = r.groupBy("g").agg((F.count("leaf_id") > 0).alias("l"), F.count("*").alias("n"))
+    src = F.when(F.col("l") & (F.col("n") > 1), "leaf_id+sha256").when(F.col("l"), "leaf_id").when(F.col("n") > 1, "sha256").otherwise("singleton")
+    return facts.groupBy(src.alias("group_source")).agg(F.count("*").alias("groups"), F.sum("n").alias("images"))
+
+
+@query(f"""WITH RECURSIVE {REC}, gr AS (SELECT class_name, group_id, count(*) AS n FROM rec GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY n DESC, sha256('20260824:cap:' || group_id), group_id) AS rn FROM gr),
+f AS (SELECT class_name, group_id, n, rn, CASE WHEN n <= 60 THEN n ELSE 0 END AS used, n <= 60 AS taken FROM o WHERE rn = 1 UNION ALL SELECT o.class_name, o.group_id, o.n, o.rn, f.used + CASE WHEN f.used + o.n <= 60 THEN o.n ELSE 0 END, f.used + o.n <= 60 FROM f JOIN o ON f.class_name = o.class_name AND o.rn = f.rn + 1) SELECT class_name, group_id, n FROM f WHERE taken""")
+def capped_groups(spark, d):
+    return partitions.capped_groups(groups(spark, d), 60, 20260824)
+
+
+@query()
+def split_assignment(spark, d):
+    return partitions.split_assignment(groups(spark, d), (0.7, 0.15, 0.15), 20260824)
+
+
+@query()
+def client_assignment_iid(spark, d):
+    return partitions.grouped_iid(groups(spark, d), 5, 101)
+
+
+@query()
+def client_assignment_dirichlet(spark, d):
+    return partitions.grouped_dirichlet(groups(spark, d), 5, 0.5, 101, least=1)
+
+
+@query("WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('7:split:' || doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN rn <= floor(n * 0.2) THEN 'validation' ELSE 'train' END AS split FROM k")
+def hash_order_split(spark, d):
+    return partitions.hash_order_split(table(spark, d, "documents").select("doc_id"), "doc_id", 0.2, 7)
+
+
+@query("WITH k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('42:flip:' || vec_id), vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label = 3) SELECT vec_id, label FROM k WHERE rn <= greatest(1, floor(n * 0.25))")
+def label_flip_positions(spark, d):
+    return partitions.label_flip_positions(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", 3, 0.25, 42)
+
+
+@query("WITH k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('5:sample:' || vec_id), vec_id) AS rn FROM embeddings) SELECT vec_id, label FROM k WHERE rn <= 7")
+def per_class_sample(spark, d):
+    return partitions.per_class_sample(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", 7, 5)
+
+
+@query("SELECT vec_id, label, ((row_number() OVER (PARTITION BY label ORDER BY sha256('9:round-robin:' || vec_id), vec_id) - 1) % 5)::INT AS client FROM embeddings")
+def round_robin_clients(spark, d):
+    return partitions.round_robin(table(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", 5, 9)
+
+
+@query("""WITH sh AS (SELECT unnest([0, 1, 2, 3]) AS client, unnest([0.1, 0.4, 0.2, 0.3]) AS hi_share), cu AS (SELECT client, sum(hi_share) OVER (ORDER BY client) AS hi, sum(hi_share) OVER (ORDER BY client) - hi_share AS lo FROM sh),
+k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('3:dirichlet:' || vec_id), vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+SELECT vec_id, label, client FROM k JOIN cu ON rn > floor(lo * n + 1e-9) AND rn <= floor(CASE WHEN client = 3 THEN 1.0 ELSE hi END * n + 1e-9)""")
+def dirichlet_cut_points(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    shares = e.select("label").distinct().crossJoin(spark.createDataFrame([(0, 0.1), (1, 0.4), (2, 0.2), (3, 0.3)], "client int, share double"))
+    return partitions.dirichlet_cuts(e, "label", "vec_id", shares, 3).select("vec_id", "label", "client")
+
+
+@query(f"WITH {REC} SELECT CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'validation' ELSE 'test' END AS left_split, CASE WHEN doc_id % 3 = 0 THEN 'missing' WHEN doc_id % 4 < 3 THEN 'train' ELSE 'test' END AS right_split, count(*) AS n FROM rec GROUP BY 1, 2")
+def split_crosstab(spark, d):
+    a = splits(spark, d).select("path", "split")
+    m = F.col("doc_id")
+    b = records(spark, d).filter(m % 3 != 0).select("path", F.when(m % 4 < 3, "train").otherwise("test").alias("split"))
+    return curation.split_crosstab(a, b, "path")
+
+
+@query(f"""WITH {REC}, a AS (SELECT class_name, group_id, count(*) AS n FROM rec WHERE doc_id % 3 <> 0 GROUP BY 1, 2), b AS (SELECT class_name, group_id, count(*) AS n FROM rec WHERE doc_id % 5 <> 0 GROUP BY 1, 2)
+SELECT class_name, count(a.n) AS left_groups, count(b.n) AS right_groups, count(*) - count(a.n) AS extra, count(*) - count(b.n) AS missing, coalesce(sum((a.n <> b.n)::INT), 0)::BIGINT AS changed, count(a.n) = count(*) AND count(b.n) = count(*) AND coalesce(sum((a.n <> b.n)::INT), 0) = 0 AS identical FROM a FULL JOIN b USING (class_name, group_id) GROUP BY 1""")
+def group_set_compare(spark, d):
+    r = records(spark, d)
+    count = lambda k: r.filter(F.col("doc_id") % k != 0).groupBy("class_name", "group_id").agg(F.count("*").alias("n"))
+    return curation.group_set_compare(count(3), count(5))
+
+
+@query(f"WITH {REC} SELECT count(*) AS shared_paths FROM (SELECT path FROM rec WHERE doc_id % 3 = 0 INTERSECT SELECT path FROM rec WHERE doc_id % 5 = 0)")
+def path_overlap(spark, d):
+    r = records(spark, d)
+    return r.filter("doc_id % 3 = 0").select("path").intersect(r.filter("doc_id % 5 = 0").select("path")).agg(F.count("*").alias("shared_paths"))
+
+
+@query(f"WITH {REC} SELECT class_name, group_id FROM rec WHERE doc_id % 7 = 0 EXCEPT SELECT class_name, group_id FROM rec WHERE doc_id % 2 = 0")
+def group_difference(spark, d):
+    r = records(spark, d)
+    return r.filter("doc_id % 7 = 0").select("class_name", "group_id").subtract(r.filter("doc_id % 2 = 0").select("class_name", "group_id"))
+
+
+# -------------------------------------------------------------- similarity
+
+
+@query(f"WITH {PAIRS} SELECT class_name, left_path, right_path, distance FROM h")
+def hamming_pairs(spark, d):
+    return similarity.hamming_pairs(hashes(spark, d), "path", "class_name", "h", RADIUS)
+
+
+@query(f"WITH {PAIRS} SELECT 'p' || lpad(distance::VARCHAR, 2, '0') AS bucket, count(*) AS n FROM h GROUP BY 1")
+def hamming_histogram(spark, d):
+    return similarity.histogram(hamming_pairs(spark, d))
+
+
+@query(f"WITH {PAIRS} SELECT min(distance)::DOUBLE AS min, quantile_cont(distance, 0.25) AS p25, quantile_cont(distance, 0.5) AS median, quantile_cont(distance, 0.75) AS p75, round(quantile_cont(distance, 0.95), 6) AS p95, max(distance)::DOUBLE AS max FROM h")
+def hamming_quantiles(spark, d):
+    return rounded(similarity.quantiles(hamming_pairs(spark, d), "distance"))
+
+
+# --------------------------------------------------------------- inference
+
+
+@query(f"WITH {DIFFS} SELECT alpha, seed, round(diff, 6) + 0 AS diff FROM df")
+def paired_diff(spark, d):
+    return rounded(diffs(spark, d))
+
+
+@query(f"WITH {RUNS}, b AS (SELECT alpha, seed, avg(value) AS m, sum(value) AS s, count(*) AS c FROM runs WHERE arm = 0 GROUP BY 1, 2) SELECT alpha, round(avg(m), 6) AS mean, count(*) AS seeds, round(sum(s) / sum(c), 6) AS jobs_mean FROM b GROUP BY 1")
+def seed_block_mean(spark, d):
+    return rounded(inference.seed_block_mean(runs(spark, d).filter("arm = 0"), "seed", "value", ["alpha"]))
+
+
+@query(f"WITH {RUNS}, e AS (SELECT pair, count(*) AS n, avg(value) AS m FROM runs GROUP BY 1) SELECT pair, n, round(m, 6) AS mean FROM e UNION ALL SELECT 'unweighted_pair_mean', sum(n)::BIGINT, round(avg(m), 6) FROM e")
+def pair_mean_of_means(spark, d):
+    return rounded(inference.mean_of_means(runs(spark, d), "pair", "value"))
+
+
+@query(f"WITH {MASKS} SELECT alpha, n, round(mean, 6) + 0 AS mean, round(p, 6) AS p FROM sf")
+def sign_flip_p(spark, d):
+    return rounded(inference.sign_flip_p(diffs(spark, d), ["alpha"], "diff").withColumn("n", F.col("n").cast("long")))
+
+
+@query(f"WITH {DIFFS}{WILCOX} SELECT alpha, round(w, 6) + 0 AS w, round(p, 6) AS p FROM wx")
+def wilcoxon_exact(spark, d):
+    return rounded(inference.wilcoxon_p(diffs(spark, d), ["alpha"], "diff"))
+
+
+@query(f"""WITH {MASKS}{WILCOX} SELECT df.alpha, count(*) AS n, round(avg(diff), 6) + 0 AS mean, round(stddev_samp(diff), 6) AS sd, round(avg(diff) / stddev_samp(diff), 6) + 0 AS dz, sum((diff > 0)::INT)::BIGINT AS n_positive, sum((diff < 0)::INT)::BIGINT AS n_negative, sum((abs(diff) < 1e-15)::INT)::BIGINT AS n_zero,
+(min(sign(round(diff, 12))) = max(sign(round(diff, 12)))) AND max(sign(round(diff, 12))) <> 0 AS all_same_sign, round(any_value(sf.p), 6) AS permutation_p, round(any_value(wx.p), 6) AS wilcoxon_p FROM df JOIN sf ON df.alpha = sf.alpha JOIN wx ON df.alpha = wx.alpha GROUP BY 1""")
+def test_bundle(spark, d):
+    return rounded(inference.test_bundle(diffs(spark, d), ["alpha"], "diff"))
+
+
+@query(f"""WITH {MASKS}, o AS (SELECT 'all' AS family, alpha, p, (count(*) OVER () - row_number() OVER (ORDER BY p, alpha) + 1) * p AS raw FROM sf) SELECT family, alpha, round(p, 6) AS p, round(least(1, max(raw) OVER (ORDER BY p, alpha ROWS UNBOUNDED PRECEDING)), 6) AS holm_p, least(1, max(raw) OVER (ORDER BY p, alpha ROWS UNBOUNDED PRECEDING)) < 0.05 AS reject FROM o""")
+def holm_adjust(spark, d):
+    p = inference.sign_flip_p(diffs(spark, d), ["alpha"], "diff").select(F.lit("all").alias("family"), "alpha", "p")
+    return rounded(inference.holm(p, "family", "p", "alpha"))
+
+
+@query(f"""WITH {DIFFS}, nd AS (SELECT alpha, diff, row_number() OVER (PARTITION BY alpha ORDER BY diff) - 1 AS i, count(*) OVER (PARTITION BY alpha) AS n FROM df), dr AS (SELECT alpha, n, rep, unnest(range(0, n)) AS d FROM (SELECT DISTINCT alpha, n FROM nd) CROSS JOIN (SELECT unnest(range(0, 500)) AS rep)),
+pk AS (SELECT alpha, rep, ('0x' || substr(sha256('20260824:' || rep || ':' || d), 1, 8))::BIGINT % n AS i FROM dr), me AS (SELECT pk.alpha, rep, avg(diff) AS m FROM pk JOIN nd ON pk.alpha = nd.alpha AND pk.i = nd.i GROUP BY 1, 2) SELECT alpha, round(quantile_cont(m, 0.025), 6) + 0 AS lo, round(quantile_cont(m, 0.975), 6) + 0 AS hi FROM me GROUP BY 1""")
+def bootstrap_ci(spark, d):
+    return rounded(inference.bootstrap_ci(diffs(spark, d), ["alpha"], "diff", 500, 20260824))
+
+
+XY = "xy AS (SELECT event_id, event_type AS g, user_id % 5 AS seed, value AS x, (extract('hour' FROM ts) + value / 10)::DOUBLE AS y FROM events)"
+
+
+def xy(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", F.col("event_type").alias("g"), (F.col("user_id") % 5).alias("seed"), F.col("value").alias("x"), (F.hour("ts") + F.col("value") / 10).cast("double").alias("y"))
+
+
+@query(f"WITH {XY}, r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0::DOUBLE AS ry FROM xy) SELECT g, count(*) AS n, round(corr(rx, ry), 6) + 0 AS rho FROM r GROUP BY 1")
+def spearman_avg_rank(spark, d):
+    return rounded(inference.spearman(xy(spark, d), ["g"], "x", "y"))
+
+
+@query(f"WITH {RUNS}, r AS (SELECT alpha, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY seed) + (count(*) OVER (PARTITION BY seed) - 1) / 2.0::DOUBLE AS ry FROM runs), e AS (SELECT rx - avg(rx) OVER (PARTITION BY alpha) AS ex, ry - avg(ry) OVER (PARTITION BY alpha) AS ey FROM r) SELECT count(*) AS n, round(corr(ex, ey), 6) + 0 AS rho FROM e")
+def partial_spearman(spark, d):
+    return rounded(inference.partial_spearman(runs(spark, d), "alpha", "value", "seed"))
+
+
+@query(f"WITH {XY} SELECT g, round(regr_slope(y, x), 6) + 0 AS slope, round(regr_intercept(y, x), 6) + 0 AS intercept, round(regr_r2(y, x), 6) + 0 AS r2, regr_count(y, x)::BIGINT AS n FROM xy GROUP BY 1")
+def ols_fit(spark, d):
+    return rounded(inference.simple_ols(xy(spark, d), ["g"], "x", "y"))
+
+
+@query(f"""WITH {XY}, f AS (SELECT s.seed, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM (SELECT DISTINCT seed FROM xy) s JOIN xy ON xy.seed <> s.seed GROUP BY 1), m AS (SELECT xy.seed, avg((y - a - b * x) * (y - a - b * x)) AS mse FROM xy JOIN f ON xy.seed = f.seed GROUP BY 1) SELECT round(sqrt(avg(mse)), 6) AS rmse, count(*) AS seeds FROM m""")
+def loso_rmse(spark, d):
+    return rounded(inference.loso_rmse(xy(spark, d), "seed", "x", "y"))
+
+
+@query(f"WITH {XY} SELECT round(corr(x, y), 6) AS r, round(1 / (1 - corr(x, y) * corr(x, y)), 6) AS vif FROM xy")
+def vif(spark, d):
+    return rounded(inference.vif(xy(spark, d), "x", "y"))
+
+
+@query(f"""WITH {RUNS}, w AS (SELECT alpha, pair, avg(value) FILTER (arm = 0) AS clean, avg(value) FILTER (arm = 1) AS attacked, count(*) AS support FROM runs GROUP BY 1, 2), p AS (SELECT *, support / sum(support) OVER (PARTITION BY alpha)::DOUBLE * (clean - attacked) AS part FROM w)
+SELECT alpha, round(sum(part), 6) + 0 AS accuracy_drop, round(sum(CASE WHEN pair = 'BUILDING' THEN part ELSE 0 END), 6) + 0 AS source_term, round(sum(CASE WHEN pair = 'BUILDING' THEN 0 ELSE part END), 6) + 0 AS collateral FROM p GROUP BY 1""")
+def accuracy_decomposition(spark, d):
+    one = lambda k: F.avg(F.when(F.col("arm") == k, F.col("value")))
+    w = runs(spark, d).groupBy("alpha", "pair").agg(one(0).alias("clean"), one(1).alias("attacked"), F.count("*").alias("support"))
+    return rounded(inference.accuracy_decomposition(w, ["alpha"], F.col("pair") == "BUILDING"))
+
+
+@query(f"""WITH {RUNS}, a AS (SELECT seed, avg(value) FILTER (arm = 0 AND alpha = 'F') AS baseline_clean, avg(value) FILTER (arm = 0 AND alpha = 'O') AS clean, avg(value) FILTER (arm = 1 AND alpha = 'O') AS attacked FROM runs GROUP BY 1) SELECT seed, round(baseline_clean - attacked, 6) + 0 AS harm, round(baseline_clean - clean, 6) + 0 AS clean_cost, round(clean - attacked, 6) + 0 AS own_harm FROM a""")
+def aggregator_decomposition(spark, d):
+    one = lambda arm, alpha: F.avg(F.when((F.col("arm") == arm) & (F.col("alpha") == alpha), F.col("value")))
+    a = runs(spark, d).groupBy("seed").agg(one(0, "F").alias("baseline_clean"), one(0, "O").alias("clean"), one(1, "O").alias("attacked"))
+    return rounded(inference.aggregator_decomposition(a, ["seed"]))
+
+
+@query(f"WITH {RUNS} SELECT alpha, arm, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM runs GROUP BY 1, 2")
+def config_means(spark, d):
+    return rounded(runs(spark, d).groupBy("alpha", "arm").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")))
+
+
+# ------------------------------------------------- accounting and registry
+
+
+@query(f"""WITH s AS (SELECT unnest([10, 10, 50]) AS steps, unnest([1.0, 4.0, 2.0])::DOUBLE AS noise, unnest([1e-5, 1e-5, 1e-3])::DOUBLE AS delta), o AS (SELECT unnest([{", ".join(map(str, S.RENYI_ORDERS))}])::DOUBLE AS ord), e AS (SELECT *, steps * ord / (2 * noise * noise) + ln(1 / delta) / (ord - 1) AS eps FROM s CROSS JOIN o)
+SELECT steps, noise, delta, round(min(eps), 6) AS epsilon, arg_min(ord, eps) AS order FROM e GROUP BY 1, 2, 3""".replace("AS order FROM", 'AS "order" FROM'))
+def rdp_epsilon(spark, d):
+    s = spark.createDataFrame([(10, 1.0, 1e-5), (10, 4.0, 1e-5), (50, 2.0, 1e-3)], "steps int, noise double, delta double")
+    out = accounting.tightest_epsilon(s)
+    return out.withColumn("epsilon", F.round("epsilon", 6))
+
+
+def jobs(spark):
+    return accounting.job_matrix(spark, alpha=["a01", "a05", "iid"], seed=[101, 211, 307, 401, 503], algorithm=["fedavg", "fedprox"], epochs=[1, 5])
+
+
+@query("SELECT alpha, seed, algorithm, epochs FROM (SELECT unnest(['a01', 'a05', 'iid']) AS alpha) CROSS JOIN (SELECT unnest([101, 211, 307, 401, 503])::BIGINT AS seed) CROSS JOIN (SELECT unnest(['fedavg', 'fedprox']) AS algorithm) CROSS JOIN (SELECT unnest([1, 5])::BIGINT AS epochs)")
+def job_matrix(spark, d):
+    return jobs(spark)
+
+
+def rounds(spark, d):
+    """Round log: run = event_type, round = the day's rank, failures where a user number divides by 5."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("run"), (F.col("event_id") % 10 + 1).alias("round"), F.col("user_id"))
+    return e.groupBy("run", "round").agg(F.count("*").alias("num_clients"), F.sum(((F.col("user_id") % 997 == 0)).cast("long")).alias("num_failures"))
+
+
+ROUNDS = "ev AS (SELECT event_type AS run, event_id % 10 + 1 AS round, count(*) AS num_clients, sum((user_id % 997 = 0)::INT)::BIGINT AS num_failures FROM events GROUP BY 1, 2)"
+
+
+@query(f"WITH {ROUNDS}, g AS (SELECT run, count(DISTINCT round) FILTER (round BETWEEN 1 AND 10) AS good_rounds, max(round) AS last_round FROM ev WHERE num_clients > 0 AND num_failures = 0 GROUP BY 1) SELECT r.run, coalesce(good_rounds, 0) AS good_rounds, last_round, coalesce(good_rounds, 0) = 10 AS complete FROM (SELECT DISTINCT run FROM ev) r LEFT JOIN g ON r.run = g.run")
+def round_completeness(spark, d):
+    return accounting.completeness(rounds(spark, d), ["run"], 10)
+
+
+@query(f"WITH {ROUNDS}, g AS (SELECT run, count(DISTINCT round) AS k FROM ev WHERE num_failures = 0 AND num_clients > 0 GROUP BY 1), c AS (SELECT r.run, coalesce(k, 0) = 10 AS complete FROM (SELECT DISTINCT run FROM ev WHERE run <> 'view') r LEFT JOIN g ON r.run = g.run) SELECT j.run, CASE WHEN complete IS NULL THEN 'pending' WHEN complete THEN 'complete' ELSE 'incomplete' END AS status FROM (SELECT DISTINCT event_type AS run FROM events) j LEFT JOIN c ON j.run = c.run")
+def job_status(spark, d):
+    j = table(spark, d, "events").select(F.col("event_type").alias("run")).distinct()
+    return accounting.status(j, accounting.completeness(rounds(spark, d).filter("run <> 'view'"), ["run"], 10), ["run"])
+
+
+@query("""WITH e AS (SELECT event_type AS run, event_id % 10 + 1 AS round, user_id % 5 AS client, count(*) AS n FROM events GROUP BY 1, 2, 3), f AS (SELECT *, client = 2 AND NOT (run = 'view' AND round = 3) AS flagged FROM e),
+p AS (SELECT run, round, coalesce(bool_and(flagged AND n > 0) FILTER (client = 2), false) AS own, coalesce(bool_or(flagged) FILTER (client <> 2), false) AS others FROM f GROUP BY 1, 2) SELECT run, count(*) AS rounds, bool_and(own) AND NOT bool_or(others) AS verified FROM p GROUP BY 1""")
+def attack_verify(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("run"), (F.col("event_id") % 10 + 1).alias("round"), (F.col("user_id") % 5).alias("client")).agg(F.count("*").alias("n"))
+    e = e.withColumn("flagged", (F.col("client") == 2) & ~((F.col("run") == "view") & (F.col("round") == 3)))
+    return accounting.attack_verified(e, F.col("client") == 2)
+
+
+# ------------------------------------------ fits and loops, tested by pytest
+
+
+@query()
+def glm_gee(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("seed"), (F.col("value") / 100).alias("x"), (F.col("event_type") == "purchase").cast("double").alias("k"), F.lit(1.0).alias("n"))
+    f = models.logistic_gee(e, ["x"], "k", "n", "seed")
+    return spark.createDataFrame([(n, float(b), float(s)) for n, b, s in zip(f["names"], f["estimate"], f["robust_se"], strict=True)], "term string, estimate double, robust_se double")
+
+
+@query()
+def lmm_reml(spark, d):
+    f = models.crossed_lmm(runs(spark, d).withColumn("arm", F.col("arm").cast("double")), ["arm"], "value", ["seed", "pair"])
+    rows = [(n, float(b), float(s)) for n, b, s in zip(f["names"], f["estimate"], f["se"], strict=True)]
+    return spark.createDataFrame([*rows, *((f"var:{k}", v, None) for k, v in f["variance"].items()), ("residual", float(f["residual"]), None)], "term string, estimate double, se double")
+
+
+@query()
+def multiple_ols(spark, d):
+    x = xy(spark, d).select("x", "y", *[(F.col("g") == g).cast("double").alias(g) for g in ("click", "purchase")])
+    f = models.ols(x, ["x", "click", "purchase"], "y")
+    return spark.createDataFrame([(n, float(b), float(s), float(p)) for n, b, s, p in zip(f["names"], f["estimate"], f["se"], f["p"], strict=True)], "term string, estimate double, se double, p double")
+
+
+@query()
+def federated_loop(spark, d):
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("client"), F.col("label").cast("int").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    h = federated.run_rounds(e, 10, 64, 5, rounds=3)
+    return spark.createDataFrame([(r["round"], r["num_clients"], float(r["accuracy_before"]), float(r["norm"])) for r in h], "round int, num_clients int, accuracy_before double, norm double")

@@ -1,7 +1,9 @@
 """Substring dedup: sentences covered by a repeated span of sentences go, but for the span's first place.
 
-A sentence ends at . ! ? … or a line end; one of more than long words is cut
-after every so many of its words. For every sentence the shortest run from it
+A sentence ends at . ! ? … or a line end. Beyond its first long words a sentence
+is also cut after every word whose hash divides by cut: places that depend on
+the words nearby only, so a passage inside other sentences is cut alike in all.
+For every sentence the shortest run from it
 forwards and the shortest run back from it, of at least run sentences and
 least_words words, are hashed over their words. An aggregation that combines
 before the shuffle gives each hash's first place, the least (doc_id, position);
@@ -31,7 +33,8 @@ from larkspur.llm.words import MARK, MUL, MUL_INV, Words, mix, steps, strings
 class SentenceSpans:
     run: int = 3
     least_words: int = 16
-    long: int = 16
+    long: int = 12
+    cut: int = 8
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -44,11 +47,10 @@ def spans(w: Words, p: SentenceSpans) -> dict[str, np.ndarray]:
     """text: which text; start, end: the words of a span, within its text; hash."""
     n = len(w.hash)
     text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    # sentence ends, then ends of slices of long sentences
     starts = np.append(0, np.flatnonzero(w.ends)[:-1] + 1) if n else np.zeros(0, np.int64)
     sentence = np.cumsum(np.append(0, w.ends[:-1])) if n else np.zeros(0, np.int64)
     within = np.arange(n) - starts[sentence] if n else starts
-    ends = w.ends | ((within + 1) % p.long == 0)
+    ends = w.ends | ((within >= p.long) & ((w.hash >> np.uint64(32)) % np.uint64(p.cut) == 0))
     end = np.flatnonzero(ends) + 1
     begin = np.append(0, end[:-1])[: len(end)]
     owner = text[begin] if n else text

@@ -61,7 +61,7 @@ def units(t):
     for x in found:
         cur.append(x)
         inner += 1
-        if x[2] or inner > 12 and (xxhash.xxh3_64_intdigest(x[0]) >> 32) % 4 == 0:
+        if x[2] or inner > 12 and (xxhash.xxh3_64_intdigest(x[0]) >> 32) % 8 == 0:
             out.append(cur)
             cur = []
             if x[2]:

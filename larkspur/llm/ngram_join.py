@@ -43,7 +43,7 @@ class JaccardJoin:
     band_rows: int = 3
     tolerance: float = 1e-5
     at_once: int = 10
-    bucket_block: int = 1024
+    bucket_block: int = 512
     verify_block: int = 256
 
     @property

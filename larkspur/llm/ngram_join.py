@@ -233,10 +233,11 @@ def classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
     width = 2 * p.band_rows
     buckets = F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))
     bands = reps.select("fp", F.explode(buckets).alias("bucket"))
-    members = bands.join(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket").join(reps.select("fp", "sig"), "fp")
+    # sums are cut before they are joined back: the join then reads exchanges on both sides, and a hot key can be split
+    members = bands.join(cut(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")), "bucket").join(reps.select("fp", "sig"), "fp")
     edges = _dealt(members, "bucket", "n", p.bucket_block).mapInArrow(lambda it: _candidates(it, p), "a binary, b binary")
     near = components(edges)
-    sized = near.join(near.groupBy("root").agg(F.count("*").alias("n")), "root").join(reps.select(F.col("fp").alias("node"), "rep", "weight"), "node")
+    sized = near.join(cut(near.groupBy("root").agg(F.count("*").alias("n"))), "root").join(reps.select(F.col("fp").alias("node"), "rep", "weight"), "node")
     sized = sized.select(F.col("node").alias("fp"), F.xxhash64("root").alias("root"), "n", "weight", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tk").alias("rep_tk"))
     text = docs.select(F.col("doc_id").alias("rep_id"), "text").withColumn("rep_tk", F.xxhash64("text"))
     found = sized.alias("s").join(text.alias("t"), F.expr("s.rep_tk = t.rep_tk AND s.rep_id <=> t.rep_id")).select("s.fp", "s.root", "s.n", "s.weight", "t.text")
@@ -245,7 +246,7 @@ def classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
     roots = components(checked.select(F.col("fp").alias("a"), F.col("label").alias("b")))
     links = checked.groupBy("fp").agg(F.sum("links").alias("links"))
     own = reps.join(links, "fp", "left").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = own.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(F.struct("rep.doc_id", "rep.tk")).alias("keeper"))
+    whole = cut(own.groupBy("root").agg(F.min("least_id").alias("class_id"), F.min(F.struct("rep.doc_id", "rep.tk")).alias("keeper")))
     # a null id sorts first in a struct: it may be the keeper, but never the class id while another is there
     facts = own.join(whole, "root").select("fp", "class_id", "keeper", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.col("weight").alias("n_copies"))
     kept = (F.col("keeper.tk") == F.col("tk")) & F.col("keeper.doc_id").eqNullSafe(F.col("doc_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,3 +123,15 @@ def active(round_: Column, start: Column, end: Column) -> Column:
 
 def flip_label(label: Column, selected: Column, is_active: Column, target: Column) -> Column:
     return F.when(is_active & selected, target).otherwise(label)
+
+
+def phash(pixels: Column) -> Column:
+    """64 bits of 32 x 32 grey pixels, row by row: whether each of the 8 x 8 lowest coefficients of the orthonormal DCT-II is above the median of the 63 others than the first."""
+    basis = [[math.sqrt((1 if u == 0 else 2) / 32) * math.cos(math.pi * (2 * i + 1) * u / 64) for i in range(32)] for u in range(8)]
+    table = F.array(*[F.array(*map(F.lit, row)) for row in basis])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    lines = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.transform(table, lambda c: dot(c, F.slice(pixels, i * 32 + 1, 32))))
+    columns = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda v: F.transform(lines, lambda row: F.get(row, v)))
+    coefs = F.flatten(F.transform(table, lambda c: F.transform(columns, lambda col: dot(c, col))))
+    # each step is bound once, so the table isn't computed again for every bit
+    return F.transform(F.array(coefs), lambda k: F.transform(F.array(F.array_sort(F.slice(k, 2, 63))[31]), lambda mid: sign_bits(F.transform(k, lambda x: x - mid)))[0])[0]

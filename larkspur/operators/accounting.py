@@ -42,3 +42,20 @@ def attack_verified(events: DataFrame, attacker: F.Column) -> DataFrame:
     own = F.coalesce(attacker, F.lit(False))
     per = events.groupBy("run", "round").agg(F.coalesce(F.bool_and(F.when(own, F.col("flagged") & (F.col("n") > 0))), F.lit(False)).alias("own"), F.coalesce(F.bool_or(F.when(~own, F.col("flagged"))), F.lit(False)).alias("others"))
     return per.groupBy("run").agg(F.count("*").alias("rounds"), (F.bool_and("own") & ~F.bool_or("others")).alias("verified"))
+
+
+def last_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row for each key: of several the last in order. Combines before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
+
+
+def first_known(df: DataFrame, keys: list[str], value: str, sources: dict[str, DataFrame], formula: F.Column) -> DataFrame:
+    """df with value and provenance: from the first source (keys, value) that knows the key, else by the formula."""
+    found, tag = F.lit(None), F.lit(None)
+    out = df
+    for name, source in sources.items():
+        out = out.join(source.select(*keys, F.col(value).alias(f"_{name}")), keys, "left")
+        tag = F.coalesce(tag, F.when(F.col(f"_{name}").isNotNull(), F.lit(name)))
+        found = F.coalesce(found, F.col(f"_{name}"))
+    return out.select(*df.columns, F.coalesce(found, formula).alias(value), F.coalesce(tag, F.lit("formula")).alias("provenance"))

@@ -140,3 +140,28 @@ def accuracy_decomposition(df: DataFrame, keys: list[str], source: F.Column) ->
 def aggregator_decomposition(df: DataFrame, keys: list[str]) -> DataFrame:
     """harm against the baseline aggregator = clean cost + own harm; columns baseline_clean, clean, attacked."""
     return df.select(*keys, (F.col("baseline_clean") - F.col("attacked")).alias("harm"), (F.col("baseline_clean") - F.col("clean")).alias("clean_cost"), (F.col("clean") - F.col("attacked")).alias("own_harm"))
+
+
+def residual_spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """The diagnostic form: residuals of the values from their groups' means first, then ranks."""
+    w = W.partitionBy(by)
+    e = df.select((F.col(x) - F.avg(x).over(w)).alias("ex"), (F.col(y) - F.avg(y).over(w)).alias("ey"))
+    r = e.select(average_rank(F.col("ex"), [F.lit(1)], F.round("ex", 9)).alias("rx"), average_rank(F.col("ey"), [F.lit(1)], F.round("ey", 9)).alias("ry"))
+    return r.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+
+
+def clustered_spearman_ci(df: DataFrame, keys: list[str], cluster: str, x: str, y: str, reps: int, seed: int) -> DataFrame:
+    """95 % percentile interval of the rank correlation when whole clusters are drawn; repetitions without a correlation are left out."""
+    c = df.select(*keys, cluster).distinct()
+    c = c.withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy(cluster)) - 1)
+    n = c.groupBy(*keys).agg(F.count("*").alias("n"))
+    draws = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("d", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    pick = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "rep", "d"), 256), 1, 8), 16, 10).cast("long") % F.col("n")
+    rows = draws.withColumn("i", pick).join(c, [*keys, "i"]).select(*keys, "rep", cluster).join(df, [*keys, cluster])
+    rho = spearman(rows, [*keys, "rep"], x, y).filter("rho IS NOT NULL")
+    return rho.groupBy(*keys).agg(F.percentile("rho", F.lit(0.025)).alias("lo"), F.percentile("rho", F.lit(0.975)).alias("hi"))
+
+
+def dose_frame(clean: DataFrame, attacked: DataFrame, keys: list[str]) -> DataFrame:
+    """Every key with every fraction that was tried, joined to the clean and the attacked value; combinations without both are left out."""
+    return clean.withColumnRenamed("value", "clean").join(attacked.withColumnRenamed("value", "attacked"), keys).select(*keys, "fraction", "clean", "attacked", (F.col("clean") - F.col("attacked")).alias("harm"))

@@ -42,3 +42,13 @@ def sibling_pairs(df: DataFrame, path: str, group: str, h: str) -> DataFrame:
     a, b = df.alias("a"), df.alias("b")
     j = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{path}") < F.col(f"b.{path}")))
     return j.select(F.col(f"a.{path}").alias("left_path"), F.col(f"b.{path}").alias("right_path"), hamming(F.col(f"a.{h}"), F.col(f"b.{h}")).alias("distance"))
+
+
+def two_hash_histogram(pairs: DataFrame, first: str, second: str) -> DataFrame:
+    """How many pairs there are at each pair of distances, keyed pXX_dYY."""
+    return pairs.groupBy(F.format_string("p%02d_d%02d", F.col(first).cast("int"), F.col(second).cast("int")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def reported(pairs: DataFrame, most: int, scan: list[str], order: list[str]) -> DataFrame:
+    """The report of unresolved candidates: the first so many in scan order, then sorted. Counts are taken from all pairs, elsewhere."""
+    return pairs.orderBy(*scan).limit(most).orderBy(*order)

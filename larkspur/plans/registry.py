@@ -543,3 +543,52 @@ def federated_loop(spark, d):
     e = table(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("client"), F.col("label").cast("int").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     h = federated.run_rounds(e, 10, 64, 5, rounds=3)
     return spark.createDataFrame([(r["round"], r["num_clients"], float(r["accuracy_before"]), float(r["norm"])) for r in h], "round int, num_clients int, accuracy_before double, norm double")
+
+# ------------------------------------------------ supports, ledgers, doses
+
+
+@query(f"""WITH {REC}, z AS (SELECT *, {SPLIT} AS split FROM rec), c AS (SELECT class_name, split, count(*) AS images FROM z GROUP BY 1, 2), g AS (SELECT s.split, coalesce(images, 0) AS n FROM (SELECT DISTINCT class_name FROM rec) a CROSS JOIN (SELECT unnest(['train', 'validation', 'test']) AS split) s LEFT JOIN c ON a.class_name = c.class_name AND s.split = c.split),
+p AS (SELECT *, n / nullif(sum(n) OVER (PARTITION BY split), 0)::DOUBLE AS p FROM g) SELECT split, min(n) AS least, max(n) AS most, round(coalesce(sum(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END) / nullif(ln(count(*)), 0), 0), 6) + 0 AS normalized_entropy FROM p GROUP BY 1""")
+def class_support(spark, d):
+    counts = curation.split_counts(splits(spark, d), "class_name", "split", partitions.SPLITS)
+    return rounded(evaluation.class_support(counts, "split", "images"))
+
+
+@query(f"WITH {PRED}, s AS (SELECT label AS class_name, sum((label = predicted)::INT)::BIGINT AS correct, count(*) AS total FROM p GROUP BY 1) SELECT class_name, correct, total, round(correct / total::DOUBLE, 6) AS class_accuracy, round((SELECT sum(correct) / sum(total)::DOUBLE FROM s), 6) AS accuracy FROM s")
+def validation_totals(spark, d):
+    each = predictions(spark, d).groupBy((F.col("vec_id") % 5).alias("client"), F.col("label").alias("class_name")).agg(F.sum((F.col("label") == F.col("predicted")).cast("long")).alias("correct"), F.count("*").alias("total"))
+    return rounded(evaluation.validation_totals(each))
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def last_run(spark, d):
+    return accounting.last_of(table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query("""WITH c AS (SELECT label, vec_id % 5 AS client, count(*) AS n FROM embeddings GROUP BY 1, 2)
+SELECT label, client, n, CASE WHEN client = 0 THEN n // 2 WHEN label < 5 THEN n - 1 ELSE least(n, greatest(1, floor(n * 0.6)))::BIGINT END AS flipped, CASE WHEN client = 0 THEN 'ledger' WHEN label < 5 THEN 'history' ELSE 'formula' END AS provenance FROM c""")
+def flip_ledger(spark, d):
+    c = table(spark, d, "embeddings").groupBy("label", (F.col("vec_id") % 5).alias("client")).agg(F.count("*").alias("n"))
+    known = {"ledger": c.filter("client = 0").withColumn("flipped", F.expr("n div 2")), "history": c.filter("label < 5").withColumn("flipped", F.col("n") - 1)}
+    return accounting.first_known(c, ["label", "client"], "flipped", known, S.expected_flips(F.col("n"), 0.6))
+
+
+@query("""WITH o AS (SELECT o_orderstatus AS alpha, o_orderpriority AS pair, o_custkey % 4 AS arm, avg(o_totalprice) / 100000 AS value FROM orders GROUP BY 1, 2, 3), f AS (SELECT alpha, pair, value, CASE arm WHEN 1 THEN 1.0 WHEN 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS fraction FROM o WHERE arm > 0)
+SELECT f.alpha, f.pair, fraction, round(c.value, 6) AS clean, round(f.value, 6) AS attacked, round(c.value - f.value, 6) + 0 AS harm FROM f JOIN o c ON c.arm = 0 AND c.alpha = f.alpha AND c.pair = f.pair""")
+def dose_frame(spark, d):
+    o = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("alpha"), F.col("o_orderpriority").alias("pair"), (F.col("o_custkey") % 4).alias("arm")).agg((F.avg("o_totalprice") / 100000).alias("value"))
+    fraction = F.when(F.col("arm") == 1, 1.0).when(F.col("arm") == 2, 0.25).otherwise(0.5)
+    return rounded(inference.dose_frame(o.filter("arm = 0").drop("arm"), o.filter("arm > 0").withColumn("fraction", fraction).drop("arm"), ["alpha", "pair"]))
+
+
+@query(f"WITH {RUNS}, e AS (SELECT value - avg(value) OVER (PARTITION BY alpha) AS ex, seed - avg(seed) OVER (PARTITION BY alpha) AS ey FROM runs), q AS (SELECT round(ex, 9) AS ex, round(ey, 9) AS ey FROM e), r AS (SELECT rank() OVER (ORDER BY ex) + (count(*) OVER (PARTITION BY ex) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY ey) + (count(*) OVER (PARTITION BY ey) - 1) / 2.0::DOUBLE AS ry FROM q) SELECT count(*) AS n, round(corr(rx, ry), 6) + 0 AS rho FROM r")
+def residual_spearman(spark, d):
+    return rounded(inference.residual_spearman(runs(spark, d), "alpha", "value", "seed"))
+
+
+@query(f"""WITH {RUNS}, c AS (SELECT alpha, seed, row_number() OVER (PARTITION BY alpha ORDER BY seed) - 1 AS i, count(*) OVER (PARTITION BY alpha) AS n FROM (SELECT DISTINCT alpha, seed FROM runs)), dr AS (SELECT alpha, n, rep, unnest(range(0, n)) AS d FROM (SELECT DISTINCT alpha, n FROM c) CROSS JOIN (SELECT unnest(range(0, 200)) AS rep)),
+pk AS (SELECT alpha, rep, ('0x' || substr(sha256('20260824:' || rep || ':' || d), 1, 8))::BIGINT % n AS i FROM dr), rw AS (SELECT pk.alpha, rep, r.value AS x, r.arm FROM pk JOIN c ON pk.alpha = c.alpha AND pk.i = c.i JOIN runs r ON r.alpha = c.alpha AND r.seed = c.seed),
+rk AS (SELECT alpha, rep, rank() OVER (PARTITION BY alpha, rep ORDER BY x) + (count(*) OVER (PARTITION BY alpha, rep, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY alpha, rep ORDER BY arm) + (count(*) OVER (PARTITION BY alpha, rep, arm) - 1) / 2.0::DOUBLE AS ry FROM rw),
+s AS (SELECT alpha, rep, corr(rx, ry) AS rho FROM rk GROUP BY 1, 2 HAVING min(rx) < max(rx) AND min(ry) < max(ry)) SELECT alpha, round(quantile_cont(rho, 0.025), 6) + 0 AS lo, round(quantile_cont(rho, 0.975), 6) + 0 AS hi FROM s GROUP BY 1""")
+def clustered_spearman_ci(spark, d):
+    return rounded(inference.clustered_spearman_ci(runs(spark, d), ["alpha"], "seed", "value", "arm", 200, 20260824))

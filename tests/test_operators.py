@@ -227,3 +227,29 @@ def test_federated_rounds_learn(spark):
     for agg in ("fedavg", "multikrum", "fedmedian", "trimmed_mean"):
         h = federated.run_rounds(df, 4, 4, 5, 3, agg)
         assert h[-1]["accuracy_before"] > 0.85
+
+
+def test_phash(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.integers(0, 256, 1024).astype(float).tolist()) for k in range(4)] + [(4, [7.0] * 1024)]
+    i = np.arange(32)
+    basis = np.array([math.sqrt((1 if u == 0 else 2) / 32) * np.cos(math.pi * (2 * i + 1) * u / 64) for u in range(8)])
+    got = {r["k"]: r["h"] for r in spark.createDataFrame(rows, "k int, p array<double>").select("k", S.phash(F.col("p")).alias("h")).collect()}
+    for k, p in rows[:4]:
+        c = (basis @ np.array(p).reshape(32, 32) @ basis.T).ravel()
+        assert got[k] & (2**64 - 1) == int("".join("1" if x > np.median(c[1:]) else "0" for x in c), 2)
+    assert got[4] < 0  # of a flat picture the first coefficient alone is surely above
+
+
+def test_validation_needs_every_client(spark):
+    df = spark.createDataFrame([(0, "a", 3, 4), (1, "a", 1, 4), (1, "b", 2, 2)], "client int, class_name string, correct long, total long")
+    got = {r["class_name"]: (r["correct"], r["total"], r["accuracy"]) for r in evaluation.validation_totals(df).collect()}
+    assert got == {"a": (4, 8, 0.6), "b": (2, 2, 0.6)}
+    lacking = df.unionByName(spark.createDataFrame([(2, None, None, None)], df.schema))
+    assert evaluation.validation_totals(lacking).count() == 0
+
+
+def test_candidate_report(spark):
+    pairs = spark.createDataFrame([("c", "a", "b", 3, 9), ("c", "a", "d", 1, 2), ("c", "b", "d", 3, 9)], "class_name string, left_path string, right_path string, p int, d int")
+    assert {r["bucket"]: r["n"] for r in similarity.two_hash_histogram(pairs, "p", "d").collect()} == {"p03_d09": 2, "p01_d02": 1}
+    assert [r["p"] for r in similarity.reported(pairs, 2, ["class_name", "left_path", "right_path"], ["p", "d"]).collect()] == [1, 3]

@@ -80,6 +80,24 @@ def manifest_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.sha2(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", row.alias("j")))), lambda x: x["j"]), ","), F.lit("]")), 256).alias("digest"))
 
 
+def dataset_id(df: DataFrame, variant: str) -> DataFrame:
+    """pv, the number of classes, the variant and the first 12 signs of the manifest's digest."""
+    classes = df.agg(F.count_distinct("class_name").alias("k"))
+    return manifest_digest(df).crossJoin(F.broadcast(classes)).select(F.concat(F.lit("pv"), F.col("k").cast("string"), F.lit(f"-{variant}-"), F.substring("digest", 1, 12)).alias("dataset_id"), "digest")
+
+
+def grouping_audit(df: DataFrame, leaf: str, content: str, group: str) -> DataFrame:
+    """One row of what a selection holds: images, known and unknown leaves, groups, and sets of equal content."""
+    whole = df.agg(F.count("*").alias("images"), F.count(leaf).alias("known"), F.count_distinct(leaf).alias("leaves"), F.count_distinct(group).alias("groups")).withColumn("unknown", F.col("images") - F.col("known"))
+    sets = df.groupBy(content).agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("duplicate_sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_images"))
+    return whole.crossJoin(F.broadcast(sets))
+
+
+def audit_gate(candidates: DataFrame, structure_valid: bool) -> bool:
+    """A dataset may be used only when its structure is valid and no near-duplicate candidate is unresolved."""
+    return structure_valid and candidates.isEmpty()
+
+
 def group_set_compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of two (class, group, n): per class the groups of each, those missing, extra and changed, and whether all agree."""
     both = a.select("class_name", "group_id", F.col("n").alias("na")).join(b.select("class_name", "group_id", F.col("n").alias("nb")), ["class_name", "group_id"], "full")

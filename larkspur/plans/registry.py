@@ -349,6 +349,11 @@ def group_difference(spark, d):
     return r.filter("doc_id % 7 = 0").select("class_name", "group_id").subtract(r.filter("doc_id % 2 = 0").select("class_name", "group_id"))
 
 
+@query(f"WITH {REC}, s AS (SELECT count(*) AS n FROM rec GROUP BY sha256 HAVING count(*) > 1) SELECT count(*) AS images, count(leaf_id) AS known, count(DISTINCT leaf_id) AS leaves, count(DISTINCT group_id) AS groups, count(*) - count(leaf_id) AS unknown, (SELECT count(*) FROM s) AS duplicate_sets, (SELECT coalesce(sum(n), 0)::BIGINT FROM s) AS duplicate_images FROM rec")
+def grouping_audit(spark, d):
+    return curation.grouping_audit(records(spark, d), "leaf_id", "sha256", "group_id")
+
+
 # -------------------------------------------------------------- similarity
 
 

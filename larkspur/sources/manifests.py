@@ -40,6 +40,46 @@ def attack_config(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+def layout(spark: SparkSession, root: str) -> str:
+    """pre-split when the folder has both train and val, else flat."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    both = all(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, x)) for x in ("train", "val"))
+    return "pre-split" if both else "flat"
+
+
+def attacker_map(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON map pair -> alpha -> seed -> client as rows."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,map<string,int>>>", {"mode": "FAILFAST"}).alias("m"))
+    pairs = raw.select(F.explode("m").alias("pair", "m")).select("pair", F.explode("m").alias("alpha", "m"))
+    return pairs.select("pair", "alpha", F.explode("m").alias("seed", "client")).select("pair", "alpha", F.col("seed").cast("int").alias("seed"), "client")
+
+
+def index_list(df: DataFrame, column: str) -> list[int]:
+    """The list of indices that every row reports as JSON; a missing, empty or differing one raises."""
+    found = df.select(F.from_json(column, "array<int>").alias("x")).distinct().limit(2).collect()
+    if len(found) != 1 or not found[0]["x"] or None in found[0]["x"]:
+        raise ValueError("not the same non-empty list of every client")
+    return found[0]["x"]
+
+
+def _finite(x: F.Column, t: T.DataType) -> F.Column:
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    if isinstance(t, T.ArrayType):
+        return F.transform(x, lambda y: _finite(y, t.elementType))
+    if isinstance(t, T.MapType):
+        return F.transform_values(x, lambda _, v: _finite(v, t.valueType))
+    if isinstance(t, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[_finite(x[f.name], f.dataType).alias(f.name) for f in t.fields]))
+    return x
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """JSON rows in which what isn't a finite number is null, at any depth."""
+    df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields]).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def source_manifest(df: DataFrame) -> DataFrame:
     """Checks of a partition source: train only, one class a group, no path twice; groups sorted by id, members by path."""
     if not df.filter(~F.col("split").eqNullSafe("train")).isEmpty():

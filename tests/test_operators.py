@@ -1,5 +1,6 @@
 """The reference's own fixtures and properties of the sequential rules."""
 
+import hashlib
 import json
 import math
 
@@ -86,9 +87,7 @@ def test_cap_equals_the_plain_greedy(spark):
     for cap in (7, 23):
         got = {r["group_id"] for r in partitions.capped_groups(g, cap, 5).collect()}
         want = set()
-        import hashlib
-
-        for c in "AB":
+            for c in "AB":
             left = cap
             for _, k, n in sorted((-n, hashlib.sha256(f"5:cap:{k}".encode()).hexdigest() + k, (k, n)) for cc, k, n in rows if cc == c):
                 if n[1] <= left:
@@ -253,3 +252,34 @@ def test_candidate_report(spark):
     pairs = spark.createDataFrame([("c", "a", "b", 3, 9), ("c", "a", "d", 1, 2), ("c", "b", "d", 3, 9)], "class_name string, left_path string, right_path string, p int, d int")
     assert {r["bucket"]: r["n"] for r in similarity.two_hash_histogram(pairs, "p", "d").collect()} == {"p03_d09": 2, "p01_d02": 1}
     assert [r["p"] for r in similarity.reported(pairs, 2, ["class_name", "left_path", "right_path"], ["p", "d"]).collect()] == [1, 3]
+
+
+def test_documents_of_the_protocol(spark, tmp_path):
+    (tmp_path / "map.json").write_text(json.dumps({"a-b": {"a01": {"101": 3, "211": 0}}, "c-d": {"iid": {"101": 4}}}))
+    got = {tuple(r) for r in manifests.attacker_map(spark, str(tmp_path / "map.json")).collect()}
+    assert got == {("a-b", "a01", 101, 3), ("a-b", "a01", 211, 0), ("c-d", "iid", 101, 4)}
+    assert manifests.layout(spark, str(tmp_path)) == "flat"
+    (tmp_path / "train").mkdir()
+    (tmp_path / "val").mkdir()
+    assert manifests.layout(spark, str(tmp_path)) == "pre-split"
+    one = lambda *x: spark.createDataFrame([(v,) for v in x], "x string")
+    assert manifests.index_list(one("[1, 4]", "[1,4]"), "x") == [1, 4]
+    for bad in (("[1]", "[2]"), ("[]",), ("[1]", None), ("what",)):
+        with pytest.raises(ValueError):
+            manifests.index_list(one(*bad), "x")
+
+
+def test_report_has_no_infinite_numbers(spark, tmp_path):
+    df = spark.createDataFrame([(1.5, [float("nan"), 2.0], {"k": float("inf")}, (float("-inf"), "x"))], "a double, b array<double>, c map<string,double>, d struct<e:double,f:string>")
+    manifests.write_report(df, str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in (tmp_path / "r").glob("part-*"))
+    assert json.loads(text) == {"a": 1.5, "b": [None, 2.0], "c": {"k": None}, "d": {"e": None, "f": "x"}}
+
+
+def test_dataset_id_and_gate(spark):
+    df = spark.createDataFrame([("A", "g1", "p1", "h1", "train"), ("B", "g2", "p2", "h2", "test")], "class_name string, group_id string, path string, sha256 string, split string")
+    r = curation.dataset_id(df, "capped").first()
+    rows = [dict(zip(df.columns, x, strict=True)) for x in df.orderBy("path").collect()]
+    digest = hashlib.sha256(json.dumps(rows, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert (r["digest"], r["dataset_id"]) == (digest, f"pv2-capped-{digest[:12]}")
+    assert curation.audit_gate(df.limit(0), True) and not curation.audit_gate(df, True) and not curation.audit_gate(df.limit(0), False)

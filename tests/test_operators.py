@@ -87,7 +87,7 @@ def test_cap_equals_the_plain_greedy(spark):
     for cap in (7, 23):
         got = {r["group_id"] for r in partitions.capped_groups(g, cap, 5).collect()}
         want = set()
-            for c in "AB":
+        for c in "AB":
             left = cap
             for _, k, n in sorted((-n, hashlib.sha256(f"5:cap:{k}".encode()).hexdigest() + k, (k, n)) for cc, k, n in rows if cc == c):
                 if n[1] <= left:

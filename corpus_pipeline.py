@@ -28,8 +28,8 @@ def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated sentences go from text; n_chars is the new text's length where a text changed."""
-    out = substring_dedup.dedup(docs)
+    """Repeated sentences and passages go from text; n_chars is the new text's length where a text changed."""
+    out = substring_dedup.dedup(docs, substring_dedup.WHOLE)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_ranges") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

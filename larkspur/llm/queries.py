@@ -12,8 +12,8 @@ from larkspur.llm.shared import held_out, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose repeated sentences: what goes, where, and which documents keep it."""
-    out = substring_dedup.dedup(table(spark, sf_dir, "documents")).filter(F.size("_ranges") > 0)
+    """The documents that lose repeated sentences or passages of 50 words: what goes, where, and which documents keep it."""
+    out = substring_dedup.dedup(table(spark, sf_dir, "documents"), substring_dedup.WHOLE).filter(F.size("_ranges") > 0)
     gone = F.aggregate("_ranges", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     return out.select("doc_id", F.col("_firsts").alias("first_doc_ids"), F.col("_ranges").alias("removed"), gone.alias("removed_chars"), F.length("text").alias("left_chars"), F.sha2("text", 256).alias("text_sha256"))
 

@@ -9,6 +9,11 @@ least_words words, are hashed over their words. An aggregation that combines
 before the shuffle gives each hash's first place, the least (doc_id, position);
 the spans join it and every other place is removed. Overlapping spans add up.
 
+With passage, every run of so many words is a span too, wherever it starts. Of
+the anchors (runs of anchor words) in such a run the one of least hash stands
+for it, so equal runs have equal anchors; only runs whose anchor is found twice
+are hashed and looked up. That finds every repeated run.
+
 Nulls: a null text stays null. Rows with a null doc_id stay as they are and are
 no place of a span. Rows that share a doc_id share their positions: a row is
 changed only where its own words have the span's hash. Other columns pass.
@@ -35,6 +40,12 @@ class SentenceSpans:
     least_words: int = 16
     long: int = 12
     cut: int = 8
+    passage: int = 0
+    anchor: int = 25
+
+
+#: Sentences, and every repeated run of 50 words.
+WHOLE = SentenceSpans(passage=50)
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -43,6 +54,30 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def run_hashes(w: Words, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    n = len(w.hash)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * powers(MUL, n), dtype=np.uint64)])
+    return mix((total[e] - total[s]) * powers(MUL_INV, n + 1)[s] ^ (e - s).astype(np.uint64))
+
+
+def passages(w: Words, p: SentenceSpans) -> dict[str, np.ndarray]:
+    """Every run of passage words. text: which text; start: its first word, within its text; anchor: the first word of its anchor."""
+    text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+    begin = np.arange(max(0, len(text) - p.passage + 1))
+    begin = begin[text[begin] == text[begin + p.passage - 1]]
+    if not len(begin):
+        return {"text": begin, "start": begin, "anchor": begin}
+    at = np.arange(len(text) - p.anchor + 1)
+    value = run_hashes(w, at, at + p.anchor)
+    anchor, least = begin, value[begin]
+    for k in range(1, p.passage - p.anchor + 1):  # of equal hashes the last
+        new = value[begin + k]
+        better = new <= least
+        anchor, least = np.where(better, begin + k, anchor), np.where(better, new, least)
+    base = w.first[text[begin]]
+    return {"text": text[begin], "start": begin - base, "anchor": anchor - base}
+
+
 def spans(w: Words, p: SentenceSpans) -> dict[str, np.ndarray]:
     """text: which text; start, end: the words of a span, within its text; hash."""
     n = len(w.hash)
@@ -68,8 +103,7 @@ def spans(w: Words, p: SentenceSpans) -> dict[str, np.ndarray]:
         new = ~((fi[at] == bi) & (fj[at] == bj))
     a, b = np.concatenate([fi, bi[new]]), np.concatenate([fj, bj[new]])
     s, e = begin[a], end[b]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * powers(MUL, n), dtype=np.uint64)])
-    value = mix((total[e] - total[s]) * powers(MUL_INV, n + 1)[s] ^ (e - s).astype(np.uint64))
+    value = run_hashes(w, s, e)
     base = w.first[owner[a]] if n else s
     return {"text": owner[a] if n else a, "start": s - base, "end": e - base, "hash": value}
 
@@ -85,6 +119,43 @@ def _spans(batches: Iterator[pa.RecordBatch], p: SentenceSpans) -> Iterator[pa.R
                 yield pa.RecordBatch.from_arrays([pa.array(x["hash"][at].view(np.int64)), pa.array(ids[x["text"][at]]), pa.array(x["start"][at].astype(np.int32)), pa.array(x["end"][at].astype(np.int32))], ["h", "doc_id", "s", "e"])
 
 
+def _rows(ids: np.ndarray, h: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(h), 100_000):
+        at = slice(k, k + 100_000)
+        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[at]), pa.array(s[at].astype(np.int32))], ["h", "doc_id", "s"])
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], p: SentenceSpans) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = strings(batch["text"])
+        for a, b in steps(texts):
+            w = Words(texts[a:b])
+            x = passages(w, p)
+            at = np.unique(w.first[x["text"]] + x["anchor"])
+            text = np.searchsorted(w.first, at, side="right") - 1
+            ids = batch["doc_id"].slice(a, b - a).to_numpy(zero_copy_only=False)
+            yield from _rows(ids[text], run_hashes(w, at, at + p.anchor), at - w.first[text])
+
+
+def _passages(batches: Iterator[pa.RecordBatch], p: SentenceSpans) -> Iterator[pa.RecordBatch]:
+    """The runs whose anchors are among the row's anchors."""
+    for batch in batches:
+        texts, found = strings(batch["text"]), batch["anchors"].to_pylist()
+        for a, b in steps(texts):
+            w = Words(texts[a:b])
+            x = passages(w, p)
+            wanted = np.zeros(len(w.hash) + 1, bool)
+            for t in range(a, b):
+                at = w.first[t - a] + np.array(found[t], np.int64)
+                wanted[at[at < w.first[t - a + 1]]] = True
+            text, s = x["text"], x["start"]
+            ok = wanted[w.first[text] + x["anchor"]]
+            text, s = text[ok], s[ok]
+            at = w.first[text] + s
+            ids = batch["doc_id"].slice(a, b - a).to_numpy(zero_copy_only=False)
+            yield from _rows(ids[text], run_hashes(w, at, at + p.passage), s)
+
+
 def _merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(found):
@@ -117,6 +188,11 @@ def cleaned(texts: list[str], owner: np.ndarray, start: np.ndarray, end: np.ndar
     w = Words(texts, sentences=True)
     x = spans(w, p)
     real = np.isin(_key(owner, start, end, value), _key(x["text"], x["start"], x["end"], x["hash"]))
+    if p.passage:
+        size = np.diff(w.first)[owner]
+        at = np.flatnonzero(~real & (end - start == p.passage) & (end <= size))
+        s = w.first[owner[at]] + start[at]
+        real[at] = run_hashes(w, s, s + p.passage) == value[at].view(np.uint64)
     by: dict[int, list[int]] = {}
     for k in np.flatnonzero(real).tolist():
         by.setdefault(int(owner[k]), []).append(k)
@@ -151,16 +227,33 @@ def _remove(batches: Iterator[pa.RecordBatch], p: SentenceSpans) -> Iterator[pa.
         yield pa.RecordBatch.from_pydict({c: batch[c] for c in batch.schema.names if c != "_found"} | {"text": pa.array(out, pa.string()), "_ranges": pa.array(ranges, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "_firsts": pa.array(firsts, pa.list_(pa.int64()))})
 
 
-def repeated_spans(docs: DataFrame, p: SentenceSpans = SentenceSpans()) -> DataFrame:
-    """Spans at other places than their first: h, doc_id, s, e (words), first (the first place's doc_id)."""
-    ready(docs.sparkSession)
-    made = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _spans(it, p), "h long, doc_id long, s int, e int")
+def _again(made: DataFrame) -> DataFrame:
+    """The rows of made (h, doc_id, s, ...) at other places than their hash's first, with first, its doc_id."""
     # cut: so the join reads both sides from exchanges, and adaptive execution can split a hot hash
     first = made.groupBy("h").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("h", F.col("f.doc_id").alias("first"), F.col("f.s").alias("fs"))
     first = cut(first)
     return made.join(first, "h").filter("doc_id <> first OR s <> fs").drop("fs")
 
 
+def repeated_passages(rows: DataFrame, p: SentenceSpans) -> DataFrame:
+    """As repeated_spans, of every run of passage words; rows: doc_id (long), text."""
+    anchors = rows.mapInArrow(lambda it: _anchors(it, p), "h long, doc_id long, s int")
+    twice = cut(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    places = anchors.join(twice, "h").groupBy("doc_id").agg(F.collect_list("s").alias("anchors"))
+    # cut: both sides of the join below hash these texts
+    held = cut(rows.join(places, "doc_id"))
+    made = held.mapInArrow(lambda it: _passages(it, p), "h long, doc_id long, s int")
+    return _again(made).select("h", "doc_id", "s", (F.col("s") + p.passage).alias("e"), "first")
+
+
+def repeated_spans(docs: DataFrame, p: SentenceSpans = SentenceSpans()) -> DataFrame:
+    """Spans at other places than their first: h, doc_id, s, e (words), first (the first place's doc_id)."""
+    ready(docs.sparkSession)
+    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = _again(rows.mapInArrow(lambda it: _spans(it, p), "h long, doc_id long, s int, e int"))
+    return made.unionByName(repeated_passages(rows, p)) if p.passage else made
+
+
 def dedup(docs: DataFrame, p: SentenceSpans = SentenceSpans()) -> DataFrame:
     """docs with the repeated sentences taken out of text; _ranges: the removed ranges of characters, _firsts: ids of the documents that keep them. Columns of docs with these names, _id or _found are replaced."""
     docs = docs.drop("_id", "_found", "_ranges", "_firsts")

@@ -126,6 +126,37 @@ def test_passages_inside_sentences(spark):
     assert got == want and got[0] == rows[0][1] and all(len(got[i].split()) < 18 + 40 for i in (1, 2))
 
 
+def test_every_repeated_passage_goes(spark):
+    """Passages of 50 to 80 words at any place of a text, in sentences or without any: all their words go, and no others."""
+    r = random.Random(8)
+    rows, want = [], {}
+    for i in range(200):
+        p = noise(2000 + i, 50 + i % 31)
+        p = p.replace(".", "") if i % 2 else p
+        for k in (0, 1):
+            rows.append((2 * i + k, f"{noise(3000 + 2 * i + k, r.randint(1, 30))} {p} {noise(4000 + 2 * i + k, r.randint(1, 30))}"))
+    words = {i: brute.words(t) for i, t in rows}
+    first = {}
+    for i, w in sorted(words.items()):
+        for s in range(len(w) - 49):
+            first.setdefault(tuple(w[s : s + 50]), (i, s))
+    for i, w in words.items():
+        drop = {k for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] != (i, s) for k in range(s, s + 50)}
+        want[i] = [x for k, x in enumerate(w) if k not in drop]
+    got = {x["doc_id"]: brute.words(x["text"]) for x in substring_dedup.dedup(docs(spark, rows), substring_dedup.WHOLE).collect()}
+    assert got == want and all((len(want[i]) < len(words[i])) == (i % 2 == 1) for i in want)
+
+
+def test_passage_edges(spark, odd):
+    p = noise(61, 55).replace(".", "")
+    rows = [(1, p + " " + p), (2, None), (None, p), (3, ""), (5, "a " * 200), (6, "y " + p), (6, p)]
+    got = [(x["doc_id"], x["text"]) for x in substring_dedup.dedup(docs(spark, rows), substring_dedup.WHOLE).collect()]
+    assert (2, None) in got and (None, p) in got and (3, "") in got and (6, "y ") in got and (6, "") in got
+    assert [t for i, t in got if i == 1] == [p + " "]
+    assert substring_dedup.dedup(odd, substring_dedup.WHOLE).count() == odd.count()
+    assert substring_dedup.dedup(empty(spark), substring_dedup.WHOLE).count() == 0
+
+
 def test_dedup_edges(spark, odd):
     out = substring_dedup.dedup(odd).collect()
     assert len(out) == odd.count()

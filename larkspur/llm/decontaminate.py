@@ -1,15 +1,17 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are normalised to their lower-cased words joined by single spaces. Each
-benchmark item is cut into overlapping windows. An occurrence of a window of w
-characters with at most k edits shares at least w + 1 - q (k + 1) character
-q-grams with it, all on diagonals at most k apart; so hits are counted in
-diagonal bands of width 2k + 1 or more, each overlapping the next by half, and
-only bands with that many hits go on. A banded alignment (edit distance along
-the band's diagonals) then verifies the region. q is the largest for which the
-count stays positive with room: q = 12 for windows of 96 characters and 4 edits
-(37 shared q-grams needed); shorter items get a smaller budget, and items
-shorter than q match only as whole words in a row.
+Texts are normalised to their lower-cased words joined by single spaces. Every
+window of an item, at each of its characters, is looked for. An occurrence of a
+window of w characters with at most k edits shares at least w + 1 - q (k + 1)
+character q-grams with it, all on diagonals at most k apart; so hits of an
+item's q-grams are gathered in diagonal bands of width 2k + 1 or more, each
+overlapping the next by half, and only windows with that many hits in a band go
+on. A hit on every q-gram of a window along one diagonal is the window itself;
+else a banded alignment (edit distance along the band's diagonals) of all the
+windows of the band verifies them. For q = 12 and windows of 96 characters and
+6 edits, enough for a replaced word, 13 shared q-grams are needed; shorter
+items get a smaller budget, and items shorter than q match only as whole words
+in a row.
 
 The benchmark is a broadcast only in blocks of a bounded number of characters;
 a larger benchmark makes more passes over the documents.
@@ -42,8 +44,8 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 class LeakSearch:
     q: int = 12
     window: int = 96
-    step: int = 48
-    edit_rate: float = 1 / 24
+    step: int = 1
+    edit_rate: float = 1 / 16
     block_chars: int = 8_000_000
 
     def budget(self, length: int) -> int:
@@ -86,27 +88,22 @@ def factor_of(width: int) -> np.uint64:
 
 
 class Items:
-    """The q-grams of a block of benchmark windows."""
+    """The q-grams of a block of benchmark items."""
 
     def __init__(self, rows: list[tuple[object, str]], p: LeakSearch) -> None:
         self.p = p
         self.ids = [r[0] for r in rows]
         self.texts = [normal(r[1] or "") for r in rows]
         self.short = ahocorasick.Automaton()
-        windows, values, places, owners = [], [], [], []
+        values, places, owners = [], [], []
         for n, t in enumerate(self.texts):
             if 0 < len(t) < p.q:
                 self.short.add_word(t, self.short.get(t, ()) + (n,)) if t in self.short else self.short.add_word(t, (n,))
                 continue
-            last = max(0, len(t) - p.window)
-            for s in sorted({*range(0, last, p.step), last}) if t else ():
-                piece = t[s : s + p.window]
-                v = qgrams(codes(piece), p.q)
-                owners.append(np.full(len(v), len(windows), np.int64))
-                windows.append((n, s, s + len(piece)))
-                values.append(v)
-                places.append(np.arange(len(v)))
-        self.windows = windows
+            v = qgrams(codes(t), p.q)
+            owners.append(np.full(len(v), n, np.int64))
+            values.append(v)
+            places.append(np.arange(len(v)))
         value = np.concatenate(values) if values else np.zeros(0, np.uint64)
         order = np.argsort(value, kind="stable")
         self.value = value[order]
@@ -117,47 +114,52 @@ class Items:
         self.shift = np.uint64(64 - max(16, min(26, int(len(self.known) * 64 + 1).bit_length())))
         self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
         self.maybe[(self.known >> self.shift).astype(np.int64)] = True
-        length = np.array([e - s for _, s, e in windows], np.int64)
-        self.budget = np.array([p.budget(int(x)) for x in length], np.int64)
-        self.need = np.array([p.needed(int(x)) for x in length], np.int64)
+        self.longest = max(map(len, self.texts), default=0)
+        self.size = np.array([min(len(t), p.window) for t in self.texts], np.int64)
+        self.budget = np.array([p.budget(int(x)) for x in self.size], np.int64)
+        self.need = np.array([p.needed(int(x)) for x in self.size], np.int64)
         self.short.make_automaton()
 
-
-def aligned(window: str, text: str, start: int, edits: int) -> tuple[int, int, int] | None:
-    """The fewest edits, with the place, of the window in the text from about start, along the diagonals within edits of any start in [start - edits, start + 2 edits]; None above the budget."""
-    at = text.find(window, max(0, start - edits), start + 3 * edits + len(window) + 1)
-    if at >= 0:
-        return 0, at, at + len(window)
-    lo = max(0, start - edits)
-    region = codes(text[lo : start + len(window) + 4 * edits + 1])
-    w = codes(window)
-    width = 5 * edits + 2
-    # row i of the table, at diagonals d = column - i, from 0 to width; free start on all diagonals
-    big = 1 << 20
-    cost = np.zeros(width + 1, np.int64)
-    origin = np.arange(width + 1)
-    idx = np.arange(width + 1)
-    for i in range(len(w)):
-        column = i + idx
-        same = np.full(width + 1, False)
-        inside = column < len(region)
-        same[inside] = region[column[inside]] == w[i]
-        new = np.where(inside, cost + ~same, big)
+    def starts(self, item: int) -> np.ndarray:
+        last = max(0, len(self.texts[item]) - self.p.window)
+        return np.append(np.arange(0, last, self.p.step), last)
+
+
+def aligned(windows: np.ndarray, text: np.ndarray, start: np.ndarray, edits: int) -> tuple[int, int, int] | None:
+    """The fewest edits, with the place, of any of the windows (a row of codes each) in the text from about its start, along the diagonals within edits of any start in [start - edits, start + 2 edits]; None above the budget."""
+    size, width = windows.shape[1], 5 * edits + 2
+    lo = np.minimum(np.maximum(0, start - edits), len(text))
+    # a code that no text has: replacing it costs as much as leaving out the window's
+    padded = np.append(text, np.full(size + width + 1, 0xFFFFFFFF, np.uint32))
+    region = padded[lo[:, None] + np.arange(size + width + 1)]
+    # row i of each table, at diagonals d = column - i, from 0 to width; free start on all diagonals
+    idx = np.arange(width + 1, dtype=np.int16)
+    cost = np.zeros((len(windows), width + 1), np.int16)
+    origin = np.broadcast_to(idx, cost.shape)
+    for i in range(size):
+        new = cost + (region[:, i : i + width + 1] != windows[:, i : i + 1])
         from_ = origin.copy()
-        up = np.append(cost[1:] + 1, big)
-        better = up < new
-        new[better] = up[better]
-        from_[better] = np.append(origin[1:], 0)[better]
-        left = np.minimum.accumulate(new - idx) + idx
-        at = np.maximum.accumulate(np.where(left == new, idx, 0))
-        new, from_ = left, from_[at]
-        cost, origin = new, from_
-        if cost.min() > edits:
-            return None
-    d = int(cost.argmin())
-    if cost[d] > edits:
+        up = cost[:, 1:] + np.int16(1)
+        better = up < new[:, :-1]
+        new[:, :-1][better] = up[better]
+        from_[:, :-1][better] = origin[:, 1:][better]
+        cost = np.minimum.accumulate(new - idx, axis=1) + idx
+        at = np.maximum.accumulate(np.where(cost == new, idx, np.int16(0)), axis=1)
+        origin = np.take_along_axis(from_, at.astype(np.int64), 1)
+        if i % 8 == 7:
+            ok = cost.min(1) <= edits
+            if not ok.any():
+                return None
+            if not ok.all():
+                cost, origin, region, windows, lo = cost[ok], origin[ok], region[ok], windows[ok], lo[ok]
+    d = cost.argmin(1)
+    rows = np.arange(len(cost))
+    least = cost[rows, d]
+    k = int(least.argmin())
+    if least[k] > edits:
         return None
-    return int(cost[d]), lo + int(origin[d]), lo + min(len(region), len(w) + d)
+    begin = int(lo[k])
+    return int(least[k]), begin + int(origin[k, d[k]]), min(len(text), begin + size + int(d[k]))
 
 
 def found_in(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int, int]]:
@@ -177,27 +179,58 @@ def found_in(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
         often = items.often[k]
         place = np.repeat(at, often)
         entry = np.repeat(items.from_[k], often) + np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
-        window = items.owner[entry]
+        item = items.owner[entry]
         text = np.searchsorted(first, place, side="right") - 1
-        diagonal = place - first[text] - items.place[entry] + p.window
-        half = items.budget[window] + 1
+        inner = items.place[entry]
+        diagonal = place - first[text] - inner + items.longest
+        # too few hits of the item in the text for any window
+        _, pair, total = np.unique(text * len(items.texts) + item, return_inverse=True, return_counts=True)
+        ok = total[pair] >= items.need[item]
+        text, item, inner, diagonal = text[ok], item[ok], inner[ok], diagonal[ok]
+        order = np.lexsort((inner, diagonal, item, text))
+        text, item, inner, diagonal = text[order], item[order], inner[order], diagonal[order]
+        span = items.size[item] - p.q
+        to = np.minimum(np.arange(len(text)) + span, len(text) - 1)
+        whole = (np.arange(len(text)) + span < len(text)) & (text[to] == text) & (item[to] == item) & (diagonal[to] == diagonal) & (inner[to] - inner == span)
+        if p.step > 1:
+            whole &= (inner % p.step == 0) | (inner == np.array([len(t) for t in items.texts], np.int64)[item] - items.size[item])
+        for h in np.flatnonzero(whole).tolist():
+            t, n, a = int(text[h]), int(item[h]), int(inner[h])
+            s, size = int(diagonal[h]) - items.longest + a, int(items.size[n])
+            if (t, n) not in best and plain[t][s : s + size] == items.texts[n][a : a + size]:
+                best[t, n] = (0, s, s + size)
+        half = items.budget[item] + 1
+        held: tuple[int, np.ndarray] = (-1, glued[:0])
         for phase in (0, 1):
             band = (diagonal + phase * half) // (2 * half)
-            key = np.stack([text, window, band], 1)
-            order = np.lexsort((key[:, 2], key[:, 1], key[:, 0]))
-            key = key[order]
+            order = np.lexsort((inner, band, item, text))
+            key = np.stack([text, item, band], 1)[order]
+            places = inner[order]
             new = np.append(True, (key[1:] != key[:-1]).any(1)) if len(key) else np.zeros(0, bool)
             start = np.flatnonzero(new)
-            count = np.diff(np.append(start, len(key)))
-            for s in start[count >= items.need[key[start, 1]]].tolist():
-                t, w, b = (int(x) for x in key[s])
-                item, a, e = items.windows[w]
-                edits = int(items.budget[w])
-                if best.get((t, item), (1, 0, 0))[0] == 0:
+            group = np.cumsum(new) - 1
+            # need hits within a window's length
+            to = np.arange(len(key)) + items.need[key[:, 1]] - 1
+            inside = np.minimum(to, len(key) - 1)
+            ok = (to < len(key)) & (group[inside] == group) & (places[inside] - places <= items.size[key[:, 1]] - p.q)
+            end = np.append(start[1:], len(key))
+            for g in np.unique(group[ok]).tolist():
+                t, n, b = (int(x) for x in key[start[g]])
+                if best.get((t, n), (1, 0, 0))[0] == 0:
                     continue
-                got = aligned(items.texts[item][a:e], plain[t], max(0, b * 2 * (edits + 1) - phase * (edits + 1) - p.window), edits)
-                if got and got < best.get((t, item), (1 << 20, 0, 0)):
-                    best[t, item] = got
+                edits, size = int(items.budget[n]), int(items.size[n])
+                hits = places[start[g] : end[g]]
+                s = items.starts(n)
+                s = s[np.searchsorted(hits, s + size - p.q, side="right") - np.searchsorted(hits, s) >= items.need[n]]
+                if held[0] != t:
+                    held = (t, codes(plain[t]))
+                low = b * 2 * (edits + 1) - phase * (edits + 1) - items.longest
+                every = np.lib.stride_tricks.sliding_window_view(codes(items.texts[n]), size)
+                for part in range(0, len(s), 1000):
+                    x = s[part : part + 1000]
+                    got = aligned(every[x], held[1], np.maximum(0, low + x), edits)
+                    if got and got < best.get((t, n), (1 << 20, 0, 0)):
+                        best[t, n] = got
     if len(items.short):
         for t, x in enumerate(plain):
             for end, owners in items.short.iter(f" {x} "):

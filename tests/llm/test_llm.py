@@ -199,6 +199,35 @@ def test_leaks_equal_edit_distance(spark):
     assert {x["doc_id"] for x in decontaminate.clean(docs(spark, rows), bench).collect()} == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_excerpts_at_every_place():
+    """Excerpts from any character of an item, and items with replaced words, against edit distance over all windows."""
+    r = random.Random(12)
+    p = decontaminate.LeakSearch()
+    items = [decontaminate.normal(noise(1200 + i, 30)) for i in range(6)]
+    held = decontaminate.Items(list(enumerate(items)), p)
+    texts = []
+    for k in range(60):
+        t, n = items[k % 6], 90 + r.randrange(30)
+        at = r.randrange(len(t) - n + 1)
+        texts.append((k % 6, n >= p.window, noise(1300 + k, 6).replace(".", "") + t[at : at + n] + noise(1400 + k, 6).replace(".", "")))
+    got = {(t, i): e for t, i, e, _, _ in decontaminate.found_in([x[2] for x in texts], held)}
+    assert all(got[t, i] == 0 for t, (i, whole, _) in enumerate(texts) if whole)
+    worn = []
+    for k in range(24):
+        w = items[k % 6].split()
+        for _ in range(1 + k % 4):
+            w[r.randrange(len(w))] = "".join(r.choice("uvwxyz") for _ in range(5))
+        worn.append((k % 6, False, " ".join(w)))
+    texts = texts[:12] + worn
+    got = {(t, i): e for t, i, e, _, _ in decontaminate.found_in([x[2] for x in texts], held)}
+    for t, (i, _, x) in enumerate(texts):
+        x = decontaminate.normal(x)
+        best = min(brute.edits_within(items[i][s : s + p.window], x) for s in range(0, len(items[i]) - p.window + 1, 3))
+        exact = [s for s in range(len(items[i]) - p.window + 1) if items[i][s : s + p.window] in x]
+        assert got.get((t, i), 99) <= best or best > p.budget(p.window)
+        assert not exact or got[t, i] == 0
+
+
 def test_leaks_edges(spark, odd):
     bench = spark.createDataFrame([(1, LONG[:300]), (None, "x")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(odd, bench).collect()}

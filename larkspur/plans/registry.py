@@ -418,6 +418,15 @@ def bootstrap_ci(spark, d):
     return rounded(inference.bootstrap_ci(diffs(spark, d), ["alpha"], "diff", 500, 20260824))
 
 
+#: The resamples of the original; bootstrap_ci and clustered_spearman_ci take as few as their SQL says.
+RESAMPLES = 10_000
+
+
+@query()
+def bootstrap_ci_whole(spark, d):
+    return rounded(inference.bootstrap_ci(diffs(spark, d), ["alpha"], "diff", RESAMPLES, 20260824))
+
+
 XY = "xy AS (SELECT event_id, event_type AS g, user_id % 5 AS seed, value AS x, (extract('hour' FROM ts) + value / 10)::DOUBLE AS y FROM events)"
 
 
@@ -597,3 +606,8 @@ rk AS (SELECT alpha, rep, rank() OVER (PARTITION BY alpha, rep ORDER BY x) + (co
 s AS (SELECT alpha, rep, corr(rx, ry) AS rho FROM rk GROUP BY 1, 2 HAVING min(rx) < max(rx) AND min(ry) < max(ry)) SELECT alpha, round(quantile_cont(rho, 0.025), 6) + 0 AS lo, round(quantile_cont(rho, 0.975), 6) + 0 AS hi FROM s GROUP BY 1""")
 def clustered_spearman_ci(spark, d):
     return rounded(inference.clustered_spearman_ci(runs(spark, d), ["alpha"], "seed", "value", "arm", 200, 20260824))
+
+
+@query()
+def clustered_spearman_ci_whole(spark, d):
+    return rounded(inference.clustered_spearman_ci(runs(spark, d), ["alpha"], "seed", "value", "arm", RESAMPLES, 20260824))

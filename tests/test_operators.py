@@ -149,6 +149,33 @@ def test_inference(spark):
     assert got == pytest.approx({"a": 0.03, "c": 0.06, "b": 0.06})
 
 
+def ranks(v):
+    v = np.asarray(v, float)
+    return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+
+def test_intervals_take_all_resamples(spark, monkeypatch):
+    """The registered intervals over 10,000 resamples, on small rows, against a plain bootstrap with the same draws."""
+    from larkspur.plans import registry
+
+    n = 5
+    draws = [[int(hashlib.sha256(f"20260824:{rep}:{d}".encode()).hexdigest()[:8], 16) % n for d in range(n)] for rep in range(10_000)]
+    diff = [0.3, -0.1, 0.25, 0.7, 0.05]
+    monkeypatch.setattr(registry, "diffs", lambda spark, d: spark.createDataFrame([("a", v) for v in diff], "alpha string, diff double"))
+    got = registry.QUERIES["bootstrap_ci_whole"](spark, "").first()
+    want = np.percentile([np.mean([sorted(diff)[i] for i in x]) for x in draws], [2.5, 97.5])
+    assert (got["lo"], got["hi"]) == pytest.approx(tuple(want), abs=2e-6)
+    rows = [("a", s, k % 2, ((s * 7 + k * 3) % 11) / 10 + 0.3 * (k % 2) * (s % 3)) for s in range(n) for k in range(4)]
+    monkeypatch.setattr(registry, "runs", lambda spark, d: spark.createDataFrame(rows, "alpha string, seed int, arm int, value double"))
+    got = registry.QUERIES["clustered_spearman_ci_whole"](spark, "").first()
+    rho = {}
+    for x in {tuple(sorted(x)) for x in draws}:
+        took = [r for s in x for r in rows if r[1] == s]
+        rho[x] = np.corrcoef(ranks([r[3] for r in took]), ranks([r[2] for r in took]))[0, 1]
+    want = np.percentile([rho[tuple(sorted(x))] for x in draws], [2.5, 97.5])
+    assert (got["lo"], got["hi"]) == pytest.approx(tuple(want), abs=2e-6)
+
+
 def test_models(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 2))

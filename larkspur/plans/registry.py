@@ -555,7 +555,7 @@ def multiple_ols(spark, d):
 @query()
 def federated_loop(spark, d):
     e = table(spark, d, "embeddings").select((F.col("vec_id") % 5).alias("client"), F.col("label").cast("int").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    h = federated.run_rounds(e, 10, 64, 5, rounds=3)
+    h = federated.run_rounds(e, 10, 64, 5, rounds=10)
     return spark.createDataFrame([(r["round"], r["num_clients"], float(r["accuracy_before"]), float(r["norm"])) for r in h], "round int, num_clients int, accuracy_before double, norm double")
 
 # ------------------------------------------------ supports, ledgers, doses

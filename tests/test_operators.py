@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -255,6 +256,13 @@ def test_federated_rounds_learn(spark):
         assert h[-1]["accuracy_before"] > 0.85
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_registered_loop_runs_all_rounds(spark):
+    from larkspur.plans import registry
+
+    assert sorted(r["round"] for r in registry.QUERIES["federated_loop"](spark, "/root/testdata/sf0.001").collect()) == list(range(1, 11))
+
+
 def test_phash(spark):
     rng = np.random.default_rng(3)
     rows = [(k, rng.integers(0, 256, 1024).astype(float).tolist()) for k in range(4)] + [(4, [7.0] * 1024)]

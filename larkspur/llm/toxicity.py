@@ -2,8 +2,8 @@
 
 Texts are folded first: lower case, homoglyphs of other scripts and digits or
 signs used as letters become Latin letters. The lexicon is learned from a
-bounded sample of labelled rows: beginnings of words (of 4 to 8 characters, or
-whole) whose share among toxic documents is far above that among others, with
+bounded sample of labelled rows: beginnings of words (of 4 to 8 characters, and
+whole words of fewer, marked by a full stop) whose share among toxic documents is far above that among others, with
 the log of that ratio as weight. A beginning must follow several different
 words among the toxic documents, so that a text with many copies doesn't make
 all its words look toxic. Exception phrases are whole words that begin
@@ -62,7 +62,8 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
         for k, v in self.weights.items():
-            a.add_word(k, (len(k), v))
+            word = k.removesuffix(".")
+            a.add_word(word, (len(word), v, word != k))
         a.make_automaton()
         return a
 
@@ -72,12 +73,14 @@ def fold(text: str) -> str:
 
 
 def matched(folded: str, automaton: ahocorasick.Automaton, exceptions: set[str]) -> tuple[float, int]:
-    """The weights of the words that begin with an entry (the longest entry of a word counts), and how many they are."""
+    """The weights of the words that begin with an entry or are a whole one (the longest entry of a word counts), and how many they are."""
     if not len(automaton):
         return 0.0, 0
     best: dict[int, tuple[int, float]] = {}
-    for end, (n, weight) in automaton.iter(folded):
+    for end, (n, weight, whole) in automaton.iter(folded):
         start = end - n + 1
+        if whole and folded[end + 1 : end + 2].isalnum():
+            continue
         if (start == 0 or not folded[start - 1].isalnum()) and best.get(start, (0, 0.0))[0] < n:
             best[start] = (n, weight)
     total, count = 0.0, 0
@@ -166,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityFit = ToxicityFit()) -> L
     counts = rows.select("text", (F.col("label") == 1).alias("label")).mapInArrow(lambda it: _counts(it, p), "gram string, tox long, other long, contexts long").groupBy("gram").agg(F.sum("tox").alias("tox"), F.sum("other").alias("other"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
     weight = F.log((F.col("tox") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
     counts = counts.withColumn("weight", weight).persist()
-    found = counts.filter((F.col("tox") >= p.least_documents) & (F.col("weight") >= p.least_weight) & (F.col("contexts") >= p.least_contexts) & ~F.col("gram").endswith("."))
+    found = counts.filter((F.col("tox") >= p.least_documents) & (F.col("weight") >= p.least_weight) & (F.col("contexts") >= p.least_contexts) & (~F.col("gram").endswith(".") | (F.length("gram") <= min(p.lengths))))
     # evidence: how surely the ratio isn't chance (the signed root of the likelihood ratio's main term)
     found = found.withColumn("proof", F.col("weight") * F.sqrt("tox")).orderBy(F.desc("proof"), F.length("gram"), "gram").limit(20 * p.entries).collect()
     chosen: dict[str, tuple[float, int]] = {}

@@ -246,6 +246,15 @@ def test_toxicity_matching():
     assert see("You 1D10T, Scum!") == (5.0, 2) and see("іdіоt") == (3.0, 1) and see("a scumble") == (0.0, 0) and see("myidiot") == (0.0, 0) and see("") == (0.0, 0)
 
 
+def test_short_toxic_words(spark):
+    """Words of 3 letters are learned as whole words, and match no longer word."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["river", "stone", "meadow", "window", "paper", "zogging", "market"]) + (" zog" if i % 2 else "") for _ in range(20))) for i in range(400)]
+    made = toxicity.fit(docs(spark, rows), spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int"))
+    hits = lambda t: toxicity.matched(t, made.automaton(), made.exceptions)[1]
+    assert "zog." in made.weights and hits("a zog, there") == 1 and hits("zog") == 1 and hits("zogging river") == 0
+
+
 @here
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1" if os.path.isdir("/root/testdata/sf0.1") else DATA

@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-MARK = "\ue000"  # stands for a line end among the words
 STEP_CHARS = 3_000_000
 _DROP = re.compile(r"[\W_]+")
 _END = re.compile(r"[.!?…]+[\"'»”’)\]]*$")
@@ -45,15 +44,21 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 
 class Words:
-    """hash: a value for each word; first: where each text's words begin (one more entry than texts); ends: whether a word closes a sentence; token: the word's index among its text's tokens (marks not counted)."""
+    """hash: a value for each word; first: where each text's words begin (one more entry than texts); ends: whether a word closes a sentence (it, or what follows it before the next word, has a sentence's end or stands last in its line); token: the word's index among its text's tokens (what str.split gives)."""
 
     def __init__(self, texts: list[str], sentences: bool = False) -> None:
         flat: list[str] = []
         counts = np.zeros(len(texts), np.int64)
+        breaks: list[int] = []
         for i, t in enumerate(texts):
-            w = (t.replace("\n", f" {MARK} ") if sentences else t).split()
-            counts[i] = len(w)
-            flat += w
+            before = len(flat)
+            if sentences and "\n" in t:
+                for line in t.split("\n"):
+                    flat += line.split()
+                    breaks.append(len(flat) - 1)
+            else:
+                flat += t.split()
+            counts[i] = len(flat) - before
         encoded = pa.array(flat, pa.large_string()).dictionary_encode()
         del flat
         unique = encoded.dictionary.to_pylist()
@@ -67,19 +72,17 @@ class Words:
         self.first = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(np.bincount(text[keep], minlength=len(texts)), out=self.first[1:])
         if sentences:
-            closes = np.fromiter((bool(_END.search(w)) or w == MARK for w in unique), bool, len(unique))[code] if len(code) else np.zeros(0, bool)
-            marks = np.fromiter((w == MARK for w in unique), bool, len(unique))[code] if len(code) else np.zeros(0, bool)
-            # a sentence closes at a word if it, or what follows it before the next word, closes one
+            closes = np.fromiter((bool(_END.search(w)) for w in unique), bool, len(unique))[code] if len(code) else np.zeros(0, bool)
+            at = np.array(breaks, np.int64)
+            closes[at[at >= 0]] = True
+            # what stands between a word and the next counts for the word
             seen = np.concatenate([[0], np.cumsum(closes)])
             at = np.flatnonzero(keep)
             following = np.append(at[1:], len(keep))
             self.ends = seen[following] > seen[at]
             if len(at):
-                last = self.first[1:][np.diff(self.first) > 0] - 1
-                self.ends[last] = True
-            before = np.concatenate([[0], np.cumsum(~marks)])
-            start = np.concatenate([[0], np.cumsum(counts)])[:-1]
-            self.token = before[at] - before[start[text[at]]]
+                self.ends[self.first[1:][np.diff(self.first) > 0] - 1] = True
+            self.token = at - (np.cumsum(counts) - counts)[text[at]]
 
 
 def shingles(w: Words, size: int) -> list[np.ndarray]:

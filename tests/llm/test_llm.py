@@ -157,6 +157,30 @@ def test_passage_edges(spark, odd):
     assert substring_dedup.dedup(empty(spark), substring_dedup.WHOLE).count() == 0
 
 
+@pytest.mark.parametrize("p", [substring_dedup.SentenceSpans(), substring_dedup.WHOLE])
+def test_dedup_counts_words_as_split_does(spark, p):
+    """Private-use signs, line ends and signs between words don't shift what is removed; ids may be strings."""
+    said = "One two three four five six. Seven eight nine ten eleven twelve. Thirteen fourteen fifteen sixteen seventeen omega."
+    rows = [("a", f"al\ue000pha beta.\n\n{said} Alone here."), ("b", f"\n\ue000 x\ue000y - \n{said} three.")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.dedup(df, p).collect()}
+    assert got["a"]["text"] == rows[0][1] and got["b"]["text"] == "\n\ue000 x\ue000y - \nthree." and got["b"]["_firsts"] == ["a"]
+
+
+def test_anchor_of_every_window():
+    """The doubling finds what a plain search finds, ties included."""
+    p = substring_dedup.SentenceSpans(passage=9, anchor=4)
+    texts = [noise(5, 60), "a " * 30, "b", "", noise(6, 9)]
+    w = substring_dedup.Words(texts)
+    want = set()
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+        for s in range(a, b - p.passage + 1):
+            at = np.arange(s, s + p.passage - p.anchor + 1)
+            v = substring_dedup.run_hashes(w, at, at + p.anchor)
+            want.add(int(at[np.flatnonzero(v == v.min())[-1]]))
+    assert substring_dedup.anchors(w, p).tolist() == sorted(want)
+
+
 def test_dedup_edges(spark, odd):
     out = substring_dedup.dedup(odd).collect()
     assert len(out) == odd.count()

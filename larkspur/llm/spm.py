@@ -4,26 +4,32 @@ The vocabulary is a merge model: a sequence of pieces is the encoding of a text
 just when every two neighbours are the encoding of their concatenation. So an
 encoding is the one path of finite weight in a max-plus automaton whose states
 are (last piece, where it ends), with weight 0 for a valid neighbour and minus
-infinity else. A text up to chunk characters is a single step of the library.
-A longer one is split into chunks; each chunk yields the transfer matrix from
-the states in which a path may enter it to those in which it may leave it.
-Matrices combine associatively; the combined prefix gives the state each chunk
-is entered in, and every chunk is traced back by itself from that state.
-
-Where a space follows another character no piece lies across (a property read
-from the vocabulary): the matrix has one state there. Between two such places
-the library's encoding is the trace, so only the text from a chunk's border to
-the next such place needs the matrix; a chunk without any has it throughout.
+infinity else; whether neighbours are valid is found by the vocabulary's merges.
+A text is split into chunks of chunk characters; each chunk yields the transfer
+matrix from the states in which a path may enter it to those in which it may
+leave it. Matrices combine associatively; the combined prefix gives the state
+each chunk is entered in, and every chunk is traced back by itself from that
+state. A text of one chunk has nothing to combine: it is traced where it is.
+
+Where a space follows another character, and beside a character that no piece
+joins with others, no piece lies across (properties read from the vocabulary):
+the matrix has one state there, and the path between two
+such places depends on the text between them only, so it is traced once for
+equal stretches of a batch and remembered. Only the text from a chunk's border
+to the next such place needs the matrix; a chunk without any has it throughout.
+The library reads the model's file and does nothing else.
 
 Pieces are never trained. The model's path is a parameter. Nulls: a null text
 gives null ids, an empty text an empty list; null ids decode to a null text.
 Decoding an encoding gives the text (the model normalises nothing but the space
-that it puts in front; the sign U+2581 itself comes back as a space).
+that it puts in front; the sign U+2581 itself comes back as a space). Repeated
+rows are encoded each; a column named _ids is replaced.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,7 +40,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import cut, plus, ready
+from larkspur.llm.shared import cut, fresh, plus, ready
+from larkspur.llm.words import steps
 
 SPACE = "▁"
 NEVER = float("-inf")
@@ -56,37 +63,88 @@ class Automaton:
         self.piece = [self.sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i))]
         self.id = {self.piece[i]: i for i in plain}
+        self.score = {self.piece[i]: self.sp.get_score(i) for i in plain}
         self.byte = {i: int(self.piece[i][3:5], 16) for i in range(n) if self.sp.is_byte(i)}
         self.longest = max(len(self.piece[i]) for i in plain)
         self.breaks_at_space = not any(SPACE in self.piece[i].lstrip(SPACE) for i in plain)
+        #: characters that a piece may join with others
+        self.social = {c for i in plain if len(self.piece[i]) > 1 for c in self.piece[i]}
+        rest = "".join(re.escape(c) for c in sorted(self.social - {SPACE}))
+        self.pattern = re.compile(f"(?s){SPACE}+[{rest}]*|[{rest}]+|." if self.breaks_at_space else f"(?s)[{rest}{SPACE}]+|.")
         self._valid: dict[tuple[str, str], bool] = {}
-
-    def raw(self, text: str) -> list[str]:
-        """The pieces of a text as it stands, without a space put in front; an unknown character is a piece by itself."""
-        if not text:
-            return []
-        pieces, held = [], bytearray()
-        for x in self.raw_ids(text).tolist():
-            if x in self.byte:
-                held.append(self.byte[x])
-                continue
-            pieces += held.decode()
-            held.clear()
-            pieces.append(self.piece[x])
-        return pieces + list(held.decode())
-
-    def raw_ids(self, text: str) -> np.ndarray:
-        # a line end in front keeps the model's own space apart from the text: it is no part of a longer piece
-        return self.sp.encode("\n" + text.replace(SPACE, " "), return_type="numpy")[2:]
+        self._stretch: dict[str, list[int]] = {}
+        self.bytes = [bytes([self.byte[i]]) if i in self.byte else b"" if self.sp.is_control(i) else self.piece[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.byte_id = {v: k for k, v in self.byte.items()}
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a short text by the model's rule: of all neighbours that make a piece those of the best score are joined first, of equal scores the leftmost."""
+        parts = list(text)
+        while len(parts) > 1:
+            best = max(range(len(parts) - 1), key=lambda i: self.score.get(parts[i] + parts[i + 1], NEVER))
+            if self.score.get(parts[best] + parts[best + 1], NEVER) == NEVER:
+                return parts
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts
 
     def valid(self, a: str, b: str) -> bool:
         got = self._valid.get((a, b))
         if got is None:
-            if len(self._valid) > 200_000:
+            if len(self._valid) > 400_000:
                 self._valid.clear()
-            got = self._valid[a, b] = self.raw(a + b) == [a, b]
+            got = self._valid[a, b] = self.merged(a + b) == [a, b]
+        return got
+
+    def stretch(self, text: str) -> list[int]:
+        """The ids of a text between two places that no piece lies across. The path to each place is the encoding of what stands before it, so one state a place has a finite weight: that of its last piece."""
+        known = self._stretch.get(text)
+        if known is not None:
+            return known
+        ids, pairs, longest = self.id, self._valid, self.longest
+        last = [""] * (len(text) + 1)
+        for end in range(1, len(text) + 1):
+            for start in range(end - 1, max(-1, end - longest - 1), -1):
+                x = text[start:end]
+                if x in ids or end - start == 1:
+                    if not start:
+                        last[end] = x
+                        break
+                    ok = pairs.get((last[start], x))
+                    if ok is None:
+                        ok = self.valid(last[start], x)
+                    if ok:
+                        last[end] = x
+                        break
+        path, at = [], len(text)
+        while at:
+            path.append(last[at])
+            at -= len(last[at])
+        got = self.ids(path[::-1])
+        if len(text) <= 64:
+            if len(self._stretch) > 300_000:
+                self._stretch.clear()
+            self._stretch[text] = got
         return got
 
+    def traced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that begin and end at such places, one after the other, and how many each has."""
+        flat: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            x = self.pattern.findall(t)
+            flat += x
+            counts[k] = len(x)
+        if not flat:
+            return np.zeros(0, np.int32), counts
+        coded = pa.array(flat, pa.large_string()).dictionary_encode()
+        parts = [self.stretch(x) for x in coded.dictionary.to_pylist()]
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = np.array([len(x) for x in parts], np.int64)
+        size = sizes[code]
+        to = np.cumsum(size)
+        at = np.repeat((np.cumsum(sizes) - sizes)[code] - (to - size), size) + np.arange(to[-1])
+        total = np.append(0, to)[np.append(0, np.cumsum(counts))]
+        return np.array([i for x in parts for i in x], np.int32)[at], np.diff(total)
+
     def pieces_at(self, text: str, at: int) -> list[str]:
         found = [text[at : at + n] for n in range(2, min(self.longest, len(text) - at) + 1) if text[at : at + n] in self.id]
         return [text[at : at + 1], *found]
@@ -97,12 +155,14 @@ class Automaton:
             if x in self.id:
                 out.append(self.id[x])
             else:
-                out += [self.sp.piece_to_id(f"<0x{v:02X}>") for v in x.encode()]
+                out += [self.byte_id[v] for v in x.encode()]
         return out
 
     def calm(self, text: str, at: int) -> bool:
         """Whether no piece can lie across this place."""
-        return at == 0 or at >= len(text) or self.breaks_at_space and text[at] == SPACE and text[at - 1] != SPACE
+        if at == 0 or at >= len(text) or text[at] not in self.social or text[at - 1] not in self.social:
+            return True
+        return self.breaks_at_space and text[at] == SPACE and text[at - 1] != SPACE
 
 
 @lru_cache(maxsize=2)
@@ -165,29 +225,10 @@ def walk(a: Automaton, text: str, start: int, end: int, state: State) -> dict[St
 
 def inner(a: Automaton, text: str, start: int, end: int) -> tuple[int, int] | None:
     """The first and last place in a chunk that no piece lies across."""
-    if not a.breaks_at_space:
-        return None
-    first = next((i for i in _spaces(text, start, end) if a.calm(text, i)), None)
-    if a.calm(text, start):
-        first = start
+    first = next((i for i in range(start, end) if a.calm(text, i)), None)
     if first is None:
         return None
-    last = end if a.calm(text, end) else None
-    at = end
-    while last is None:
-        at = text.rfind(SPACE, first, at)
-        if at < 0:
-            last = first
-        elif a.calm(text, at):
-            last = at
-    return first, max(first, last)
-
-
-def _spaces(text: str, start: int, end: int) -> Iterator[int]:
-    at = text.find(SPACE, start, end)
-    while at >= 0:
-        yield at
-        at = text.find(SPACE, at + 1, end)
+    return first, next(i for i in range(end, first - 1, -1) if a.calm(text, i))
 
 
 def transfer(a: Automaton, text: str, start: int, end: int) -> Matrix:
@@ -223,7 +264,7 @@ def trace(a: Automaton, text: str, start: int, end: int, enter: State, leave: St
         return np.array(a.ids([x for x, _ in walk(a, text, start, end, enter)[leave]]), np.int32)
     head = [x for x, _ in walk(a, text, start, calm[0], enter)[("", 0)]] if calm[0] > start else []
     tail = [x for x, _ in walk(a, text, calm[1], end, ("", 0))[leave]] if calm[1] < end else []
-    return np.concatenate([np.array(a.ids(head), np.int32), a.raw_ids(text[calm[0] : calm[1]]).astype(np.int32), np.array(a.ids(tail), np.int32)])
+    return np.concatenate([np.array(a.ids(head), np.int32), a.traced([text[calm[0] : calm[1]]])[0], np.array(a.ids(tail), np.int32)])
 
 
 def lists(parts: list[np.ndarray | None]) -> pa.Array:
@@ -282,8 +323,8 @@ def load(x: str) -> Matrix:
 def encode_text(text: str, p: Pieces = Pieces()) -> list[int]:
     """One text on one machine, by the same scan."""
     a = automaton(p.model)
-    if len(text) <= p.chunk:
-        return a.sp.encode(text)
+    if not text:
+        return []
     text = SPACE + text.replace(" ", SPACE)
     cuts = borders(len(text), p.chunk)
     ids: list[int] = []
@@ -309,44 +350,48 @@ def scan(matrices: list[Matrix]) -> list[tuple[State, State]]:
     return list(zip(border, border[1:], strict=False))
 
 
-def _whole(batches: Iterator[pa.RecordBatch], p: Pieces) -> Iterator[pa.RecordBatch]:
-    sp = automaton(p.model).sp
+def _single(batches: Iterator[pa.RecordBatch], p: Pieces) -> Iterator[pa.RecordBatch]:
+    """Texts of one chunk: both its borders are the text's, so its matrix is the one state that it is traced from."""
+    a = automaton(p.model)
     for batch in batches:
         texts = batch["text"].to_pylist()
-        for k in range(0, max(len(texts), 1), 256):
-            part = texts[k : k + 256]
-            ids = [None if t is None else sp.encode(t, return_type="numpy") for t in part]
-            out = {c: batch[c].slice(k, len(part)) for c in batch.schema.names}
-            yield pa.RecordBatch.from_pydict(out | {"_ids": lists(ids)})
+        for k, e in steps([t or "" for t in texts], 2_000_000):
+            part = texts[k:e]
+            values, sizes = a.traced([SPACE + t.replace(" ", SPACE) if t else "" for t in part])
+            missing = np.array([t is None for t in part], bool)
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values), mask=pa.array(missing) if missing.any() else None)
+            yield pa.RecordBatch.from_pydict({c: batch[c].slice(k, e - k) for c in batch.schema.names} | {"_ids": ids})
 
 
 def encode(docs: DataFrame, p: Pieces = Pieces()) -> DataFrame:
-    """docs with _ids, the piece ids of text (a column of that name, or _row, is replaced). Documents above the chunk's size go through the scan: a document is one row, so what a task holds of it at once, its matrices, is a hundredth of what a row holds."""
+    """docs with _ids, the piece ids of text. Texts of several chunks are dealt by chunk; a text is one row, so what a task holds of it at once, its matrices, is a hundredth of what a row holds."""
     spark = ready(docs.sparkSession)
-    docs = docs.drop("_ids", "_row")
+    docs = docs.drop("_ids")
+    key = fresh(docs, "row")
     schema = plus(docs, "_ids array<int>")
-    giant = F.coalesce(F.length("text") > p.chunk, F.lit(False))
-    whole = docs.filter(~giant).mapInArrow(lambda it: _whole(it, p), schema)
-    rows = cut(docs.filter(giant).withColumn("_row", F.monotonically_increasing_id()))
+    giant = F.coalesce(F.length("text") + 1 > p.chunk + p.chunk // 2, F.lit(False))
+    whole = docs.filter(~giant).mapInArrow(lambda it: _single(it, p), schema)
+    rows = cut(docs.filter(giant).withColumn(key, F.monotonically_increasing_id()))
     if rows.isEmpty():
         return whole
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = rows.select("_row", "text").mapInArrow(lambda it: _chunks(it, p), "_row long, n int, around string, s int, e int").repartition(n, "_row", "n")
+    chunks = rows.select(F.col(key).alias("_row"), "text").mapInArrow(lambda it: _chunks(it, p), "_row long, n int, around string, s int, e int").repartition(n, "_row", "n")
     matrices = chunks.mapInArrow(lambda it: _transfers(it, p), "_row long, n int, matrix string")
     states = matrices.groupBy("_row").applyInArrow(_borders, "_row long, n int, enter string, enter_at int, leave string, leave_at int")
     ids = chunks.join(states, ["_row", "n"]).mapInArrow(lambda it: _traces(it, p), "_row long, n int, ids array<int>")
     ids = ids.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("_ids"))
-    return whole.unionByName(rows.join(ids, "_row").drop("_row").select(*schema.names))
+    return whole.unionByName(rows.join(ids.withColumnRenamed("_row", key), key).select(*schema.names))
 
 
 def _decode(batches: Iterator[pa.RecordBatch], p: Pieces, ids: str, out: str) -> Iterator[pa.RecordBatch]:
-    sp = automaton(p.model).sp
+    piece = automaton(p.model).bytes
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             column = part[ids]
-            at, values = column.offsets.to_numpy(), column.values.to_numpy()
-            texts = [sp.decode(values[at[i] : at[i + 1]]) if column.is_valid()[i].as_py() else None for i in range(len(column))]
+            at, values, known = column.offsets.to_numpy(), column.values, column.is_valid().to_pylist()
+            # the space that the encoding put in front goes
+            texts = [b"".join([piece[x] for x in values.slice(a, b - a).to_pylist()]).decode("utf-8", "replace").removeprefix(" ") if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), known, strict=True)]
             yield pa.RecordBatch.from_pydict({c: part[c] for c in part.schema.names} | {out: pa.array(texts, pa.string())})
 
 

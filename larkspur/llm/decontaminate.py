@@ -13,6 +13,9 @@ windows of the band verifies them. For q = 12 and windows of 96 characters and
 items get a smaller budget, and items shorter than q match only as whole words
 in a row.
 
+Hits are gathered in overlapping segments of a bounded number of hits, so a text
+that repeats itself takes no more memory than another.
+
 The benchmark is a broadcast only in blocks of a bounded number of characters;
 a larger benchmark makes more passes over the documents.
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import ready
+from larkspur.llm.shared import fresh, ready
 from larkspur.llm.words import mix, steps, strings
 
 _GAP = re.compile(r"[\W_]+")
@@ -47,6 +50,7 @@ class LeakSearch:
     step: int = 1
     edit_rate: float = 1 / 16
     block_chars: int = 8_000_000
+    most_hits: int = 2_000_000
 
     def budget(self, length: int) -> int:
         """The edits allowed in a window of this length: the rate's, as far as the lemma still asks for two shared q-grams."""
@@ -162,8 +166,20 @@ def aligned(windows: np.ndarray, text: np.ndarray, start: np.ndarray, edits: int
     return int(least[k]), begin + int(origin[k, d[k]]), min(len(text), begin + size + int(d[k]))
 
 
+def segments(hits: np.ndarray, overlap: int, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places of at most so many hits (or of 4 overlaps), each but the first beginning an overlap before the end of the one before."""
+    total = np.append(0, np.cumsum(hits))
+    start = 0
+    while True:
+        end = min(len(hits), max(start + 4 * overlap, int(np.searchsorted(total, total[start] + most, side="right")) - 1))
+        yield start, end
+        if end >= len(hits):
+            return
+        start = end - overlap
+
+
 def found_in(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, edits, start, end) of the best verified window of each text and item."""
+    """(text, item, edits, start, end) of the best verified window of each text and item: the fewest edits, then the first place."""
     p = items.p
     plain = [normal(t) for t in texts]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -176,6 +192,29 @@ def found_in(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
         k = np.searchsorted(items.known, v[at])
         ok = items.known[np.minimum(k, len(items.known) - 1)] == v[at]
         at, k = at[ok], k[ok]
+        # a window with its edits lies in one segment at least, so memory follows the segment and not the text
+        hits = np.zeros(len(glued), np.int64)
+        hits[at] = items.often[k]
+        overlap = int(items.size.max() + 2 * items.budget.max()) + p.q
+        for lo, hi in segments(hits, overlap, p.most_hits):
+            here = slice(*np.searchsorted(at, [lo, hi]))
+            _verified(plain, glued, first, at[here], k[here], items, best)
+    if len(items.short):
+        for t, x in enumerate(plain):
+            for end, owners in items.short.iter(f" {x} "):
+                for item in owners:
+                    n = len(items.texts[item])
+                    y = f" {x} "
+                    if y[end - n] == " " and y[end + 1] == " ":
+                        best.setdefault((t, item), (0, end - n, end))
+    for (t, item), (edits, s, e) in sorted(best.items()):
+        yield t, item, edits, s, e
+
+
+def _verified(plain: list[str], glued: np.ndarray, first: np.ndarray, at: np.ndarray, k: np.ndarray, items: Items, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """Adds to best what the q-grams k of the index at the places at verify."""
+    p = items.p
+    if len(at):
         often = items.often[k]
         place = np.repeat(at, often)
         entry = np.repeat(items.from_[k], often) + np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
@@ -183,6 +222,10 @@ def found_in(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
         text = np.searchsorted(first, place, side="right") - 1
         inner = items.place[entry]
         diagonal = place - first[text] - inner + items.longest
+        # an item found as it stands can't be found better further on
+        done = np.array([t * len(items.texts) + n for (t, n), x in best.items() if not x[0]], np.int64)
+        ok = ~np.isin(text * len(items.texts) + item, done)
+        text, item, inner, diagonal, place = text[ok], item[ok], inner[ok], diagonal[ok], place[ok]
         # too few hits of the item in the text for any window
         _, pair, total = np.unique(text * len(items.texts) + item, return_inverse=True, return_counts=True)
         ok = total[pair] >= items.need[item]
@@ -197,7 +240,7 @@ def found_in(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
         for h in np.flatnonzero(whole).tolist():
             t, n, a = int(text[h]), int(item[h]), int(inner[h])
             s, size = int(diagonal[h]) - items.longest + a, int(items.size[n])
-            if (t, n) not in best and plain[t][s : s + size] == items.texts[n][a : a + size]:
+            if (0, s) < best.get((t, n), (1,))[:2] and plain[t][s : s + size] == items.texts[n][a : a + size]:
                 best[t, n] = (0, s, s + size)
         half = items.budget[item] + 1
         held: tuple[int, np.ndarray] = (-1, glued[:0])
@@ -231,16 +274,6 @@ def found_in(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, in
                     got = aligned(every[x], held[1], np.maximum(0, low + x), edits)
                     if got and got < best.get((t, n), (1 << 20, 0, 0)):
                         best[t, n] = got
-    if len(items.short):
-        for t, x in enumerate(plain):
-            for end, owners in items.short.iter(f" {x} "):
-                for item in owners:
-                    n = len(items.texts[item])
-                    y = f" {x} "
-                    if y[end - n] == " " and y[end + 1] == " ":
-                        best.setdefault((t, item), (0, end - n, end))
-    for (t, item), (edits, s, e) in sorted(best.items()):
-        yield t, item, edits, s, e
 
 
 def _leaks(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
@@ -271,7 +304,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: LeakSearch = LeakSearch()) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: LeakSearch = LeakSearch()) -> DataFrame:
-    """The rows of docs without a leak. Columns of docs named _id or _tk are dropped."""
-    docs = docs.drop("_id", "_tk")
-    bad = leaks(docs, benchmark, p).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tk")), "left_anti")
+    """The rows of docs without a leak."""
+    own, key = fresh(docs, "id"), fresh(docs, "tk")
+    bad = leaks(docs, benchmark, p).select(F.col("doc_id").alias(own), F.col("tk").alias(key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(key)), "left_anti")

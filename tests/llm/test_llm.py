@@ -538,3 +538,15 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in out} == ids and all(r["n_tokens"] == len(r["token_ids"]) for r in out)
     for _, stage in cp.STAGES:
         assert stage(spark, base.limit(0), DATA).count() == 0
+
+
+def test_leaks_by_segments():
+    """Segments of few hits find what one segment finds; a text that repeats itself is bounded by them."""
+    r = random.Random(3)
+    items = [(i, noise(760 + i, 25)) for i in range(5)] + [(7, "a" * 150), (8, "ab" * 60)]
+    texts = [noise(770, 300) + " " + items[1][1] + " " + noise(771, 50), "x " + "a" * 3000 + " y", "ab" * 900, " ".join(items[k % 5][1] for k in range(12)), "a" * 90, ""]
+    texts.append("".join(c if r.random() > 0.02 else "z" for c in texts[3]))
+    one = list(decontaminate.found_in(texts, decontaminate.Items(items, decontaminate.LeakSearch(most_hits=10**9))))
+    assert len(one) > 10
+    for most in (50, 1000, 20_000):
+        assert list(decontaminate.found_in(texts, decontaminate.Items(items, decontaminate.LeakSearch(most_hits=most)))) == one

@@ -13,7 +13,8 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th", "tbody", "tfoot"), "tbody": ("tr", "td", "th", "thead", "tfoot"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
 WALL = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 
-_TAG = re.compile(r"""<!--|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>?""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"""[^>"']*""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -35,84 +36,145 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
+class Scanner:
+    """Where tags end, in time that follows the page's length whatever is in it: what was looked for in vain isn't looked for again."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.absent: dict[str, int] = {}  # from where on
+        self.dead: set[int] = set()
+
+    def find(self, what: str, at: int, text: str | None = None) -> int:
+        if at >= self.absent.get(what, len(self.html) + 1):
+            return -1
+        found = (self.html if text is None else text).find(what, at)
+        if found < 0:
+            self.absent[what] = at
+        return found
+
+    def close(self, at: int) -> int:
+        """The > that ends a tag whose attributes begin at at, outside quotes if there is one; -1 if none."""
+        passed = []
+        here = at
+        while True:
+            here = _PLAIN.match(self.html, here).end()
+            if here >= len(self.html) or here in self.dead:
+                break
+            if self.html[here] == ">":
+                return here
+            passed.append(here)
+            end = self.find(self.html[here], here + 1)
+            if end < 0:
+                break
+            here = end + 1
+        self.dead.update(passed)
+        return self.find(">", at)
+
+
+class Stack:
+    """The open elements, with the places of each tag and of block elements among them."""
+
+    def __init__(self, dom: Dom) -> None:
+        self.dom = dom
+        self.items = [0]
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, element: int) -> None:
+        name = self.dom.tag[element]
+        self.places.setdefault(name, []).append(len(self.items))
+        if name not in INLINE:
+            self.blocks.append(len(self.items))
+        self.items.append(element)
+
+    def nearest(self, names: tuple[str, ...]) -> int:
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def cut(self, place: int) -> int:
+        """Closes all from a place on; the number of block elements among them."""
+        blocks = 0
+        while len(self.items) > place:
+            name = self.dom.tag[self.items.pop()]
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+                blocks += 1
+        return blocks
+
+
 def parse(html: str) -> Dom:
     dom = Dom()
-    stack = [0]
+    stack, scan = Stack(dom), Scanner(html)
     block = at = 0
     lower = None
 
     def text(piece: str) -> None:
         if piece:
-            dom.texts.append((stack[-1], piece, block))
+            dom.texts.append((stack.items[-1], piece, block))
 
+    begun = 0  # where text that isn't given yet begins
     while True:
-        m = _TAG.search(html, at)
-        if not m:
-            text(html[at:])
+        mark = html.find("<", at)
+        if mark < 0:
+            text(html[begun:])
             return dom
-        text(html[at : m.start()])
-        at = m.end()
-        whole = m[0]
-        if whole == "<!--":
-            end = html.find("-->", at)
-            at = len(html) if end < 0 else end + 3
+        if html.startswith("<!--", mark):
+            text(html[begun:mark])
+            end = scan.find("-->", mark + 4)
+            at = begun = len(html) if end < 0 else end + 3
             continue
-        if whole == "<![CDATA[":
-            end = html.find("]]>", at)
-            text(html[at : len(html) if end < 0 else end])
-            at = len(html) if end < 0 else end + 3
+        if html.startswith("<![CDATA[", mark):
+            text(html[begun:mark])
+            end = scan.find("]]>", mark + 9)
+            text(html[mark + 9 : len(html) if end < 0 else end])
+            at = begun = len(html) if end < 0 else end + 3
             continue
-        name = m[2] or m[5]
-        if not name:
+        closing = html.startswith("/", mark + 1)
+        m = _NAME.match(html, mark + 1 + closing)
+        end = scan.close(m.end()) if m else -1
+        if end < 0:
+            if html[mark + 1 : mark + 2] in ("!", "?", "/"):
+                text(html[begun:mark])
+                end = scan.find(">", mark + 2)
+                at = begun = len(html) if end < 0 else end + 1
+            else:
+                at = mark + 1
             continue
-        name = name.lower()
-        if m[1] or m[4]:
-            if name in dom_open(dom, stack):
-                while dom.tag[stack[-1]] != name:
-                    if dom.tag[stack[-1]] not in INLINE:
-                        block += 1
-                    stack.pop()
-                stack.pop()
+        text(html[begun:mark])
+        at = begun = end + 1
+        name = m[0].lower()
+        if closing:
+            if place := stack.nearest((name,)):
+                block += stack.cut(place + 1)
+                stack.cut(place)
             if name not in INLINE:
                 block += 1
             continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if dom.tag[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if dom.tag[stack[k]] not in INLINE:
-                    break
+        if name in CLOSES_P and dom.tag[stack.items[stack.blocks[-1]]] == "p":
+            stack.cut(stack.blocks[-1])
         if name in SAME:
-            for k in range(len(stack) - 1, 0, -1):
-                if dom.tag[stack[k]] in SAME[name]:
-                    del stack[k:]
-                    if name != "tr" and name not in ("thead", "tbody", "tfoot"):
-                        break
-                if k < len(stack) and dom.tag[stack[k]] in WALL[name]:
+            while (place := stack.nearest(SAME[name])) > stack.nearest(WALL[name]):
+                stack.cut(place)
+                if name not in ("tr", "thead", "tbody", "tfoot"):
                     break
         if name not in INLINE:
             block += 1
         dom.tag.append(name)
-        dom.parent.append(stack[-1])
-        dom.attributes.append(m[3] if m[2] else m[6])
+        dom.parent.append(stack.items[-1])
+        dom.attributes.append(html[m.end() : end])
         own = len(dom.tag) - 1
         if name in ("br", "hr"):
-            dom.texts.append((stack[-1], " ", block))
+            dom.texts.append((stack.items[-1], " ", block))
         if name in ("img", "video", "audio", "source", "embed", "object"):
             dom.media.append((own, len(dom.texts)))
         if name in VOID or dom.attributes[own].endswith("/") and name in ("svg", "path", "use"):
             continue
         if name in RAW:
             lower = lower if lower is not None else html.lower() if html.isascii() else re.sub("[A-Z]", lambda x: x[0].lower(), html)
-            end = lower.find("</" + name, at)
-            close = html.find(">", end) if end >= 0 else -1
+            end = scan.find("</" + name, at, lower)
+            close = scan.find(">", end) if end >= 0 else -1
             if end < 0 and name in ("noscript", "template", "iframe"):
                 continue
-            at = close + 1 if close >= 0 else len(html)
+            at = begun = close + 1 if close >= 0 else len(html)
             continue
-        stack.append(own)
-
-
-def dom_open(dom: Dom, stack: list[int]) -> set[str]:
-    return {dom.tag[k] for k in stack[1:]}
+        stack.push(own)

@@ -10,10 +10,12 @@ probability 1 - (1 - s) ** values: at the least similarity that the containment
 bound allows, 0.66, and 12 values that is above 1 - 3e-6, and a window that
 holds the template whole always meets it. A candidate's region is then verified:
 the share of the template's shingles in it (containment) must reach the
-threshold, and the text it covers is returned.
+threshold, and the text it covers is returned. Licenses whose wordings are alike
+(versions of one, or one with a clause more) match the same words: of those only
+the best match stays.
 
 Templates of fewer words than a shingle are one shingle of all their words and
-aren't matched here. Nulls: a null text is an empty one and has no license; a
+aren't matched here. Equal matches: the template that comes first. Nulls: a null text is an empty one and has no license; a
 null doc_id is returned as it is. Repeated rows each give their rows.
 """
 
@@ -173,7 +175,21 @@ def matches(texts: list[str], lib: Library) -> list[tuple[int, int, float, int,
                 if share >= p.containment:
                     out.append((d, t, share, lo + s - int(w.first[d]), lo + int(here[-1]) + p.words - int(w.first[d])))
                     last_end = int(here[-1])
-    return sorted(set(out))
+    return apart(out, lib)
+
+
+def apart(found: list[tuple[int, int, float, int, int]], lib: Library) -> list[tuple[int, int, float, int, int]]:
+    """Of matches that cover the same words (more than half of the shorter one's) the one that explains most: its template's shingles that are there less those that aren't; then the better contained, then the first template."""
+    worth = sorted(set(found), key=lambda x: (x[0], -(2 * x[2] - 1) * len(lib.sorted[x[1]]), -x[2], x[1], x[3]))
+    kept: list[tuple[int, int, float, int, int]] = []
+    own: list[tuple[int, int]] = []
+    for x in worth:
+        if kept and kept[-1][0] != x[0]:
+            own = []
+        if all(2 * (min(e, x[4]) - max(s, x[3])) <= min(e - s, x[4] - x[3]) for s, e in own):
+            kept.append(x)
+            own.append((x[3], x[4]))
+    return sorted(kept)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], lib: Library) -> Iterator[pa.RecordBatch]:

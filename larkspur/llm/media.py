@@ -93,6 +93,12 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_store, "media binary")
 
 
+def stored_in(media: DataFrame, folder: str) -> DataFrame:
+    """The stored forms written to a folder that all executors see, and read from there."""
+    media.write.option("compression", "zstd").parquet(folder)
+    return media.sparkSession.read.parquet(folder)
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("digest", "media_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature")}
@@ -170,8 +176,8 @@ def sequences(pages: DataFrame) -> DataFrame:
 
 
 def resolve(pages: DataFrame, media: DataFrame) -> DataFrame:
-    """A row for each media reference of sequences(): the page's columns, position, caption, ref, and the facts of the payload with that digest."""
+    """A row for each media reference of sequences(): the page's columns, position, caption, ref, and the facts of the payload with that digest, which is that of the stored bytes that were read."""
     refs = pages.withColumn("_part", F.explode("_parts")).drop("_parts").filter(F.col("_part.kind") == "media")
     refs = refs.select(*[c for c in refs.columns if c != "_part"], F.col("_part.position").alias("position"), F.col("_part.caption").alias("caption"), F.col("_part.ref").alias("ref"))
     # cut: so the join reads both sides from exchanges, and adaptive execution can split a hot digest
-    return refs.join(cut(facts(media)), refs["ref"] == F.col("digest"), "left").drop("digest")
+    return refs.join(cut(facts(media)), refs["ref"] == F.col("digest"), "left")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, html_extract, licenses, media, ngram_join, quality, spm, substring_dedup, toxicity, url_filters
-from larkspur.llm.shared import held_out, table
+from larkspur.llm.shared import held_out, remove, shared_folder, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +53,16 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is a page with one figure whose payload is the document's text; the page's reference is resolved by its digest."""
+    """Each document is a page with one figure between its words, whose payload is the document's text. The payloads are stored in the shared folder and read from there; the page's reference is resolved by its digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     digest = media.media_digest(F.col("text"))
-    page = F.concat(F.lit('<figure><img src="media:'), digest, F.lit('"><figcaption>text of document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("</figcaption></figure>"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    page = F.concat(F.lit("<p>document "), name, F.lit('</p><figure><img src="media:'), digest, F.lit('"><figcaption>text of document '), name, F.lit("</figcaption></figure><p>end</p>"))
     pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), page.alias("html"))
-    out = media.resolve(media.sequences(pages), media.store(docs))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("ref").alias("media_sha256"), "feature", "position", "caption")
+    folder = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
+    out = media.resolve(media.sequences(pages), media.stored_in(media.store(docs), folder))
+    remove(spark, folder)  # the facts are cut from it
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("digest").alias("media_sha256"), "feature", "position", "caption")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -550,3 +551,31 @@ def test_leaks_by_segments():
     assert len(one) > 10
     for most in (50, 1000, 20_000):
         assert list(decontaminate.found_in(texts, decontaminate.Items(items, decontaminate.LeakSearch(most_hits=most)))) == one
+
+
+def test_one_license_for_alike_wordings():
+    """A notice yields its own license and not those whose wording is alike."""
+    lib = licenses.Library(licenses.TEMPLATES, licenses.LicenseScan())
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            if len(t.split()) >= 12:
+                got = licenses.matches([f"{noise(1, 40)} {t} {noise(2, 40)}"], lib)
+                assert {lib.names[x[1]][0] for x in got} == {name} and max(x[2] for x in got) == 1.0, (name, got)
+    both = " ".join(licenses.TEMPLATES[n][0] for n in list(licenses.TEMPLATES)[:2])
+    assert len({x[1] for x in licenses.matches([both], lib)}) >= 2
+
+
+@pytest.mark.parametrize("page", ["<a '" * 100_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, "<b>" * 50_000 + "<p></p>" * 50_000, "<iframe>" * 50_000, "<dl><dd><dl>" + "<div>" * 30_000 + "<dd></dd>" * 30_000, "<" * 300_000, "</x>" * 100_000])
+def test_odd_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extract.extract(page, html_extract.default())
+    media.parts(page)
+    assert time.process_time() - began < 20
+
+
+@here
+def test_sequences_of_pages(spark):
+    """Positions of the parts of real pages follow each other, and references stay with their captions."""
+    for r in media.sequences(spark.read.parquet(f"{DATA}/pages.parquet")).collect():
+        assert [x["position"] for x in r["_parts"]] == list(range(len(r["_parts"])))
+        assert all((x["text"] is None) == (x["kind"] == "media") and (x["ref"] is None or x["kind"] == "media") for x in r["_parts"])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import components, cut, ready
+from larkspur.llm.shared import components, cut, fresh, ready
 from larkspur.llm.words import MinHash, Words, mix, shingles, steps, strings, whole_groups
 
 
@@ -44,7 +44,7 @@ class JaccardJoin:
     tolerance: float = 1e-5
     at_once: int = 10
     bucket_block: int = 512
-    verify_block: int = 256
+    verify_block: int = 128
 
     @property
     def values(self) -> int:
@@ -254,11 +254,11 @@ def classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
-    """docs with one row of each class: the least doc_id. Identical rows count once. Columns of docs named _id, _tk, _tk2 or _n are dropped."""
-    docs = docs.drop("_id", "_tk", "_tk2", "_n", "_one")
-    kept = cut(classes(docs, p).filter("kept_key").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.lit(1).alias("_one")))
-    alone = kept.groupBy("_id", "_tk").agg(F.count("*").alias("_n"))
-    joined = docs.withColumn("_tk2", F.xxhash64("text")).join(alone, (F.col("_tk2") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    if alone.filter("_n > 1").limit(1).count():
-        joined = joined.dropDuplicates(["_id", "_tk"])
+    """docs with one row of each class: the least doc_id. Identical rows count once."""
+    own, key, count, mine = (fresh(docs, x) for x in ("id", "tk", "n", "own_tk"))
+    kept = classes(docs, p).filter("kept_key").select(F.col("doc_id").alias(own), F.col("tk").alias(key))
+    alone = cut(kept.groupBy(own, key).agg(F.count("*").alias(count)))
+    joined = docs.withColumn(mine, F.xxhash64("text")).join(alone, (F.col(mine) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(own)))
+    if alone.filter(F.col(count) > 1).limit(1).count():
+        joined = joined.dropDuplicates([own, key])
     return joined.select(*docs.columns)

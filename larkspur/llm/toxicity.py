@@ -3,16 +3,23 @@
 Texts are folded first: lower case, homoglyphs of other scripts and digits or
 signs used as letters become Latin letters. The lexicon is learned from a
 bounded sample of labelled rows: beginnings of words (of 4 to 8 characters, and
-whole words of fewer, marked by a full stop) whose share among toxic documents is far above that among others, with
-the log of that ratio as weight. A beginning must follow several different
-words among the toxic documents, so that a text with many copies doesn't make
-all its words look toxic. Exception phrases are whole words that begin
-with a lexicon entry but don't follow its label; a match inside one doesn't
-count. The score is a logistic function of the weights' sum and of that sum
-divided by the text's words.
-
-Nulls: a null text is an empty one and scores as a text without matches.
-Nothing but the text is an input of a score. Very long texts are read whole.
+whole words of fewer, marked by a full stop) whose share among toxic documents
+is far above that among others, with the log of that ratio as weight. A stem
+that clean documents have by chance too is known by its inflections: documents
+with two different words of that beginning are counted as well, and either count
+may prove an entry. A beginning must follow several different words among the
+toxic documents, so that a text with many copies doesn't make all its words look
+toxic. Of entries that begin alike the better proven one stays.
+
+Exception phrases are words that begin with an entry, alone or with the word
+after them, and are found among clean documents rather than toxic ones; a match
+of one doesn't count. The score is a logistic function of the weights' sum and
+of that sum divided by the text's words.
+
+Nulls: a null text is an empty one and scores as a text without matches; a null
+label or id is no label. Of several labels of an id the least counts. Repeated
+rows and ties score alike. Nothing but the text is an input of a score. Very
+long texts are read whole.
 """
 
 from __future__ import annotations
@@ -20,7 +27,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,10 +49,10 @@ class ToxicityFit:
     train_rows: int = 12_000
     lengths: tuple[int, ...] = (4, 5, 6, 7, 8)
     least_documents: int = 3
-    least_weight: float = 2.2
+    least_weight: float = 1.5
     least_contexts: int = 5
-    entries: int = 400
-    exceptions: int = 2_000
+    proof: float = 8.0
+    stem_proof: float = 6.5
     threshold: float = 0.7
 
 
@@ -85,42 +91,64 @@ def matched(folded: str, automaton: ahocorasick.Automaton, exceptions: set[str])
             best[start] = (n, weight)
     total, count = 0.0, 0
     for start, (_, weight) in best.items():
-        if exceptions and _WORD.match(folded, start)[0] in exceptions:
+        if exceptions and exceptions.intersection(phrases(folded, start)):
             continue
         total += weight
         count += 1
     return total, count
 
 
+def phrases(folded: str, start: int) -> list[str]:
+    """The word that begins at a place, and it with the word after it."""
+    word = _WORD.match(folded, start)
+    after = _WORD.search(folded, word.end())
+    return [word[0], f"{word[0]} {after[0]}"] if after else [word[0]]
+
+
 def _values(total: float, count: int, words: int) -> tuple[float, float]:
     return math.log1p(max(total, 0.0)), math.log1p(100 * max(total, 0.0) / (words + 20))
 
 
 def _counts(batches: Iterator[pa.RecordBatch], p: ToxicityFit) -> Iterator[pa.RecordBatch]:
-    """For each beginning and whole word (marked by a full stop), the toxic and other documents with it, of one task; contexts: a bit for each hash value of the word before it in a toxic document."""
-    tox: Counter = Counter()
-    other: Counter = Counter()
-    contexts: dict[str, int] = {}
+    """For each beginning and whole word (marked by a full stop), the toxic and other documents with it, and with two different words of it, of one task; contexts: a bit for each hash value of the word before it in a toxic document."""
+    counts: dict[str, list[int]] = {}
     for batch in batches:
         for text, label in zip(strings(batch["text"]), batch["label"].to_pylist(), strict=True):
-            seen: dict[str, int] = {}
+            seen: dict[str, list[int]] = {}
             before = ""
             for w in _WORD.findall(fold(text)):
-                bit = 1 << (zlib.crc32(before.encode()) % 63) if label else 0
-                seen[w + "."] = seen.get(w + ".", 0) | bit
+                seen.setdefault(w + ".", [0, 1])[0] |= 1 << (zlib.crc32(before.encode()) % 63) if label else 0
                 before = w
-            for key, bits in list(seen.items()):
+            for key, (bits, _) in list(seen.items()):
                 for n in p.lengths:
                     if len(key) > n:
-                        seen[key[:n]] = seen.get(key[:n], 0) | bits
-            (tox if label else other).update(seen.keys())
-            if label:
-                for k, bits in seen.items():
-                    contexts[k] = contexts.get(k, 0) | bits
-    keys = list(tox | other)
+                        x = seen.setdefault(key[:n], [0, 0])
+                        x[0] |= bits
+                        x[1] += 1
+            for key, (bits, words) in seen.items():
+                c = counts.setdefault(key, [0, 0, 0, 0, 0])
+                c[0 if label else 1] += 1
+                if words > 1:
+                    c[2 if label else 3] += 1
+                c[4] |= bits
+    keys = list(counts)
     for a in range(0, len(keys), 20_000):
         k = keys[a : a + 20_000]
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(k), "tox": pa.array([tox[x] for x in k]), "other": pa.array([other[x] for x in k]), "contexts": pa.array([contexts.get(x, 0) for x in k], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"gram": pa.array(k), **{name: pa.array([counts[x][i] for x in k], pa.int64()) for i, name in enumerate(("tox", "other", "tox2", "other2", "contexts"))}})
+
+
+def _found_phrases(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+    """The words that begin with an entry, alone and with the next word: how many toxic and other documents have them, of one task."""
+    a = lexicon.automaton()
+    counts: dict[str, list[int]] = {}
+    for batch in batches:
+        for text, label in zip(strings(batch["text"]), batch["label"].to_pylist(), strict=True):
+            folded = fold(text)
+            starts = {end - n + 1 for end, (n, _, _) in a.iter(folded)}
+            for x in {x for s in starts if s == 0 or not folded[s - 1].isalnum() for x in phrases(folded, s)}:
+                counts.setdefault(x, [0, 0])[0 if label else 1] += 1
+    keys = list(counts)
+    yield pa.RecordBatch.from_pydict({"phrase": pa.array(keys, pa.string()), "tox": pa.array([counts[x][0] for x in keys], pa.int64()), "other": pa.array([counts[x][1] for x in keys], pa.int64())})
 
 
 def _match_rows(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
@@ -135,7 +163,7 @@ def _match_rows(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """Text and label of a bounded sample of the rows that may be learned from: about so many, chosen by a hash of their id."""
-    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     n = rows.count()
     rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, most / max(n, 1)))))
     return docs.select("doc_id", "text").join(rows, "doc_id").select("text", "label")
@@ -166,35 +194,27 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityFit = ToxicityFit()) -> L
     if not toxic or not other:
         rows.unpersist()
         return lexicon
-    counts = rows.select("text", (F.col("label") == 1).alias("label")).mapInArrow(lambda it: _counts(it, p), "gram string, tox long, other long, contexts long").groupBy("gram").agg(F.sum("tox").alias("tox"), F.sum("other").alias("other"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
-    weight = F.log((F.col("tox") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
-    counts = counts.withColumn("weight", weight).persist()
-    found = counts.filter((F.col("tox") >= p.least_documents) & (F.col("weight") >= p.least_weight) & (F.col("contexts") >= p.least_contexts) & (~F.col("gram").endswith(".") | (F.length("gram") <= min(p.lengths))))
-    # evidence: how surely the ratio isn't chance (the signed root of the likelihood ratio's main term)
-    found = found.withColumn("proof", F.col("weight") * F.sqrt("tox")).orderBy(F.desc("proof"), F.length("gram"), "gram").limit(20 * p.entries).collect()
-    chosen: dict[str, tuple[float, int]] = {}
+    ratio = lambda x, y: F.log((F.col(x) + 0.5) / (toxic + 1)) - F.log((F.col(y) + 0.5) / (other + 1))
+    marked = rows.select("text", (F.col("label") == 1).alias("label"))
+    counts = marked.mapInArrow(lambda it: _counts(it, p), "gram string, tox long, other long, tox2 long, other2 long, contexts long")
+    counts = counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("tox", "other", "tox2", "other2")), F.bit_count(F.bit_or("contexts")).alias("contexts"))
+    counts = counts.withColumn("weight", ratio("tox", "other")).withColumn("weight2", ratio("tox2", "other2"))
+    # evidence: how surely a ratio isn't chance (the signed root of the likelihood ratio's main term)
+    single = (F.col("tox") >= p.least_documents) & (F.col("weight") * F.sqrt("tox") >= p.proof)
+    stem = (F.col("tox2") >= p.least_documents) & (F.col("weight2") * F.sqrt("tox2") >= p.stem_proof)
+    found = counts.filter((single | stem) & (F.col("weight") >= p.least_weight) & (F.col("contexts") >= p.least_contexts) & (~F.col("gram").endswith(".") | (F.length("gram") <= min(p.lengths))))
+    found = found.withColumn("proof", F.greatest(F.col("weight") * F.sqrt("tox"), F.col("weight2") * F.sqrt("tox2"))).orderBy(F.desc("proof"), F.length("gram"), "gram").collect()
+    chosen: dict[str, float] = {}
     for r in found:
         g = r["gram"]
-        if len(chosen) >= p.entries:
-            break
-        if any(g.startswith(k) or k.startswith(g) for k in chosen) or r["proof"] < 8:
-            continue
-        chosen[g] = (r["weight"], r["tox"])
-    # the longest beginning with the same documents says the same and matches less
-    tox_of = {r["gram"]: (r["tox"], r["other"], r["weight"]) for r in found}
-    for g in list(chosen):
-        longer = [k for k, v in tox_of.items() if k.startswith(g) and v[0] >= 0.95 * tox_of[g][0]]
-        best = max(longer, key=len, default=g)
-        weight_of = chosen.pop(g)
-        chosen[best] = (tox_of[best][2], weight_of[1])
-    lexicon.weights = {g: float(min(w, 6.0)) for g, (w, _) in sorted(chosen.items())}
+        if not any(g.startswith(k) or k.startswith(g) for k in chosen):
+            # the longest beginning with the same documents says the same and matches less
+            best = max((x for x in found if x["gram"].startswith(g) and x["tox"] >= 0.95 * r["tox"]), key=lambda x: len(x["gram"]))
+            chosen[best["gram"]] = float(min(best["weight"], 6.0))
+    lexicon.weights = dict(sorted(chosen.items()))
     if lexicon.weights:
-        begins = F.lit(False)
-        words = F.col("gram").endswith(".") & (F.col("other") >= 3) & (F.col("weight") < 0)
-        for n in sorted({len(g) for g in lexicon.weights}):
-            begins = begins | F.substring("gram", 1, n).isin([g for g in lexicon.weights if len(g) == n])
-        lexicon.exceptions = {r["gram"][:-1] for r in counts.filter(words & begins).orderBy(F.desc("other"), "gram").limit(p.exceptions).select("gram").collect()}
-    counts.unpersist()
+        said = marked.mapInArrow(lambda it: _found_phrases(it, lexicon), "phrase string, tox long, other long").groupBy("phrase").agg(F.sum("tox").alias("tox"), F.sum("other").alias("other"))
+        lexicon.exceptions = {r["phrase"] for r in said.filter((F.col("other") >= p.least_documents) & (ratio("tox", "other") < 0)).select("phrase").collect()}
     got = rows.mapInArrow(lambda it: _match_rows(it, lexicon), "label int, total double, count long, words long").collect()
     rows.unpersist()
     x = np.array([_values(r["total"], r["count"], r["words"]) for r in got])

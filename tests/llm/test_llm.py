@@ -286,10 +286,28 @@ def test_toxicity_held_out(spark):
     rows = queries.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     hit = [r["predicted"] for r in rows if r["toxic"] == 1]
     false = [r["predicted"] for r in rows if r["toxic"] == 0]
-    assert sum(hit) >= 0.85 * len(hit) and sum(false) <= 0.01 * len(false)
+    assert sum(hit) >= 0.9 * len(hit) and sum(false) <= 0.01 * len(false)
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
 
 
+def test_exception_phrases(spark):
+    """A stem is learned from its inflections; the bare word and a fixed phrase of clean documents don't count. Of two labels of an id the least holds."""
+    r = random.Random(6)
+    plain = lambda n: [r.choice(["river", "stone", "meadow", "window", "paper", "market"]) for _ in range(n)]
+    rows = []
+    for i in range(400):
+        bad = [f"zoggar{r.choice(['en', 'ik', 'ost', 'ul'])}" for _ in range(3)]
+        w = plain(20) + (bad if i % 2 else ["zoggar"] if i % 40 == 2 else ["zoggarik", "park"] if i % 40 == 4 else [])
+        if i % 2:
+            r.shuffle(w)
+        rows.append((i, " ".join(w)))
+    labels = [(i, 1, i % 2) for i, _ in rows] + [(i, 1, 1) for i in range(0, 400, 2)]
+    made = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    hits = lambda t: toxicity.matched(toxicity.fold(t), made.automaton(), made.exceptions)[1]
+    assert {"zoggar", "zoggarik park"} <= made.exceptions and any("zoggar".startswith(k) for k in made.weights)
+    assert hits("the zoggar") == 0 and hits("Zoggarik, park!") == 0 and hits("a zoggarik") == 1 and hits("z0ggarul") == 1
+
+
 def test_toxicity_edges(spark, odd, labels):
     out = toxicity.score(odd, toxicity.fit(odd, labels)).collect()
     assert len(out) == odd.count() and all(0 <= r["_score"] <= 1 for r in out)

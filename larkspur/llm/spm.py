@@ -11,9 +11,8 @@ leave it. Matrices combine associatively; the combined prefix gives the state
 each chunk is entered in, and every chunk is traced back by itself from that
 state. A text of one chunk has nothing to combine: it is traced where it is.
 
-Where a space follows another character, and beside a character that no piece
-joins with others, no piece lies across (properties read from the vocabulary):
-the matrix has one state there, and the path between two
+Between two characters that stand side by side in no piece of the vocabulary (as
+a letter and the space after it) no piece lies across: the matrix has one state there, and the path between two
 such places depends on the text between them only, so it is traced once for
 equal stretches of a batch and remembered. Only the text from a chunk's border
 to the next such place needs the matrix; a chunk without any has it throughout.
@@ -29,7 +28,6 @@ rows are encoded each; a column named _ids is replaced.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -66,11 +64,14 @@ class Automaton:
         self.score = {self.piece[i]: self.sp.get_score(i) for i in plain}
         self.byte = {i: int(self.piece[i][3:5], 16) for i in range(n) if self.sp.is_byte(i)}
         self.longest = max(len(self.piece[i]) for i in plain)
-        self.breaks_at_space = not any(SPACE in self.piece[i].lstrip(SPACE) for i in plain)
-        #: characters that a piece may join with others
-        self.social = {c for i in plain if len(self.piece[i]) > 1 for c in self.piece[i]}
-        rest = "".join(re.escape(c) for c in sorted(self.social - {SPACE}))
-        self.pattern = re.compile(f"(?s){SPACE}+[{rest}]*|[{rest}]+|." if self.breaks_at_space else f"(?s)[{rest}{SPACE}]+|.")
+        # characters of pieces by number, and which two stand side by side in some piece
+        social = sorted({c for i in plain if len(self.piece[i]) > 1 for c in self.piece[i]})
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in social]] = np.arange(1, len(social) + 1)
+        self.joins = np.zeros((len(social) + 1, len(social) + 1), bool)
+        for i in plain:
+            c = self.number[[ord(x) for x in self.piece[i]]]
+            self.joins[c[:-1], c[1:]] = True
         self._valid: dict[tuple[str, str], bool] = {}
         self._stretch: dict[str, list[int]] = {}
         self.bytes = [bytes([self.byte[i]]) if i in self.byte else b"" if self.sp.is_control(i) else self.piece[i].replace(SPACE, " ").encode() for i in range(n)]
@@ -127,14 +128,17 @@ class Automaton:
 
     def traced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that begin and end at such places, one after the other, and how many each has."""
-        flat: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            x = self.pattern.findall(t)
-            flat += x
-            counts[k] = len(x)
-        if not flat:
-            return np.zeros(0, np.int32), counts
+        glued = "".join(texts)
+        if not glued:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        ends = np.cumsum([len(t) for t in texts])
+        number = self.number[np.frombuffer(glued.encode("utf-32-le"), np.uint32)]
+        apart = np.append(~self.joins[number[:-1], number[1:]], True)
+        apart[ends[ends > 0] - 1] = True
+        to = np.flatnonzero(apart) + 1
+        counts = np.diff(np.append(0, np.searchsorted(to, ends, side="right")))
+        cuts = [0, *to.tolist()]
+        flat = [glued[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
         coded = pa.array(flat, pa.large_string()).dictionary_encode()
         parts = [self.stretch(x) for x in coded.dictionary.to_pylist()]
         code = coded.indices.to_numpy(zero_copy_only=False)
@@ -160,9 +164,7 @@ class Automaton:
 
     def calm(self, text: str, at: int) -> bool:
         """Whether no piece can lie across this place."""
-        if at == 0 or at >= len(text) or text[at] not in self.social or text[at - 1] not in self.social:
-            return True
-        return self.breaks_at_space and text[at] == SPACE and text[at - 1] != SPACE
+        return at == 0 or at >= len(text) or not self.joins[self.number[ord(text[at - 1])], self.number[ord(text[at])]]
 
 
 @lru_cache(maxsize=2)
@@ -355,7 +357,7 @@ def _single(batches: Iterator[pa.RecordBatch], p: Pieces) -> Iterator[pa.RecordB
     a = automaton(p.model)
     for batch in batches:
         texts = batch["text"].to_pylist()
-        for k, e in steps([t or "" for t in texts], 2_000_000):
+        for k, e in steps([t or "" for t in texts], 1_000_000):
             part = texts[k:e]
             values, sizes = a.traced([SPACE + t.replace(" ", SPACE) if t else "" for t in part])
             missing = np.array([t is None for t in part], bool)
@@ -389,9 +391,9 @@ def _decode(batches: Iterator[pa.RecordBatch], p: Pieces, ids: str, out: str) ->
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             column = part[ids]
-            at, values, known = column.offsets.to_numpy(), column.values, column.is_valid().to_pylist()
+            at, values, known = column.offsets.to_numpy(), column.values.to_numpy(), column.is_valid().to_pylist()
             # the space that the encoding put in front goes
-            texts = [b"".join([piece[x] for x in values.slice(a, b - a).to_pylist()]).decode("utf-8", "replace").removeprefix(" ") if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), known, strict=True)]
+            texts = [b"".join([piece[x] for x in values[a:b].tolist()]).decode("utf-8", "replace").removeprefix(" ") if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), known, strict=True)]
             yield pa.RecordBatch.from_pydict({c: part[c] for c in part.schema.names} | {out: pa.array(texts, pa.string())})
 
 

@@ -31,9 +31,14 @@ def _numbered(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.select(*keys, value, (F.row_number().over(W.partitionBy(*keys).orderBy(value)) - 1).alias("i"))
 
 
+#: The differences that an exact test takes: 2 ** n sign patterns are made.
+MOST_SIGNS = 22
+
+
 def _masks(df: DataFrame, keys: list[str], term: F.Column) -> DataFrame:
     """Sums of term with the signs of every mask; a test's few differences make 2 ** n masks by its own definition."""
     n = df.groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
+    n = n.withColumn("n", F.when(F.col("n") <= MOST_SIGNS, F.col("n")).otherwise(F.raise_error(F.concat(F.lit(f"an exact test takes at most {MOST_SIGNS} differences, not "), F.col("n").cast("string"))).cast("int")))
     masks = n.withColumn("mask", F.explode(F.expr("sequence(0L, shiftleft(1L, n) - 1L)")))
     sign = F.when(F.expr("shiftright(mask, i) & 1 = 1"), -1.0).otherwise(1.0)
     return masks.join(df, keys).groupBy(*keys, "mask").agg(F.sum(sign * term).alias("total"), F.first("n").alias("n"))
@@ -87,6 +92,12 @@ def holm(df: DataFrame, family: str, p: str, id_: str) -> DataFrame:
     return out.withColumn("holm_p", adjusted).withColumn("reject", F.col("holm_p") < 0.05).drop("_raw")
 
 
+def family(df: DataFrame, id_: str, value: str, name: str = "all") -> DataFrame:
+    """A confirmatory family: the bundle of tests of each member's differences, with the exact p adjusted over the members (Holm)."""
+    p = sign_flip_p(df, [id_], value).select(F.lit(name).alias("family"), id_, "p")
+    return test_bundle(df, [id_], value).join(holm(p, "family", "p", id_).drop("p"), id_)
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], value: str, reps: int, seed: int) -> DataFrame:
     """95 % percentile interval of resampled means; the i-th draw of a repetition is picked by a SHA-256, so any engine draws the same."""
     x = _numbered(df, keys, value)

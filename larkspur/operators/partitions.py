@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from heapq import heapify, heapreplace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,50 +56,58 @@ def dirichlet_cuts(df: DataFrame, cls: str, key: str, shares: DataFrame, seed: i
     return ranked.join(F.broadcast(cuts), on).drop(cuts[cls]).drop("_rn", "_n", "lo", "hi", "share")
 
 
-def _by_class(groups: DataFrame, fn, extra: str = "client int") -> DataFrame:
-    """Runs a sequential rule over each class's group sizes; only (class, group, size) is gathered, never the samples."""
-    return groups.groupBy("class_name").applyInPandas(fn, f"class_name string, group_id string, n long, {extra}")
-
+def dealt(sizes: Sequence[int], takers: int, urgency: Callable[[int, float], object], all_served: bool = False) -> list[int]:
+    """Who takes each size in turn: always the most urgent (the least urgency(taker, load so far)), ties to the lowest. With all_served the last sizes go to those that have nothing yet."""
+    load = [0.0] * takers
+    queue = [(urgency(k, 0.0), k) for k in range(takers)]
+    heapify(queue)
+    waiting, out = set(range(takers)), []
+    for left, n in zip(range(len(sizes), 0, -1), sizes, strict=True):
+        if all_served and left <= len(waiting):
+            queue = [x for x in queue if x[1] in waiting]
+            heapify(queue)
+        _, k = queue[0]
+        load[k] += n
+        waiting.discard(k)
+        heapreplace(queue, (urgency(k, load[k]), k))
+        out.append(k)
+    return out
 
-def grouped_iid(groups: DataFrame, clients: int, seed: int) -> DataFrame:
-    """Whole groups, in hashed order, to the client with the fewest samples of the class so far; ties to the lowest."""
-    groups = groups.select("class_name", "group_id", "n", namespaced_key(seed, "iid", F.col("group_id")).alias("o"))
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["o", "group_id"])
-        load, out = np.zeros(clients), []
-        for n in pdf["n"]:
-            k = int(load.argmin())
-            load[k] += n
-            out.append(k)
-        return pdf.assign(client=np.array(out, np.int32))[["class_name", "group_id", "n", "client"]]
+def _by_class(groups: DataFrame, order: list[F.Column], fn: Callable[[str, list[int]], list[int]]) -> DataFrame:
+    """fn over each class's group sizes in order, as taker; only (class, group, size) is gathered, never the samples."""
+    columns = ["class_name", "group_id", "n"]
+    rank = F.row_number().over(W.partitionBy("class_name").orderBy(*order, "group_id"))
 
-    return _by_class(groups, deal)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        return pdf[columns].assign(taker=np.array(fn(str(pdf["class_name"].iloc[0]), pdf["n"].tolist()), np.int32))
 
+    return groups.select(*columns, rank.alias("rank")).groupBy("class_name").applyInPandas(run, "class_name string, group_id string, n long, taker int")
 
-def _dirichlet_dealer(clients: int, alpha: float, seed: int, attempt: int):
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["o", "group_id"])
-        name = str(pdf["class_name"].iloc[0])
-        target = np.random.default_rng([seed, attempt, *name.encode()]).dirichlet([alpha] * clients) * pdf["n"].sum()
-        load, out = np.zeros(clients), []
-        for n in pdf["n"]:
-            k = min(range(clients), key=lambda c: (-(target[c] - load[c]), load[c], c))
-            load[k] += n
-            out.append(k)
-        return pdf.assign(client=np.array(out, np.int32))[["class_name", "group_id", "n", "client"]]
 
-    return deal
+def grouped_iid(groups: DataFrame, clients: int, seed: int) -> DataFrame:
+    """Whole groups, in hashed order, to the client with the fewest samples of the class so far; ties to the lowest."""
+    out = _by_class(groups, [namespaced_key(seed, "iid", F.col("group_id"))], lambda _, sizes: dealt(sizes, clients, lambda k, load: load))
+    return out.withColumnRenamed("taker", "client")
 
 
 def grouped_dirichlet(groups: DataFrame, clients: int, alpha: float, seed: int, least: int = 1, attempts: int = 100) -> DataFrame:
     """Whole groups to the client furthest below its drawn share of the class; ties to the least loaded, then the lowest. All classes are dealt anew until every client has enough samples."""
-    groups = groups.select("class_name", "group_id", "n", namespaced_key(seed, "dirichlet", F.col("group_id")).alias("o"))
-    for attempt in range(attempts):
-        dealt = _by_class(groups, _dirichlet_dealer(clients, alpha, seed, attempt))
-        loads = {r["client"]: r["n"] for r in dealt.groupBy("client").agg(F.sum("n").alias("n")).collect()}
-        if all(loads.get(k, 0) >= least for k in range(clients)):
-            return dealt
+    groups = groups.persist()
+
+    def drawn(name: str, sizes: list[int], attempt: int) -> list[int]:
+        goal = np.random.default_rng([seed, attempt, *name.encode()]).dirichlet([alpha] * clients) * sum(sizes)
+        return dealt(sizes, clients, lambda k, load: (load - goal[k], load))
+
+    try:
+        for attempt in range(attempts):
+            out = _by_class(groups, [namespaced_key(seed, "dirichlet", F.col("group_id"))], lambda name, sizes, a=attempt: drawn(name, sizes, a)).withColumnRenamed("taker", "client")
+            loads = {r["client"]: r["n"] for r in out.groupBy("client").agg(F.sum("n").alias("n")).collect()}
+            if all(loads.get(k, 0) >= least for k in range(clients)):
+                return out
+    finally:
+        groups.unpersist()
     raise ValueError(f"no partition gives every client {least} samples in {attempts} attempts")
 
 
@@ -141,22 +152,10 @@ def split_assignment(groups: DataFrame, ratios: tuple[float, float, float], seed
     """Groups by size to the split with the largest relative deficit; the last groups are kept for splits without any."""
     if min(ratios) <= 0 or abs(sum(ratios) - 1) > 1e-9:
         raise ValueError("ratios must be positive and sum to 1")
-    groups = groups.select("class_name", "group_id", "n", namespaced_key(seed, "split", F.col("group_id")).alias("o"))
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "o", "group_id"], ascending=[False, True, True])
-        target = [float(pdf["n"].sum()) * r for r in ratios]
-        count, held, out = [0.0] * 3, [0] * 3, []
-        for i, n in enumerate(pdf["n"]):
-            rest = len(pdf) - i - 1
-            empty = [s for s in range(3) if not held[s]]
-            choice = empty if empty and rest < len(empty) else range(3)
-            s = max(choice, key=lambda s: ((target[s] - count[s]) / max(target[s], 1.0), -s))
-            count[s] += n
-            held[s] += 1
-            out.append(SPLITS[s])
-        return pdf.assign(split=out)[["class_name", "group_id", "n", "split"]]
-
-    return _by_class(groups, deal, "split string")
 
+    def served(_: str, sizes: list[int]) -> list[int]:
+        goal = [sum(sizes) * r for r in ratios]
+        return dealt(sizes, len(SPLITS), lambda k, load: (load - goal[k]) / max(goal[k], 1.0), all_served=True)
 
+    out = _by_class(groups, [F.desc("n"), namespaced_key(seed, "split", F.col("group_id"))], served)
+    return out.select("class_name", "group_id", "n", F.element_at(F.array(*map(F.lit, SPLITS)), F.col("taker") + 1).alias("split"))

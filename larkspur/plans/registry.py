@@ -321,32 +321,37 @@ def dirichlet_cut_points(spark, d):
     return partitions.dirichlet_cuts(e, "label", "vec_id", shares, 3).select("vec_id", "label", "client")
 
 
-@query(f"WITH {REC} SELECT CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'validation' ELSE 'test' END AS left_split, CASE WHEN doc_id % 3 = 0 THEN 'missing' WHEN doc_id % 4 < 3 THEN 'train' ELSE 'test' END AS right_split, count(*) AS n FROM rec GROUP BY 1, 2")
+def labelled_records(spark, d):
+    """The records that labels knows."""
+    return records(spark, d).join(table(spark, d, "labels"), "doc_id")
+
+
+KNOWN = f"{REC}, known AS (SELECT rec.*, quality, toxic FROM rec JOIN labels USING (doc_id))"
+
+
+@query(f"WITH {KNOWN} SELECT {SPLIT} AS left_split, CASE WHEN quality IS NULL THEN 'missing' WHEN quality = 1 THEN 'train' ELSE 'test' END AS right_split, count(*) AS n FROM (SELECT rec.doc_id, known.quality FROM rec LEFT JOIN known USING (path)) GROUP BY 1, 2")
 def split_crosstab(spark, d):
     a = splits(spark, d).select("path", "split")
-    m = F.col("doc_id")
-    b = records(spark, d).filter(m % 3 != 0).select("path", F.when(m % 4 < 3, "train").otherwise("test").alias("split"))
+    b = labelled_records(spark, d).filter("quality IS NOT NULL").select("path", F.when(F.col("quality") == 1, "train").otherwise("test").alias("split"))
     return curation.split_crosstab(a, b, "path")
 
 
-@query(f"""WITH {REC}, a AS (SELECT class_name, group_id, count(*) AS n FROM rec WHERE doc_id % 3 <> 0 GROUP BY 1, 2), b AS (SELECT class_name, group_id, count(*) AS n FROM rec WHERE doc_id % 5 <> 0 GROUP BY 1, 2)
+@query(f"""WITH {KNOWN}, a AS (SELECT class_name, group_id, count(*) AS n FROM rec GROUP BY 1, 2), b AS (SELECT class_name, group_id, count(*) AS n FROM known GROUP BY 1, 2)
 SELECT class_name, count(a.n) AS left_groups, count(b.n) AS right_groups, count(*) - count(a.n) AS extra, count(*) - count(b.n) AS missing, coalesce(sum((a.n <> b.n)::INT), 0)::BIGINT AS changed, count(a.n) = count(*) AND count(b.n) = count(*) AND coalesce(sum((a.n <> b.n)::INT), 0) = 0 AS identical FROM a FULL JOIN b USING (class_name, group_id) GROUP BY 1""")
 def group_set_compare(spark, d):
-    r = records(spark, d)
-    count = lambda k: r.filter(F.col("doc_id") % k != 0).groupBy("class_name", "group_id").agg(F.count("*").alias("n"))
-    return curation.group_set_compare(count(3), count(5))
+    count = lambda r: r.groupBy("class_name", "group_id").agg(F.count("*").alias("n"))
+    return curation.group_set_compare(count(records(spark, d)), count(labelled_records(spark, d)))
 
 
-@query(f"WITH {REC} SELECT count(*) AS shared_paths FROM (SELECT path FROM rec WHERE doc_id % 3 = 0 INTERSECT SELECT path FROM rec WHERE doc_id % 5 = 0)")
+@query(f"WITH {KNOWN} SELECT count(*) AS shared_paths FROM (SELECT path FROM known WHERE quality = 1 INTERSECT SELECT path FROM known WHERE toxic = 0)")
 def path_overlap(spark, d):
-    r = records(spark, d)
-    return r.filter("doc_id % 3 = 0").select("path").intersect(r.filter("doc_id % 5 = 0").select("path")).agg(F.count("*").alias("shared_paths"))
+    r = labelled_records(spark, d)
+    return r.filter("quality = 1").select("path").intersect(r.filter("toxic = 0").select("path")).agg(F.count("*").alias("shared_paths"))
 
 
-@query(f"WITH {REC} SELECT class_name, group_id FROM rec WHERE doc_id % 7 = 0 EXCEPT SELECT class_name, group_id FROM rec WHERE doc_id % 2 = 0")
+@query(f"WITH {KNOWN} SELECT class_name, group_id FROM rec EXCEPT SELECT class_name, group_id FROM known WHERE toxic = 1")
 def group_difference(spark, d):
-    r = records(spark, d)
-    return r.filter("doc_id % 7 = 0").select("class_name", "group_id").subtract(r.filter("doc_id % 2 = 0").select("class_name", "group_id"))
+    return records(spark, d).select("class_name", "group_id").subtract(labelled_records(spark, d).filter("toxic = 1").select("class_name", "group_id"))
 
 
 @query(f"WITH {REC}, s AS (SELECT count(*) AS n FROM rec GROUP BY sha256 HAVING count(*) > 1) SELECT count(*) AS images, count(leaf_id) AS known, count(DISTINCT leaf_id) AS leaves, count(DISTINCT group_id) AS groups, count(*) - count(leaf_id) AS unknown, (SELECT count(*) FROM s) AS duplicate_sets, (SELECT coalesce(sum(n), 0)::BIGINT FROM s) AS duplicate_images FROM rec")
@@ -412,6 +417,12 @@ def holm_adjust(spark, d):
     return rounded(inference.holm(p, "family", "p", "alpha"))
 
 
+@query(f"SELECT t.*, h.holm_p, h.reject FROM ({ORACLE_SQL['test_bundle']}) t JOIN ({ORACLE_SQL['holm_adjust']}) h USING (alpha)")
+def family_f1(spark, d):
+    """The first confirmatory family: the paired arms at each alpha, adjusted over the alphas."""
+    return rounded(inference.family(diffs(spark, d), "alpha", "diff").drop("family"))
+
+
 @query(f"""WITH {DIFFS}, nd AS (SELECT alpha, diff, row_number() OVER (PARTITION BY alpha ORDER BY diff) - 1 AS i, count(*) OVER (PARTITION BY alpha) AS n FROM df), dr AS (SELECT alpha, n, rep, unnest(range(0, n)) AS d FROM (SELECT DISTINCT alpha, n FROM nd) CROSS JOIN (SELECT unnest(range(0, 500)) AS rep)),
 pk AS (SELECT alpha, rep, ('0x' || substr(sha256('20260824:' || rep || ':' || d), 1, 8))::BIGINT % n AS i FROM dr), me AS (SELECT pk.alpha, rep, avg(diff) AS m FROM pk JOIN nd ON pk.alpha = nd.alpha AND pk.i = nd.i GROUP BY 1, 2) SELECT alpha, round(quantile_cont(m, 0.025), 6) + 0 AS lo, round(quantile_cont(m, 0.975), 6) + 0 AS hi FROM me GROUP BY 1""")
 def bootstrap_ci(spark, d):

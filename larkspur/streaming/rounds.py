@@ -13,7 +13,9 @@ def log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def progress(events: DataFrame, rounds: int) -> DataFrame:
-    """Per run the good rounds so far; the state is a bit a round, not the rows."""
+    """Per run the good rounds so far, of at most 62; the state is a bit a round, not the rows."""
+    if not 0 < rounds <= 62:
+        raise ValueError("rounds must be from 1 to 62")
     good = events.filter((F.col("phase") == "evaluate") & (F.col("num_clients") > 0) & (F.col("num_failures") == 0) & F.col("round").between(1, rounds))
     out = good.groupBy("experiment_id").agg(F.bit_or(F.expr("shiftleft(1L, round)")).alias("seen"))
     return out.select("experiment_id", F.bit_count("seen").alias("good_rounds"), (F.bit_count("seen") == rounds).alias("complete"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, ngram_join, spm, substring_dedup, toxicity
-from larkspur.llm.shared import ready, shared_folder, table
+from larkspur.llm.shared import ready, remove, shared_folder, table
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, each written to the shared folder and read again."""
+    """Applies the stages to documents, each written to the shared folder and read again; a stage's files go when the next one's are written, the last stay for the caller. Nulls and repeated rows pass as the stages' operators say."""
     ready(spark)
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     df = table(spark, sf_dir, "documents")
     for n, (name, stage) in enumerate(STAGES):
         stage(spark, df, sf_dir).write.parquet(f"{folder}/{n}-{name}")
         df = spark.read.parquet(f"{folder}/{n}-{name}")
+        if n:  # the stage before isn't read any more
+            remove(spark, f"{folder}/{n - 1}-{STAGES[n - 1][0]}")
     return df

@@ -18,9 +18,9 @@ def original_stem(stem: Column) -> Column:
 
 
 def leaf_of(candidates: Column, prefixes: list[str]) -> Column:
-    """The candidate that belongs to one of the prefixes; null for none or several (several_leaves tells them apart)."""
+    """The candidate that belongs to one of the prefixes; null for none, an error for several."""
     own = F.filter(candidates, lambda c: F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(c, F.concat(p, F.lit(":::")))))
-    return F.when(F.size(own) == 1, own[0])
+    return F.when(F.size(own) > 1, F.raise_error(F.concat(F.lit("several leaves: "), F.array_join(own, ", "))).cast("string")).when(F.size(own) == 1, own[0])
 
 
 def namespaced_key(seed: int, namespace: str, key: Column) -> Column:

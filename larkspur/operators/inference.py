@@ -98,6 +98,22 @@ def family(df: DataFrame, id_: str, value: str, name: str = "all") -> DataFrame:
     return test_bundle(df, [id_], value).join(holm(p, "family", "p", id_).drop("p"), id_)
 
 
+def seed_family(df: DataFrame, id_: str, seed: str, value: str) -> DataFrame:
+    """A family whose unit is the seed: a member's jobs are averaged within each seed before its tests."""
+    return family(df.groupBy(id_, seed).agg(F.avg(value).alias(value)), id_, value)
+
+
+def agreed(a: F.Column, b: F.Column, tolerance: float, what: str) -> F.Column:
+    """a, where b is the same within the tolerance; an error otherwise. Nulls pass."""
+    return F.when(F.abs(a - b) > tolerance, F.raise_error(F.concat(F.lit(f"{what}: "), a.cast("string"), F.lit(" against "), b.cast("string"))).cast("double")).otherwise(a)
+
+
+def against_reference(df: DataFrame, setting: str, reference, keys: list[str], value: str) -> DataFrame:
+    """Each setting's value minus the reference setting's, by keys that have both; the reference itself gives no rows."""
+    base = df.filter(F.col(setting) == reference).select(*keys, F.col(value).alias("_base"))
+    return df.filter(F.col(setting) != reference).join(base, keys).select(setting, *keys, (F.col(value) - F.col("_base")).alias("diff"))
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], value: str, reps: int, seed: int) -> DataFrame:
     """95 % percentile interval of resampled means; the i-th draw of a repetition is picked by a SHA-256, so any engine draws the same."""
     x = _numbered(df, keys, value)
@@ -150,7 +166,8 @@ def accuracy_decomposition(df: DataFrame, keys: list[str], source: F.Column) ->
 
 def aggregator_decomposition(df: DataFrame, keys: list[str]) -> DataFrame:
     """harm against the baseline aggregator = clean cost + own harm; columns baseline_clean, clean, attacked."""
-    return df.select(*keys, (F.col("baseline_clean") - F.col("attacked")).alias("harm"), (F.col("baseline_clean") - F.col("clean")).alias("clean_cost"), (F.col("clean") - F.col("attacked")).alias("own_harm"))
+    harm, cost, own = F.col("baseline_clean") - F.col("attacked"), F.col("baseline_clean") - F.col("clean"), F.col("clean") - F.col("attacked")
+    return df.select(*keys, agreed(harm, cost + own, 1e-9, "harm is not the sum of its parts").alias("harm"), cost.alias("clean_cost"), own.alias("own_harm"))
 
 
 def residual_spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:

@@ -40,9 +40,22 @@ def attackers(grid: DataFrame, source_class: str) -> DataFrame:
     return grid.filter(F.col("class_name") == source_class).agg(F.min_by("client", F.struct(-F.col("n"), "client")).alias("client"), F.max("n").alias("n"))
 
 
+def hash_ranked(df: DataFrame, by: list[str], key: str, seed: int, namespace: str) -> DataFrame:
+    """df with _rn, a row's place within by in hashed order, and _n, the rows of by. Places are counted within 256 hash prefixes and offset by the prefixes before, so no window holds all rows of a class; a null in by is a value like others."""
+    k = df.withColumn("_k", namespaced_key(seed, namespace, F.col(key))).withColumn("_b", F.coalesce(F.substring("_k", 1, 2), F.lit("")))
+    sizes = k.groupBy(*by, "_b").agg(F.count("*").alias("_m"))
+    w = W.partitionBy(*by)
+    before = F.coalesce(F.sum("_m").over(w.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offset = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_b").alias("_prefix"), before.alias("_before"), F.sum("_m").over(w).alias("_n"))
+    on = k["_b"] == F.col("_prefix")
+    for i, c in enumerate(by):
+        on &= k[c].eqNullSafe(F.col(f"_by{i}"))
+    place = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_k", key)) + F.col("_before")
+    return k.join(offset, on).withColumn("_rn", place).select(*df.columns, "_rn", "_n")
+
+
 def round_robin(df: DataFrame, cls: str, key: str, clients: int, seed: int) -> DataFrame:
-    rn = F.row_number().over(W.partitionBy(cls).orderBy(namespaced_key(seed, "round-robin", F.col(key)), key))
-    return df.withColumn("client", ((rn - 1) % clients).cast("int"))
+    return hash_ranked(df, [cls], key, seed, "round-robin").select(*df.columns, ((F.col("_rn") - 1) % clients).cast("int").alias("client"))
 
 
 def dirichlet_cuts(df: DataFrame, cls: str, key: str, shares: DataFrame, seed: int) -> DataFrame:
@@ -51,7 +64,7 @@ def dirichlet_cuts(df: DataFrame, cls: str, key: str, shares: DataFrame, seed: i
     cuts = shares.withColumn("hi", F.sum("share").over(w)).withColumn("lo", F.col("hi") - F.col("share"))
     last = F.col("client") == F.max("client").over(W.partitionBy(cls))
     cuts = cuts.withColumn("hi", F.when(last, 1.0).otherwise(F.col("hi")))
-    ranked = df.withColumn("_rn", F.row_number().over(W.partitionBy(cls).orderBy(namespaced_key(seed, "dirichlet", F.col(key)), key))).withColumn("_n", F.count("*").over(W.partitionBy(cls)))
+    ranked = hash_ranked(df, [cls], key, seed, "dirichlet")
     on = (ranked[cls] == cuts[cls]) & (F.col("_rn") > F.floor(F.col("lo") * F.col("_n") + 1e-9)) & (F.col("_rn") <= F.floor(F.col("hi") * F.col("_n") + 1e-9))
     return ranked.join(F.broadcast(cuts), on).drop(cuts[cls]).drop("_rn", "_n", "lo", "hi", "share")
 
@@ -112,13 +125,9 @@ def grouped_dirichlet(groups: DataFrame, clients: int, alpha: float, seed: int,
 
 
 def hash_order_split(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """The first int(n x fraction) rows in hashed order are validation. The rank is taken within 256 hash prefixes and offset by the prefixes before, so no window holds all rows."""
-    k = df.withColumn("_k", namespaced_key(seed, "split", F.col(key))).withColumn("_b", F.substring("_k", 1, 2))
-    sizes = k.groupBy("_b").agg(F.count("*").alias("_m"))
-    offset = sizes.withColumn("_before", F.sum("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).fillna(0, ["_before"]).crossJoin(df.agg(F.count("*").alias("_n")))
-    rank = F.row_number().over(W.partitionBy("_b").orderBy("_k", key)) + F.col("_before")
-    out = k.join(F.broadcast(offset), "_b").withColumn("split", F.when(rank <= F.floor(F.col("_n") * F.lit(fraction)), "validation").otherwise("train"))
-    return out.select(*df.columns, "split")
+    """The first int(n x fraction) rows in hashed order are validation."""
+    split = F.when(F.col("_rn") <= F.floor(F.col("_n") * F.lit(fraction)), "validation").otherwise("train")
+    return hash_ranked(df, [], key, seed, "split").select(*df.columns, split.alias("split"))
 
 
 def per_class_sample(df: DataFrame, cls: str, key: str, k: int, seed: int) -> DataFrame:
@@ -128,9 +137,8 @@ def per_class_sample(df: DataFrame, cls: str, key: str, k: int, seed: int) -> Da
 
 def label_flip_positions(df: DataFrame, label: str, key: str, source, fraction: float, seed: int) -> DataFrame:
     """max(1, floor(n x fraction)) of the source class's rows in hashed order; smaller fractions are subsets of larger ones."""
-    src = df.filter(F.col(label) == source).withColumn("_n", F.count("*").over(W.partitionBy(label)))
-    rn = F.row_number().over(W.partitionBy(label).orderBy(namespaced_key(seed, "flip", F.col(key)), key))
-    return src.withColumn("_rn", rn).filter(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(fraction))))).drop("_rn", "_n")
+    taken = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(fraction))))
+    return hash_ranked(df.filter(F.col(label) == source), [label], key, seed, "flip").filter(F.col("_rn") <= taken).select(*df.columns)
 
 
 def capped_groups(groups: DataFrame, cap: int, seed: int) -> DataFrame:

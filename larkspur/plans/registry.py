@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
-from larkspur.operators import accounting, curation, evaluation, federated, inference, models, partitions, similarity, vectors
+from larkspur.operators import accounting, curation, evaluation, federated, inference, models, partitions, protocol, similarity, vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -622,3 +622,158 @@ def clustered_spearman_ci(spark, d):
 @query()
 def clustered_spearman_ci_whole(spark, d):
     return rounded(inference.clustered_spearman_ci(runs(spark, d), ["alpha"], "seed", "value", "arm", RESAMPLES, 20260824))
+
+
+# --------------------------------------------------- confirmatory families
+
+
+def family_sql(ctes: str) -> str:
+    """The SQL of a family whose differences are df(alpha, seed, diff), alpha being the member."""
+    return f"SELECT q.* EXCLUDE (alpha), alpha AS member FROM ({ORACLE_SQL['family_f1'].replace(DIFFS, ctes)}) q"
+
+
+def attack_jobs(spark, d):
+    """(member, pair, arm, seed, harm, accuracy_drop): one attacked job each."""
+    c, n, o = (table(spark, d, x) for x in ("customer", "nation", "orders"))
+    j = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    keys = [F.col("o_orderstatus").alias("member"), F.col("c_mktsegment").alias("pair"), (F.col("o_custkey") % 2).alias("arm"), F.col("n_regionkey").alias("seed")]
+    return j.groupBy(*keys).agg((F.avg("o_totalprice") / 100000).alias("harm"), (F.avg("c_acctbal") / 10000).alias("accuracy_drop"))
+
+
+HARMS = "hj AS (SELECT o_orderstatus AS alpha, c_mktsegment AS pair, o_custkey % 2 AS arm, n_regionkey AS seed, avg(o_totalprice) / 100000 AS harm, avg(c_acctbal) / 10000 AS accuracy_drop FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4)"
+
+
+@query(family_sql(RUNS + ", bl AS (SELECT alpha, seed, avg(value) AS value FROM runs WHERE arm = 0 GROUP BY 1, 2), df AS (SELECT a.alpha, a.seed, a.value - b.value AS diff FROM bl a JOIN bl b ON a.seed = b.seed AND b.alpha = 'F' AND a.alpha <> 'F')"))
+def family_f1b(spark, d):
+    """Each alpha against the reference alpha, by seed."""
+    block = runs(spark, d).filter("arm = 0").groupBy(F.col("alpha").alias("member"), "seed").agg(F.avg("value").alias("value"))
+    return rounded(inference.family(inference.against_reference(block, "member", "F", ["seed"], "value"), "member", "diff").drop("family"))
+
+
+@query(family_sql(HARMS + ", df AS (SELECT alpha, seed, avg(harm) AS diff FROM hj WHERE arm = 0 GROUP BY 1, 2)"))
+def family_f2a(spark, d):
+    """The harm itself, averaged over a seed's jobs."""
+    return rounded(inference.seed_family(attack_jobs(spark, d).filter("arm = 0"), "member", "seed", "harm").drop("family"))
+
+
+@query(family_sql(HARMS + ", df AS (SELECT alpha, seed, avg(harm - accuracy_drop) AS diff FROM hj WHERE arm = 0 GROUP BY 1, 2)"))
+def family_f2b(spark, d):
+    """The harm beyond the drop of accuracy."""
+    jobs_ = attack_jobs(spark, d).filter("arm = 0").withColumn("diff", F.col("harm") - F.col("accuracy_drop"))
+    return rounded(inference.seed_family(jobs_, "member", "seed", "diff").drop("family"))
+
+
+@query(family_sql(HARMS + ", pr AS (SELECT a.alpha, a.pair, a.seed, a.harm - b.harm AS diff FROM hj a JOIN hj b ON a.alpha = b.alpha AND a.pair = b.pair AND a.seed = b.seed AND a.arm = 1 AND b.arm = 0), df AS (SELECT alpha, seed, avg(diff) AS diff FROM pr GROUP BY 1, 2)"))
+def family_f2c(spark, d):
+    """The arms' difference of harm, paired by job."""
+    pairs = inference.paired(attack_jobs(spark, d), "arm", "harm", 1, 0, ["member", "pair", "seed"])
+    return rounded(inference.seed_family(pairs, "member", "seed", "diff").drop("family"))
+
+
+@query(family_sql("""fj AS (SELECT o_orderpriority AS alpha, c_mktsegment AS pair, n_regionkey AS seed, avg(o_totalprice) / 100000 AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
+pr AS (SELECT a.alpha, a.seed, a.value - b.value AS diff FROM fj a JOIN fj b ON a.pair = b.pair AND a.seed = b.seed AND b.alpha = '1-URGENT' AND a.alpha <> '1-URGENT'),
+cl AS (SELECT n_regionkey AS seed, avg(c_acctbal) FILTER (c_custkey % 2 = 1) / 10000 - avg(c_acctbal) FILTER (c_custkey % 2 = 0) / 10000 AS diff FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+df AS (SELECT alpha, seed, avg(diff) AS diff FROM pr GROUP BY 1, 2 UNION ALL SELECT 'clean', seed, diff FROM cl)"""))
+def family_f3(spark, d):
+    """Four aggregators' recovery against the baseline's jobs, and the clean runs of two sources, adjusted together."""
+    c, n, o = (table(spark, d, x) for x in ("customer", "nation", "orders"))
+    at = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    j = o.join(at, o["o_custkey"] == at["c_custkey"]).groupBy(F.col("o_orderpriority").alias("member"), F.col("c_mktsegment").alias("pair"), F.col("n_regionkey").alias("seed")).agg((F.avg("o_totalprice") / 100000).alias("value"))
+    recovery = inference.against_reference(j, "member", "1-URGENT", ["pair", "seed"], "value").select("member", "seed", "diff")
+    clean = at.groupBy((F.col("c_custkey") % 2).alias("arm"), F.col("n_regionkey").alias("seed")).agg((F.avg("c_acctbal") / 10000).alias("value"))
+    other = inference.paired(clean, "arm", "value", 1, 0, ["seed"]).select(F.lit("clean").alias("member"), "seed", "diff")
+    return rounded(inference.seed_family(recovery.unionByName(other), "member", "seed", "diff").drop("family"))
+
+
+# ----------------------------------------------- classes, leaves and splits
+
+
+def split_records(spark, d):
+    """Records whose copies share a split, as a valid dataset's do."""
+    r = records(spark, d)
+    first = F.substring("sha256", 1, 1)
+    return r.select("path", "sha256", F.substring("sha256", 1, 12).alias("group_id"), F.when(F.col("leaf_id").isNotNull(), F.substring("sha256", 1, 16)).alias("leaf_id"), F.when(first < "8", "train").when(first < "c", "validation").otherwise("test").alias("split"))
+
+
+SPLIT_RECORDS = REC + """, sr AS (SELECT path, sha256, substr(sha256, 1, 12) AS group_id, CASE WHEN leaf_id IS NOT NULL THEN substr(sha256, 1, 16) END AS leaf_id, CASE WHEN sha256[1] < '8' THEN 'train' WHEN sha256[1] < 'c' THEN 'validation' ELSE 'test' END AS split FROM rec),
+sm AS (SELECT kind, key, min(split) AS split, count(*) AS images FROM (SELECT 'path' AS kind, path AS key, split FROM sr UNION ALL SELECT 'sha', sha256, split FROM sr UNION ALL SELECT 'group', group_id, split FROM sr UNION ALL SELECT 'leaf', leaf_id, split FROM sr) WHERE key IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(f"WITH {SPLIT_RECORDS} SELECT kind, key, split, images FROM sm")
+def split_maps(spark, d):
+    return protocol.split_maps(split_records(spark, d))
+
+
+@query(f"WITH {SPLIT_RECORDS} SELECT kind, split, count(*) AS keys, sum(images)::BIGINT AS images FROM sm GROUP BY 1, 2")
+def split_map_sizes(spark, d):
+    return protocol.map_sizes(protocol.split_maps(split_records(spark, d)))
+
+
+@query(f"""WITH {REC}, s AS (SELECT DISTINCT source, lang FROM documents), le AS (SELECT source AS stem, lang || ':::' || source AS leaf, CASE lang WHEN 'fr' THEN 'de' ELSE lang END AS c FROM s WHERE lang IN ('en', 'fr'))
+SELECT lpad(doc_id::VARCHAR, 9, '0') AS path, d.lang AS class_name, leaf AS leaf_id FROM documents d LEFT JOIN le ON le.stem = d.source AND (d.lang = le.c OR d.lang = split_part(le.leaf, ':::', 1))""")
+def leaf_join(spark, d):
+    """Leaves are known of two languages; a third takes those of the second by its other prefix."""
+    docs = table(spark, d, "documents")
+    leaves = docs.filter("lang IN ('en', 'fr')").select(F.col("source").alias("stem"), F.concat("lang", F.lit(":::"), "source").alias("leaf")).distinct()
+    own = docs.select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.col("lang").alias("class_name"), F.col("source").alias("stem"))
+    return protocol.with_leaf(own, "stem", "class_name", leaves, spark.createDataFrame([("de", "fr")], "class_name string, prefix string")).drop("stem")
+
+
+@query("WITH c AS (SELECT p_type AS class_name, p_brand AS folder FROM part GROUP BY 1, 2), f AS (SELECT p_brand AS folder FROM part GROUP BY 1 HAVING max(p_size) >= 50 AND avg(p_retailprice) > 1000), j AS (SELECT class_name, count(f.folder) AS n, min(f.folder) AS folder FROM c LEFT JOIN f USING (folder) GROUP BY 1) SELECT class_name, CASE WHEN n = 1 THEN folder END AS folder, CASE n WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'several' END AS state FROM j")
+def resolved_classes(spark, d):
+    p = table(spark, d, "part")
+    folders = p.groupBy(F.col("p_brand").alias("folder")).agg(F.max("p_size").alias("s"), F.avg("p_retailprice").alias("m")).filter("s >= 50 AND m > 1000")
+    return protocol.resolved_classes(p.select(F.col("p_type").alias("class_name"), F.col("p_brand").alias("folder")).distinct(), folders)
+
+
+@query(f"WITH {REC} SELECT DISTINCT group_id AS class_name FROM rec WHERE group_id NOT IN (SELECT lang || '-' || source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND lang IS NOT NULL AND source IS NOT NULL) AND group_id IS NOT NULL")
+def unknown_classes(spark, d):
+    known = labelled_records(spark, d).filter("toxic = 1").select(F.col("group_id").alias("class_name"))
+    return protocol.unknown_classes(records(spark, d).select(F.col("group_id").alias("class_name")), known)
+
+
+@query("SELECT event_type, user_id % 5 AS client, round(sum(value * (user_id % 7 + 1)) / sum(user_id % 7 + 1), 6) AS train_loss, sum(user_id % 7 + 1)::BIGINT AS samples FROM events GROUP BY 1, 2")
+def running_loss(spark, d):
+    e = table(spark, d, "events").select("event_type", (F.col("user_id") % 5).alias("client"), F.col("value").alias("loss"), (F.col("user_id") % 7 + 1).alias("n"))
+    return rounded(protocol.running_loss(e, ["event_type", "client"]))
+
+
+@query("""WITH e AS (SELECT event_type AS run, CASE WHEN event_id % 3 = 0 THEN 'evaluate' ELSE 'fit' END AS phase, event_id % 10 + 1 AS round, user_id % 5 AS client, count(*) AS n FROM events GROUP BY 1, 2, 3, 4)
+SELECT run, coalesce(max(n) FILTER (phase = 'fit' AND round = 1 AND client <> 2), 0)::BIGINT AS flipped FROM e GROUP BY 1""")
+def flipped_from_history(spark, d):
+    """Client 2 reports no count."""
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("run"), F.when(F.col("event_id") % 3 == 0, "evaluate").otherwise("fit").alias("phase"), (F.col("event_id") % 10 + 1).alias("round"), (F.col("user_id") % 5).alias("client")).agg(F.count("*").alias("n"))
+    metric = F.struct("client", F.when(F.col("client") != 2, F.col("n")).alias("label_flipped_samples"))
+    return protocol.flipped_in_first_round(e.groupBy("run", "phase", "round").agg(F.collect_list(metric).alias("client_metrics")), ["run"])
+
+
+@query(f"WITH {PRED}, r AS (SELECT vec_id % 5 AS run, label, predicted FROM p), m AS (SELECT run, label AS class_name, count(*) AS support, avg((label = predicted)::INT::DOUBLE) AS recall FROM r GROUP BY 1, 2) SELECT j.run, CASE WHEN j.run < 3 THEN 'iid' ELSE 'a01' END AS alpha, class_name::VARCHAR AS class_name, support, round(recall, 6) AS recall FROM (SELECT DISTINCT run FROM r) j JOIN m USING (run)")
+def run_class_metrics(spark, d):
+    p = predictions(spark, d).withColumn("run", F.col("vec_id") % 5)
+    metrics = p.groupBy("run", F.col("label").alias("class_name")).agg(F.count("*").alias("support"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("recall"))
+    jobs_ = p.select("run").distinct().withColumn("alpha", F.when(F.col("run") < 3, "iid").otherwise("a01"))
+    return rounded(protocol.with_class_metrics(jobs_, metrics, ["run"]))
+
+
+@query(f"WITH {PRED}, s AS (SELECT vec_id % 5 AS seed, label, count(*) AS support, avg((label = predicted)::INT::DOUBLE) AS clean, avg((label = predicted AND vec_id % 3 > 0)::INT::DOUBLE) AS attacked FROM p GROUP BY 1, 2) SELECT seed, label, round(clean, 6) AS clean, round(attacked, 6) AS attacked, support, round(clean - attacked, 6) + 0 AS harm FROM s")
+def full_flip_harm(spark, d):
+    right = F.col("label") == F.col("predicted")
+    p = predictions(spark, d).withColumn("seed", F.col("vec_id") % 5)
+    recall = lambda ok: p.groupBy("seed", "label").agg(F.avg(ok.cast("double")).alias("recall"), F.count("*").alias("support"))
+    ledger = p.groupBy("seed", "label").agg(F.count("*").alias("flipped"))
+    return rounded(protocol.harm_frame(recall(right), recall(right & (F.col("vec_id") % 3 > 0)), ["seed", "label"], ledger))
+
+
+@query("SELECT user_id, event_type, lower(event_type || '-c' || (user_id % 5) || CASE WHEN user_id % 2 = 0 THEN '-Even' ELSE '' END) AS job FROM events GROUP BY 1, 2")
+def job_names(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_type").distinct()
+    return e.select("user_id", "event_type", protocol.job_name(F.col("event_type"), F.concat(F.lit("c"), F.col("user_id") % 5), F.when(F.col("user_id") % 2 == 0, "Even")).alias("job"))
+
+
+#: The perceptual audit's own radius; RADIUS is wide, so that pairs are found among vectors' signs.
+AUDIT_RADIUS = 8
+
+
+@query(f"WITH {PAIRS} SELECT class_name, left_path, right_path, distance FROM pairs WHERE distance <= {AUDIT_RADIUS}")
+def hamming_pairs_audit(spark, d):
+    return similarity.hamming_pairs(hashes(spark, d), "path", "class_name", "h", AUDIT_RADIUS)

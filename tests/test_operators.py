@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
-from larkspur.operators import accounting, curation, evaluation, federated, inference, models, partitions, similarity, vectors
+from larkspur.operators import accounting, curation, evaluation, federated, inference, models, partitions, protocol, similarity, vectors
 from larkspur.sources import manifests
 from larkspur.streaming import rounds
 
@@ -318,3 +318,102 @@ def test_dataset_id_and_gate(spark):
     digest = hashlib.sha256(json.dumps(rows, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     assert (r["digest"], r["dataset_id"]) == (digest, f"pv2-capped-{digest[:12]}")
     assert curation.audit_gate(df.limit(0), True) and not curation.audit_gate(df, True) and not curation.audit_gate(df.limit(0), False)
+
+
+def test_flips_are_gated_and_nested():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 3)), np.arange(40) % 4
+    changed = lambda f, r: set(np.flatnonzero(f.applied(y, x, r) != y))
+    half, tenth = federated.Flip(1, 2, 0.5, 2, 3), federated.Flip(1, 2, 0.1, 2)
+    assert not changed(half, 1) and not changed(half, 4) and len(changed(half, 2)) == 5 and changed(half, 2) == changed(half, 3)
+    assert len(changed(tenth, 9)) == 1 and changed(tenth, 9) < changed(half, 2)
+    assert changed(federated.Flip(1, 2), 1) == set(np.flatnonzero(y == 1)) and not changed(federated.Flip(7, 2), 1)
+
+
+def test_private_rounds_and_evaluation(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 5), int(y), [float(v) for v in rng.normal(size=4) + 3 * np.eye(4)[y]]) for i, y in enumerate(rng.integers(0, 4, 100))]
+    df = spark.createDataFrame(rows, "client long, label int, x array<double>")
+    clipped = federated.run_rounds(df, 4, 4, 5, 1, clip=0.1)[-1]
+    assert 0 < clipped["norm"] <= 0.1 + 1e-9
+    noisy = federated.run_rounds(df, 4, 4, 5, 1, clip=0.1, noise=1.0, seed=3)[-1]["weights"]
+    assert np.allclose(noisy - clipped["weights"], np.random.default_rng([3, 1]).normal(0, 0.1 / 5, 20).reshape(5, 4))
+    got = federated.evaluate(df, clipped["weights"]).collect()
+    z = federated.logits(np.array([r[2] for r in rows]), clipped["weights"])
+    y = np.array([r[1] for r in rows])
+    assert sum(r["n"] for r in got) == 100 and sum(r["n"] for r in got if r["label"] == r["predicted"]) == (z.argmax(1) == y).sum()
+    assert sum(r["loss"] for r in got) == pytest.approx(-np.log((np.exp(z) / np.exp(z).sum(1, keepdims=True))[np.arange(100), y]).sum())
+    with pytest.raises(ValueError, match="of 6 clients"):
+        federated.run_rounds(df, 4, 4, 6, 1)
+
+
+def test_settings():
+    assert protocol.checked_settings("fedavg", 5) == 5 and protocol.checked_settings("krum", 5, 1) == 1
+    for bad in ({"aggregator": "krum", "clients": 4}, {"aggregator": "multikrum", "clients": 6, "byzantine": 2}, {"eval_clients": 6}, {"trim": 0.5}, {"noise": -1.0}, {"clip": 0.0}, {"delta": 1.0}, {"clip_only": True, "noise": 1.0}, {"aggregator": "fedmedian", "noise": 1.0}):
+        with pytest.raises(ValueError):
+            protocol.checked_settings(**{"aggregator": "fedavg", "clients": 5} | bad)
+
+
+def test_classes_and_leaves(spark):
+    renames, aliases = {"A_x": "A", "B_x": "B", "B_y": "B"}, {"B": ["B_z"]}
+    assert protocol.source_names(renames, aliases) == {"A": ["A_x"], "B": ["B_z"]}
+    with pytest.raises(ValueError):
+        protocol.source_names(renames, aliases, ["C"])
+    records = spark.createDataFrame([("p1", "rs 1", "A"), ("p2", "rs 1", "B"), ("p3", "rs 2", "A"), ("p4", None, "A")], "path string, stem string, raw string")
+    leaves = spark.createDataFrame([("rs 1", "A:::1"), ("rs 1", "Bee:::2"), ("rs 2", "Bee:::3"), ("rs 2", "A")], "stem string, leaf string")
+    prefixes = spark.createDataFrame([("B", "Bee")], "class_name string, prefix string")
+    got = {r["path"]: r["leaf_id"] for r in protocol.with_leaf(records, "stem", "raw", leaves, prefixes).collect()}
+    assert got == {"p1": "A:::1", "p2": "Bee:::2", "p3": None, "p4": None}
+    with pytest.raises(Exception, match="several leaves"):
+        protocol.with_leaf(records, "stem", "raw", leaves.unionByName(spark.createDataFrame([("rs 1", "A:::9")], leaves.schema))).collect()
+    with pytest.raises(Exception, match="several leaves"):
+        spark.range(1).select(S.leaf_of(F.array(F.lit("A:::1"), F.lit("A:::2")), ["A"])).collect()
+    files = spark.createDataFrame([("A", "x\\1.jpg"), ("Z", "x\\2.jpg")], "class_name string, path string")
+    assert [tuple(r) for r in protocol.class_samples(files, spark.createDataFrame([("A", 0), ("B", 1)], "class_name string, label int")).collect()] == [("A", 0, "x/1.jpg")]
+
+
+def test_split_maps_refuse_conflicts(spark):
+    schema = "path string, sha256 string, group_id string, leaf_id string, split string"
+    good = [("a", "s1", "g1", None, "train"), ("b", "s1", "g1", "l1", "train"), ("c", "s2", "g2", "l2", "test")]
+    assert protocol.split_maps(spark.createDataFrame(good, schema)).count() == 3 + 2 + 2 + 2
+    assert protocol.split_maps(spark.createDataFrame([], schema)).count() == 0
+    for bad in (("a", "s9", "g9", None, "train"), ("d", "s1", "g9", None, "test"), ("d", "s9", "g1", None, "test"), ("d", "s9", "g9", "l1", "test")):
+        with pytest.raises(Exception, match="conflict of"):
+            protocol.split_maps(spark.createDataFrame([*good, bad], schema)).collect()
+
+
+def test_guards_and_small_parts(spark):
+    df = spark.createDataFrame([(1, "x"), (1, "y")], "a int, b string")
+    assert protocol.one_value(df, "a") == 1 and protocol.first_matching(df, F.col("b") > "x", "b")["b"] == "y"
+    for call in (lambda: protocol.one_value(df, "b"), lambda: protocol.one_value(df.limit(0), "a"), lambda: protocol.first_matching(df, F.col("a") > 1, "b")):
+        with pytest.raises((ValueError, LookupError)):
+            call()
+    with pytest.raises(Exception, match="parts differ"):
+        spark.range(1).select(inference.agreed(F.lit(1.0), F.lit(1.1), 1e-9, "parts differ")).collect()
+    v = spark.createDataFrame([([[1, 2], [3], []],)], "t array<array<int>>")
+    r = v.select(protocol.split_back(F.flatten("t"), F.transform("t", lambda x: F.size(x))).alias("t"), protocol.subset(F.array(F.lit(1)), F.flatten("t")).alias("s"), protocol.attack_types(F.lit(3), F.lit(2), F.lit(None).cast("int"), F.lit(True), F.lit(True)).alias("on"), protocol.attack_types(F.lit(1), F.lit(2), F.lit(None).cast("int"), F.lit(True), F.lit(True)).alias("off")).first()
+    assert tuple(r) == ([[1, 2], [3], []], True, ["label_flip", "model_update"], [])
+    audit = protocol.client_audit(spark.createDataFrame([("10", float("inf"), 3, "no"), ("2", 0.5, 4, "no")], "client_id string, train_loss double, num_examples int, secret string"))
+    assert audit.columns == ["client_id", "train_loss", "num_examples"] and [tuple(r) for r in audit.collect()] == [("10", None, 3), ("2", 0.5, 4)]
+
+
+def test_hash_ranks_keep_null_classes(spark):
+    df = spark.createDataFrame([(k, None if k % 3 == 0 else "a") for k in range(60)], "k int, c string")
+    got = partitions.round_robin(df, "c", "k", 4, 1)
+    assert {(r["c"], r["client"]): r["count"] for r in got.groupBy("c", "client").count().collect()} == {(c, i): n for c, n in ((None, 5), ("a", 10)) for i in range(4)}
+
+
+@pytest.mark.parametrize("radius", [0, 1, 8, 9, 10, 20])
+def test_hamming_join_equals_all_pairs(spark, radius):
+    rng = np.random.default_rng(radius)
+    base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 6)]
+    near = []
+    for h in base:
+        for flips in (0, radius // 2, radius, radius + 1):
+            mask = sum(1 << int(b) for b in rng.choice(64, flips, replace=False))
+            x = (h & (2**64 - 1)) ^ mask
+            near.append(x - 2**64 if x >> 63 else x)
+    rows = [(f"{i:03d}", "c" if i % 5 else "d", h) for i, h in enumerate(base + near)]
+    got = {(r["left_path"], r["right_path"], r["distance"]) for r in similarity.hamming_pairs(spark.createDataFrame(rows, "p string, c string, h long"), "p", "c", "h", radius).collect()}
+    want = {(a[0], b[0], d) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and (d := ((a[2] ^ b[2]) & (2**64 - 1)).bit_count()) <= radius}
+    assert got == want and want

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from larkspur.functions.scalars import sign12
+from larkspur.operators.curation import cut
 
 
 def paired(df: DataFrame, arm: str, value: str, left, right, keys: list[str]) -> DataFrame:
@@ -58,6 +61,18 @@ def average_rank(value: F.Column, by: list[str], order: F.Column | None = None)
     return F.rank().over(W.partitionBy(*by).orderBy(order)) + (F.count("*").over(W.partitionBy(*by, order)) - 1) / 2.0
 
 
+def ranked(df: DataFrame, keys: list[str], value: str, rank: str, weight: str | None = None) -> DataFrame:
+    """df with average ranks of value within keys, however many rows a key has; a row with a weight counts as so many. Equal values are counted first; the counts are range-partitioned, and a value's rank is what stands before its partition, before it in its partition, and half of its own. Values must not be null."""
+    counted = df.groupBy(*keys, F.col(value).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c"))
+    # borders are sampled anew by each job: what is summed twice must be the same partitions
+    parts = cut(counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy(*keys, "_part").agg(F.sum("_c").alias("_s"))  # a row for each partition and key in it
+    before = sums.select(*keys, "_part", F.coalesce(F.sum("_s").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.sum("_c").over(W.partitionBy("_part", *keys).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ranks = parts.withColumn("_upto", inside).join(before, [*keys, "_part"]).select(*keys, F.col("_v").alias(value), (F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(rank))
+    return df.join(ranks, [*keys, value])
+
+
 def wilcoxon_p(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Signed ranks, zeros dropped, exact two-sided p over all sign patterns; 1 where nothing is left."""
     x = df.select(*keys, F.col(value).alias("v")).filter(F.abs("v") > 1e-12)
@@ -124,17 +139,68 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, reps: int, seed: in
     return means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 
+def seeded_means(df: DataFrame, keys: list[str], value: str, reps: int = 10_000, seed: int = 20260824) -> DataFrame:
+    """(keys, lo, hi): 95 % percentile intervals of means over draws from a Mersenne Twister that each test seeds anew, as the original's are: equal to its to the last digit. The draws follow from the number of values alone; a test's values are few (MOST_SIGNS) and keep the order of `position` if df has it, else of their size."""
+    order = "position" if "position" in df.columns else value
+    few = df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("_values"))
+    few = few.withColumn("_values", F.when(F.size("_values") <= MOST_SIGNS, F.col("_values")).otherwise(F.raise_error(F.lit(f"a test takes at most {MOST_SIGNS} values"))))
+
+    @F.pandas_udf("struct<lo double, hi double>")
+    def interval(values: pd.Series) -> pd.DataFrame:
+        picks: dict[int, np.ndarray] = {}
+        out = []
+        for v in values:
+            n = len(v)
+            if n not in picks:
+                rng = np.random.RandomState(seed)
+                picks[n] = np.stack([rng.randint(0, n, size=n) for _ in range(reps)])
+            out.append(np.percentile(v[picks[n]].mean(axis=1), [2.5, 97.5]))
+        return pd.DataFrame(out, columns=["lo", "hi"])
+
+    return few.withColumn("_ci", interval("_values")).select(*keys, F.col("_ci.lo").alias("lo"), F.col("_ci.hi").alias("hi"))
+
+
+def test_row(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The whole bundle of a test: what test_bundle says, and the seeded interval as boot_lo and boot_hi."""
+    ci = seeded_means(df, keys, value).select(*keys, F.col("lo").alias("boot_lo"), F.col("hi").alias("boot_hi"))
+    return test_bundle(df, keys, value).join(ci, keys)
+
+
+def _pair_ranks(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(keys, _n, _rx, _ry) for each distinct pair of values; pairs with a null or NaN are left out."""
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    pairs = df.filter(ok(x) & ok(y)).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
+    return ranked(ranked(cut(pairs), keys, "_x", "_rx", "_n"), keys, "_y", "_ry", "_n")
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    r = df.select(*keys, average_rank(F.col(x), keys).alias("rx"), average_rank(F.col(y), keys).alias("ry"))
-    ok = (F.count("*") > 1) & (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.when(ok, F.corr("rx", "ry")).alias("rho"))
+    """Rank correlation within keys of any size; null where a side doesn't vary."""
+    s = lambda e: F.sum(F.expr(f"_n * {e}"))
+    r = _pair_ranks(df, keys, x, y).groupBy(*keys).agg(
+        F.sum("_n").alias("n"), s("_rx").alias("sx"), s("_ry").alias("sy"), s("_rx * _ry").alias("sxy"), s("_rx * _rx").alias("sxx"), s("_ry * _ry").alias("syy"),
+        ((F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))).alias("ok"),
+    )
+    rho = F.expr("(sxy - sx * sy / n) / sqrt(sxx - sx * sx / n) / sqrt(syy - sy * sy / n)")
+    return r.select(*keys, "n", F.when(F.col("ok"), rho).alias("rho"))
 
 
 def partial_spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Ranks over all rows, residuals from the groups' mean ranks, then Pearson."""
-    r = df.select(F.col(by).alias("g"), average_rank(F.col(x), [F.lit(1)]).alias("rx"), average_rank(F.col(y), [F.lit(1)]).alias("ry"))
-    w = W.partitionBy("g")
-    return r.select((F.col("rx") - F.avg("rx").over(w)).alias("ex"), (F.col("ry") - F.avg("ry").over(w)).alias("ey")).agg(F.count("*").alias("n"), F.corr("ex", "ey").alias("rho"))
+    """Ranks over all rows, residuals from the groups' mean ranks, then Pearson: from each group's sums."""
+    s = lambda e: F.sum(F.expr(f"_n * {e}"))
+    d = df.select(F.col(by).alias("_g"), F.lit(1).alias("_one"), x, y)
+    ok = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    pairs = cut(d.filter(ok(x) & ok(y)).groupBy("_one", "_g", F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_n")))
+    r = ranked(ranked(pairs, ["_one"], "_x", "_rx", "_n"), ["_one"], "_y", "_ry", "_n")
+    g = r.groupBy("_g").agg(F.sum("_n").alias("n"), s("_rx").alias("sx"), s("_ry").alias("sy"), s("_rx * _ry").alias("sxy"), s("_rx * _rx").alias("sxx"), s("_ry * _ry").alias("syy"))
+    inner = g.agg(F.sum("n").alias("n"), F.expr("sum(sxy - sx * sy / n)").alias("cxy"), F.expr("sum(sxx - sx * sx / n)").alias("cxx"), F.expr("sum(syy - sy * sy / n)").alias("cyy"))
+    return inner.select("n", F.when((F.col("cxx") > 0) & (F.col("cyy") > 0), F.col("cxy") / F.sqrt("cxx") / F.sqrt("cyy")).alias("rho"))
+
+
+def small_spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """spearman for very many groups that are each small, as resamples are: ranks in a window a group."""
+    r = df.select(*keys, average_rank(F.col(x), keys).alias("rx"), average_rank(F.col(y), keys).alias("ry"))
+    ok = (F.count("*") > 1) & (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.when(ok, F.corr("rx", "ry")).alias("rho"))
 
 
 def simple_ols(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -172,10 +238,9 @@ def aggregator_decomposition(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def residual_spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """The diagnostic form: residuals of the values from their groups' means first, then ranks."""
-    w = W.partitionBy(by)
-    e = df.select((F.col(x) - F.avg(x).over(w)).alias("ex"), (F.col(y) - F.avg(y).over(w)).alias("ey"))
-    r = e.select(average_rank(F.col("ex"), [F.lit(1)], F.round("ex", 9)).alias("rx"), average_rank(F.col("ey"), [F.lit(1)], F.round("ey", 9)).alias("ry"))
-    return r.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    means = df.groupBy(by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    e = df.join(means, df[by].eqNullSafe(means[by])).select(F.lit(1).alias("_one"), F.round(F.col(x) - F.col("_mx"), 9).alias("ex"), F.round(F.col(y) - F.col("_my"), 9).alias("ey"))
+    return spearman(e, ["_one"], "ex", "ey").select("n", "rho")
 
 
 def clustered_spearman_ci(df: DataFrame, keys: list[str], cluster: str, x: str, y: str, reps: int, seed: int) -> DataFrame:
@@ -186,7 +251,7 @@ def clustered_spearman_ci(df: DataFrame, keys: list[str], cluster: str, x: str,
     draws = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("d", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     pick = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "rep", "d"), 256), 1, 8), 16, 10).cast("long") % F.col("n")
     rows = draws.withColumn("i", pick).join(c, [*keys, "i"]).select(*keys, "rep", cluster).join(df, [*keys, cluster])
-    rho = spearman(rows, [*keys, "rep"], x, y).filter("rho IS NOT NULL")
+    rho = small_spearman(rows, [*keys, "rep"], x, y).filter("rho IS NOT NULL")
     return rho.groupBy(*keys).agg(F.percentile("rho", F.lit(0.025)).alias("lo"), F.percentile("rho", F.lit(0.975)).alias("hi"))
 
 

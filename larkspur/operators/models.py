@@ -31,6 +31,17 @@ def t_two_sided(t: float, df: float) -> float:
     return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
 
 
+def t_quantile(q: float, df: float) -> float:
+    """Student's quantile above the median, by halving."""
+    low, high = 0.0, 1.0
+    while 1 - t_two_sided(high, df) / 2 < q:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - t_two_sided(mid, df) / 2 < q else (low, mid)
+    return high
+
+
 def moments(df: DataFrame, xs: list[str], y: str, by: list[str] = ()) -> list:
     """Sums of all products of 1, xs and y, for each value of by: one pass, a row for each group."""
     cols = [F.lit(1.0), *(F.col(x).cast("double") for x in xs), F.col(y).cast("double")]

@@ -423,17 +423,17 @@ def family_f1(spark, d):
     return rounded(inference.family(diffs(spark, d), "alpha", "diff").drop("family"))
 
 
-@query(f"""WITH {DIFFS}, nd AS (SELECT alpha, diff, row_number() OVER (PARTITION BY alpha ORDER BY diff) - 1 AS i, count(*) OVER (PARTITION BY alpha) AS n FROM df), dr AS (SELECT alpha, n, rep, unnest(range(0, n)) AS d FROM (SELECT DISTINCT alpha, n FROM nd) CROSS JOIN (SELECT unnest(range(0, 500)) AS rep)),
-pk AS (SELECT alpha, rep, ('0x' || substr(sha256('20260824:' || rep || ':' || d), 1, 8))::BIGINT % n AS i FROM dr), me AS (SELECT pk.alpha, rep, avg(diff) AS m FROM pk JOIN nd ON pk.alpha = nd.alpha AND pk.i = nd.i GROUP BY 1, 2) SELECT alpha, round(quantile_cont(m, 0.025), 6) + 0 AS lo, round(quantile_cont(m, 0.975), 6) + 0 AS hi FROM me GROUP BY 1""")
-def bootstrap_ci(spark, d):
-    return rounded(inference.bootstrap_ci(diffs(spark, d), ["alpha"], "diff", 500, 20260824))
+#: The resamples of the original.
+RESAMPLES = 10_000
 
 
-#: The resamples of the original; bootstrap_ci and clustered_spearman_ci take as few as their SQL says.
-RESAMPLES = 10_000
+@query(f"""WITH {DIFFS}, nd AS (SELECT alpha, diff, row_number() OVER (PARTITION BY alpha ORDER BY diff) - 1 AS i, count(*) OVER (PARTITION BY alpha) AS n FROM df), dr AS (SELECT alpha, n, rep, unnest(range(0, n)) AS d FROM (SELECT DISTINCT alpha, n FROM nd) CROSS JOIN (SELECT unnest(range(0, 10000)) AS rep)),
+pk AS (SELECT alpha, rep, ('0x' || substr(sha256('20260824:' || rep || ':' || d), 1, 8))::BIGINT % n AS i FROM dr), me AS (SELECT pk.alpha, rep, avg(diff) AS m FROM pk JOIN nd ON pk.alpha = nd.alpha AND pk.i = nd.i GROUP BY 1, 2) SELECT alpha, round(quantile_cont(m, 0.025), 6) + 0 AS lo, round(quantile_cont(m, 0.975), 6) + 0 AS hi FROM me GROUP BY 1""")
+def bootstrap_ci(spark, d):
+    return rounded(inference.bootstrap_ci(diffs(spark, d), ["alpha"], "diff", RESAMPLES, 20260824))
 
 
-@query()
+@query(ORACLE_SQL["bootstrap_ci"])
 def bootstrap_ci_whole(spark, d):
     return rounded(inference.bootstrap_ci(diffs(spark, d), ["alpha"], "diff", RESAMPLES, 20260824))
 
@@ -611,15 +611,15 @@ def residual_spearman(spark, d):
     return rounded(inference.residual_spearman(runs(spark, d), "alpha", "value", "seed"))
 
 
-@query(f"""WITH {RUNS}, c AS (SELECT alpha, seed, row_number() OVER (PARTITION BY alpha ORDER BY seed) - 1 AS i, count(*) OVER (PARTITION BY alpha) AS n FROM (SELECT DISTINCT alpha, seed FROM runs)), dr AS (SELECT alpha, n, rep, unnest(range(0, n)) AS d FROM (SELECT DISTINCT alpha, n FROM c) CROSS JOIN (SELECT unnest(range(0, 200)) AS rep)),
+@query(f"""WITH {RUNS}, c AS (SELECT alpha, seed, row_number() OVER (PARTITION BY alpha ORDER BY seed) - 1 AS i, count(*) OVER (PARTITION BY alpha) AS n FROM (SELECT DISTINCT alpha, seed FROM runs)), dr AS (SELECT alpha, n, rep, unnest(range(0, n)) AS d FROM (SELECT DISTINCT alpha, n FROM c) CROSS JOIN (SELECT unnest(range(0, 10000)) AS rep)),
 pk AS (SELECT alpha, rep, ('0x' || substr(sha256('20260824:' || rep || ':' || d), 1, 8))::BIGINT % n AS i FROM dr), rw AS (SELECT pk.alpha, rep, r.value AS x, r.arm FROM pk JOIN c ON pk.alpha = c.alpha AND pk.i = c.i JOIN runs r ON r.alpha = c.alpha AND r.seed = c.seed),
 rk AS (SELECT alpha, rep, rank() OVER (PARTITION BY alpha, rep ORDER BY x) + (count(*) OVER (PARTITION BY alpha, rep, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY alpha, rep ORDER BY arm) + (count(*) OVER (PARTITION BY alpha, rep, arm) - 1) / 2.0::DOUBLE AS ry FROM rw),
 s AS (SELECT alpha, rep, corr(rx, ry) AS rho FROM rk GROUP BY 1, 2 HAVING min(rx) < max(rx) AND min(ry) < max(ry)) SELECT alpha, round(quantile_cont(rho, 0.025), 6) + 0 AS lo, round(quantile_cont(rho, 0.975), 6) + 0 AS hi FROM s GROUP BY 1""")
 def clustered_spearman_ci(spark, d):
-    return rounded(inference.clustered_spearman_ci(runs(spark, d), ["alpha"], "seed", "value", "arm", 200, 20260824))
+    return rounded(inference.clustered_spearman_ci(runs(spark, d), ["alpha"], "seed", "value", "arm", RESAMPLES, 20260824))
 
 
-@query()
+@query(ORACLE_SQL["clustered_spearman_ci"])
 def clustered_spearman_ci_whole(spark, d):
     return rounded(inference.clustered_spearman_ci(runs(spark, d), ["alpha"], "seed", "value", "arm", RESAMPLES, 20260824))
 

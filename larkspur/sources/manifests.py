@@ -112,3 +112,14 @@ def append_checkpoint(df: DataFrame, path: str) -> None:
 def latest_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     return df.join(F.broadcast(df.agg(F.max("round").alias("round"))), "round")
+
+
+def ordered_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    """The latest round's entries in state order: tensors by number (the 10th after the 9th, not after the 1st), entries by place."""
+    return latest_checkpoint(spark, path).orderBy("tensor", "pos")
+
+
+def named_arrays(df: DataFrame, name: str = "name") -> DataFrame:
+    """Arrays that a checkpoint keeps as arr_0, arr_1, ...: with tensor, the number in the name, in its order; an error for another name."""
+    number = F.regexp_extract(name, "^[A-Za-z]+_([0-9]+)$", 1)
+    return df.withColumn("tensor", F.when(number != "", number).otherwise(F.raise_error(F.concat(F.lit("not a checkpoint's array: "), F.col(name)))).cast("int")).orderBy("tensor")

@@ -21,6 +21,7 @@ null doc_id is returned as it is. Repeated rows each give their rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -121,6 +122,25 @@ def sliding_least(levels: list[np.ndarray], length: int) -> np.ndarray:
     return np.minimum(a[:n], a[length - (1 << top) : length - (1 << top) + n])
 
 
+def contained(at: np.ndarray, values: np.ndarray, reach: int, whole: int, least: float) -> list[tuple[int, int, float]]:
+    """(first, last, share) of windows that begin at a place, reach so far, and hold the least share of distinct values of the whole; the next one begins behind the last. Both ends move forward only, so time follows the number of places."""
+    kind = np.unique(values, return_inverse=True)[1].tolist()
+    place = at.tolist()
+    count = [0] * (max(kind, default=0) + 1)
+    out, distinct, right, last_end = [], 0, 0, -1
+    for left, s in enumerate(place):
+        while right < len(place) and place[right] <= s + reach:
+            distinct += count[kind[right]] == 0
+            count[kind[right]] += 1
+            right += 1
+        if s > last_end and distinct >= least * whole:
+            last_end = place[right - 1]
+            out.append((s, last_end, distinct / whole))
+        count[kind[left]] -= 1
+        distinct -= count[kind[left]] == 0
+    return out
+
+
 def matches(texts: list[str], lib: Library) -> list[tuple[int, int, float, int, int]]:
     """(text, template, containment, first word, end word) of the verified regions, the best of overlapping ones of a template."""
     p = lib.p
@@ -165,16 +185,7 @@ def matches(texts: list[str], lib: Library) -> list[tuple[int, int, float, int,
             if hi <= lo:
                 continue
             inside = np.flatnonzero(np.isin(sh[lo:hi], own))
-            last_end = -1
-            # windows of the template's own length, from each shared shingle
-            for s in inside.tolist():
-                if s <= last_end:
-                    continue
-                here = inside[(inside >= s) & (inside < s + size + size // 4 + 1)]
-                share = len(np.unique(sh[lo + here])) / len(own)
-                if share >= p.containment:
-                    out.append((d, t, share, lo + s - int(w.first[d]), lo + int(here[-1]) + p.words - int(w.first[d])))
-                    last_end = int(here[-1])
+            out += [(d, t, share, lo + s - int(w.first[d]), lo + e + p.words - int(w.first[d])) for s, e, share in contained(inside, sh[lo + inside], size + size // 4, len(own), p.containment)]
     return apart(out, lib)
 
 
@@ -182,13 +193,15 @@ def apart(found: list[tuple[int, int, float, int, int]], lib: Library) -> list[t
     """Of matches that cover the same words (more than half of the shorter one's) the one that explains most: its template's shingles that are there less those that aren't; then the better contained, then the first template."""
     worth = sorted(set(found), key=lambda x: (x[0], -(2 * x[2] - 1) * len(lib.sorted[x[1]]), -x[2], x[1], x[3]))
     kept: list[tuple[int, int, float, int, int]] = []
-    own: list[tuple[int, int]] = []
+    own: list[tuple[int, int]] = []  # by place; those that overlap a match begin at most the longest match before it
+    longest = max((x[4] - x[3] for x in worth), default=0)
     for x in worth:
         if kept and kept[-1][0] != x[0]:
             own = []
-        if all(2 * (min(e, x[4]) - max(s, x[3])) <= min(e - s, x[4] - x[3]) for s, e in own):
+        near = own[bisect_left(own, (x[3] - longest, 0)) : bisect_left(own, (x[4], 0))]
+        if all(2 * (min(e, x[4]) - max(s, x[3])) <= min(e - s, x[4] - x[3]) for s, e in near):
             kept.append(x)
-            own.append((x[3], x[4]))
+            insort(own, (x[3], x[4]))
     return sorted(kept)
 
 

@@ -241,6 +241,8 @@ def classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
     sized = sized.select(F.col("node").alias("fp"), F.xxhash64("root").alias("root"), "n", "weight", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tk").alias("rep_tk"))
     text = docs.select(F.col("doc_id").alias("rep_id"), "text").withColumn("rep_tk", F.xxhash64("text"))
     found = sized.alias("s").join(text.alias("t"), F.expr("s.rep_tk = t.rep_tk AND s.rep_id <=> t.rep_id")).select("s.fp", "s.root", "s.n", "s.weight", "t.text")
+    if not rows.groupBy("doc_id", "tk").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+        found = found.dropDuplicates(["fp"])  # every one of the representative's identical rows has joined
     sets = found.mapInArrow(lambda it: _sets(it, p), "fp binary, root long, n long, weight long, sets binary")
     checked = cut(_dealt(sets, "root", "n", p.verify_block).mapInArrow(lambda it: _verify(it, p), "fp binary, links long, label binary"))
     roots = components(checked.select(F.col("fp").alias("a"), F.col("label").alias("b")))

@@ -331,7 +331,10 @@ def dedup(docs: DataFrame, p: SentenceSpans = SentenceSpans()) -> DataFrame:
     """docs with the repeated sentences taken out of text; _ranges: the removed ranges of characters, _firsts: ids of the documents that hold the removed spans' first places. Columns of docs with these two names are replaced."""
     docs = docs.drop("_ranges", "_firsts")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = repeated_spans(docs, p).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "h", "first", "fs")).alias("found"))
+    spans = repeated_spans(docs, p)
+    if not docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+        spans = spans.distinct()  # identical rows of an id have the same places
+    found = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "h", "first", "fs")).alias("found"))
     found = cut(found.mapInArrow(_gathered, f"doc_id {kind}, found binary, firsts array<{kind}>"))
     told = found.select("doc_id", F.lit(None).cast("array<struct<s:int,left:boolean,words:binary>>").alias("told")).limit(0)
     if p.passage:

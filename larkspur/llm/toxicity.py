@@ -162,11 +162,11 @@ def _match_rows(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """Text and label of a bounded sample of the rows that may be learned from: about so many, chosen by a hash of their id."""
+    """Text and label of a bounded sample of the ids that may be learned from: about so many, chosen by a hash, and one text each (of several rows of an id the text of least hash), so repeated rows don't pile up."""
     rows = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     n = rows.count()
     rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, most / max(n, 1)))))
-    return docs.select("doc_id", "text").join(rows, "doc_id").select("text", "label")
+    return docs.select("doc_id", "text").join(rows, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("x")).select("x.text", "x.label")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:

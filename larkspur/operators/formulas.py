@@ -38,19 +38,19 @@ def levels(df: DataFrame, column: str) -> list:
     return found
 
 
-def _columns(term: Term, of: dict[str, list]) -> list[tuple[str, Column]]:
+def columns(term: Term, of: dict[str, list]) -> list[tuple[str, Column]]:
     if isinstance(term, str):
         return [(term, F.col(term).cast("double"))]
     if isinstance(term, factor):
         return [(f"{term.column}[{v}]", (F.col(term.column) == F.lit(v)).cast("double")) for v in of[term.column][1:]]
     out = [("", F.lit(1.0))]
     for part in term:
-        out = [(f"{a}:{b}".lstrip(":"), x * y) for a, x in out for b, y in _columns(part, of)]
+        out = [(f"{a}:{b}".lstrip(":"), x * y) for a, x in out for b, y in columns(part, of)]
     return out
 
 
-def _factors(term: Term) -> list[str]:
-    return [term.column] if isinstance(term, factor) else [] if isinstance(term, str) else [c for t in term for c in _factors(t)]
+def factors(term: Term) -> list[str]:
+    return [term.column] if isinstance(term, factor) else [] if isinstance(term, str) else [c for t in term for c in factors(t)]
 
 
 @dataclass
@@ -66,7 +66,7 @@ class Moments:
 
     def model(self, terms: list[Term]) -> tuple[list[str], np.ndarray]:
         """A model's term names and each unit's matrix of its columns, y last."""
-        names = ["intercept", *(n for t in terms for n, _ in _columns(t, self.of))]
+        names = ["intercept", *(n for t in terms for n, _ in columns(t, self.of))]
         at = [0, *(self.names.index(n) for n in names[1:]), len(self.names) - 1]
         return names, self.sums[np.ix_(range(len(self.units)), at, at)]
 
@@ -77,10 +77,10 @@ class Moments:
 def moments(df: DataFrame, models: list[list[Term]], y: str, unit: str) -> Moments:
     """One aggregation of all models' columns by unit, after one of their means. Rows with a null in any column are left out, as they have no place in some model."""
     terms = list(dict.fromkeys(t for m in models for t in m))
-    of = {c: levels(df, c) for t in terms for c in _factors(t)}
+    of = {c: levels(df, c) for t in terms for c in factors(t)}
     named: dict[str, Column] = {}
     for t in terms:
-        named |= dict(_columns(t, of))
+        named |= dict(columns(t, of))
     named[y] = F.col(y).cast("double")
     x = df.select(unit, *[c.alias(f"c{i}") for i, c in enumerate(named.values())]).dropna()
     k = len(named) + 1

@@ -173,10 +173,10 @@ def _pair_ranks(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return ranked(ranked(cut(pairs), keys, "_x", "_rx", "_n"), keys, "_y", "_ry", "_n")
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation within keys of any size; null where a side doesn't vary."""
+def _correlated(ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, rho) from rows (keys, _n, _rx, _ry); null where a side doesn't vary."""
     s = lambda e: F.sum(F.expr(f"_n * {e}"))
-    r = _pair_ranks(df, keys, x, y).groupBy(*keys).agg(
+    r = ranks.groupBy(*keys).agg(
         F.sum("_n").alias("n"), s("_rx").alias("sx"), s("_ry").alias("sy"), s("_rx * _ry").alias("sxy"), s("_rx * _rx").alias("sxx"), s("_ry * _ry").alias("syy"),
         ((F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))).alias("ok"),
     )
@@ -184,6 +184,11 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return r.select(*keys, "n", F.when(F.col("ok"), rho).alias("rho"))
 
 
+def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Rank correlation within keys of any size; null where a side doesn't vary."""
+    return _correlated(_pair_ranks(df, keys, x, y), keys)
+
+
 def partial_spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """Ranks over all rows, residuals from the groups' mean ranks, then Pearson: from each group's sums."""
     s = lambda e: F.sum(F.expr(f"_n * {e}"))
@@ -198,9 +203,8 @@ def partial_spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 def small_spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """spearman for very many groups that are each small, as resamples are: ranks in a window a group."""
-    r = df.select(*keys, average_rank(F.col(x), keys).alias("rx"), average_rank(F.col(y), keys).alias("ry"))
-    ok = (F.count("*") > 1) & (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.when(ok, F.corr("rx", "ry")).alias("rho"))
+    r = df.select(*keys, average_rank(F.col(x), keys).alias("_rx"), average_rank(F.col(y), keys).alias("_ry"), F.lit(1).alias("_n"))
+    return _correlated(r, keys)
 
 
 def simple_ols(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

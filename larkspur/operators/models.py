@@ -96,53 +96,10 @@ def logistic_gee(df: DataFrame, xs: list[str], successes: str, trials: str, clus
     return {"names": ["intercept", *xs], "estimate": beta, "robust_se": np.sqrt(np.diag(inv @ meat @ inv)), "clusters": len(rows)}
 
 
-def crossed_lmm(df: DataFrame, xs: list[str], y: str, groups: list[str]) -> dict:
-    """Linear mixed model with crossed random intercepts by REML. Spark reduces the rows to cells of the groups (sums of products); the profiled likelihood is minimised on the driver over variance ratios, which may be 0."""
-    rows = moments(df, xs, y, groups)
-    k = len(xs) + 1
-    levels = [{v: i for i, v in enumerate(sorted({r[g] for r in rows}, key=str))} for g in groups]
-    q = sum(map(len, levels))
-    offset = np.cumsum([0, *map(len, levels)])
-    full = np.zeros((k + q + 1, k + q + 1))  # X, Z, y
-    ys = k + q
-    for r in rows:
-        m = matrix(r, k + 1)
-        at = [k + offset[g] + levels[g][r[name]] for g, name in enumerate(groups)]
-        full[:k, :k] += m[:k, :k]
-        full[:k, ys] += m[:k, k]
-        full[ys, ys] += m[k, k]
-        for a in at:
-            full[:k, a] += m[:k, 0]
-            full[a, ys] += m[0, k]
-            for b in at:
-                full[a, b] += m[0, 0]
-    full[ys, :k], full[k:ys, :k], full[ys, k:ys] = full[:k, ys], full[:k, k:ys].T, full[k:ys, ys]
-    n = full[0, 0]
-
-    def solve(ratio: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
-        d = np.concatenate([np.full(len(lv), r) for lv, r in zip(levels, ratio, strict=True)])
-        s = np.sqrt(d)
-        inner = np.eye(q) + s[:, None] * full[k:ys, k:ys] * s
-        w = np.linalg.solve(inner, s[:, None] * full[k:ys][:, [*range(k), ys]])
-        left = full[np.ix_([*range(k), ys], [*range(k), ys])] - full[[*range(k), ys], k:ys] @ (s[:, None] * w)
-        beta = np.linalg.solve(left[:k, :k], left[:k, k])
-        rss = float(left[k, k] - beta @ left[:k, k])
-        value = np.linalg.slogdet(inner)[1] + np.linalg.slogdet(left[:k, :k])[1] + (n - k) * math.log(max(rss, 1e-300))
-        return float(value), beta, rss / (n - k), np.linalg.inv(left[:k, :k])
-
-    grid = [0.0, *np.exp(np.linspace(-8, 4, 13))]
-    best = min(([solve(np.array([a, *([b] * (len(groups) - 1))]))[0], a, b] for a in grid for b in grid), key=lambda x: x[0])
-    ratio, step = np.array([best[1], *([best[2]] * (len(groups) - 1))]), 1.0
-    value = best[0]
-    while step > 1e-5:
-        moved = False
-        for g in range(len(groups)):
-            for f in (math.exp(step), math.exp(-step), 0.0):
-                trial = ratio.copy()
-                trial[g] = trial[g] * f if trial[g] else (1e-4 * step if f > 1 else 0.0)
-                v = solve(trial)[0]
-                if v < value - 1e-12:
-                    ratio, value, moved = trial, v, True
-        step = step if moved else step / 2
-    _, beta, sigma2, inv = solve(ratio)
-    return {"names": ["intercept", *xs], "estimate": beta, "se": np.sqrt(np.diag(inv) * sigma2), "residual": sigma2, "variance": {g: float(r * sigma2) for g, r in zip(groups, ratio, strict=True)}}
+def crossed_lmm(df: DataFrame, xs: list[str], y: str, groups: list[str], large: str | None = None) -> dict:
+    """Linear mixed model with crossed random intercepts by REML; a grouping of very many levels is given as large."""
+    from larkspur.operators import mixed
+
+    f = mixed.fit(df, xs, y, groups, large)
+    c = f["coefficients"]
+    return {"names": [r["term"] for r in c], "estimate": np.array([r["estimate"] for r in c]), "se": np.array([r["se"] for r in c]), "residual": f["residual"], "variance": f["variance"]}

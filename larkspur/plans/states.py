@@ -7,7 +7,7 @@ from math import prod
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import tensors
+from larkspur.operators import tensors, training
 from larkspur.operators.tensors import Tensor
 from larkspur.plans.registry import query, rounded, table
 
@@ -72,3 +72,24 @@ def tensor_weights(spark, d):
     back = tensors.with_weights(meta, tensors.weights(local, ["label"]), ["label"])
     w = tensors.weights(back, ["label"])
     return rounded(w.select("label", "tensor", "name", (F.size("values") + F.size("wholes")).alias("entries"), F.try_element_at("values", F.lit(1)).alias("first"), F.try_element_at("values", F.lit(-1)).alias("last"), F.try_element_at("wholes", F.lit(1)).alias("whole")))
+
+
+def head_samples(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("label").cast("int").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+
+
+@query()
+def adamw_training(spark, d):
+    """Epochs of one model over all samples, scored on them; best is the first epoch of greatest accuracy."""
+    s = head_samples(spark, d)
+    history, best, _ = training.train(s, s, training.AdamW(10, 64, batch=32, lr=0.02), 3)
+    return rounded(spark.createDataFrame([(h["epoch"], h["train_loss"], h["val_loss"], h["val_acc"], h["epoch"] == best["epoch"]) for h in history], "epoch int, train_loss double, val_loss double, val_acc double, best boolean"))
+
+
+@query()
+def adamw_rounds(spark, d):
+    """Rounds of five clients' local epochs with a proximal pull, each evaluated on all samples."""
+    s = head_samples(spark, d)
+    history = training.run_rounds(s.withColumn("client", F.col("id") % 5), s, training.AdamW(10, 64, batch=32, lr=0.02, mu=0.1), 3)
+    return rounded(spark.createDataFrame([(h["round"], h["clients"], h["train_loss"], h["loss"], h["accuracy"]) for h in history], "round int, clients int, train_loss double, loss double, accuracy double"))

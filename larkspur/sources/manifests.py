@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.operators import rules
+
 SAMPLE = "path string, raw_class string, class_name string, size_bytes bigint, sha256 string, leaf_id string, group_id string, group_source string, split string"
 ATTACK = "seed int, active_rounds struct<start:int,end:int>, label_flip struct<source_class:string,target_class:string,fraction:double>, model_update struct<mode:string,scale:double>, description string"
 
@@ -123,3 +125,70 @@ def named_arrays(df: DataFrame, name: str = "name") -> DataFrame:
     """Arrays that a checkpoint keeps as arr_0, arr_1, ...: with tensor, the number in the name, in its order; an error for another name."""
     number = F.regexp_extract(name, "^[A-Za-z]+_([0-9]+)$", 1)
     return df.withColumn("tensor", F.when(number != "", number).otherwise(F.raise_error(F.concat(F.lit("not a checkpoint's array: "), F.col(name)))).cast("int")).orderBy("tensor")
+
+
+#: A split's manifest: its records, and its samples as [path, label].
+SPLIT_DOCUMENT = f"split string, dataset_id string, source_dataset_id string, classes array<string>, source struct<raw_root:string>, records array<struct<{', '.join(f'{n}:{t}' for n, t in (x.split() for x in SAMPLE.split(', ')))}>>, samples array<array<string>>"
+
+
+def split_document(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each manifest under path, and its file's name."""
+    return documents(spark, path, SPLIT_DOCUMENT).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)[.]json$", 1))
+
+
+def split_rows(docs: DataFrame) -> DataFrame:
+    """The records of manifests, each with what its manifest says of all; a manifest without records has one row of nulls."""
+    r = docs.select("file", F.col("split").alias("said"), "dataset_id", "source.raw_root", "classes", F.size(F.coalesce("samples", F.array().cast("array<array<string>>"))).alias("n_samples"), F.size(F.coalesce("records", F.array())).alias("n_records"), F.posexplode_outer("records").alias("at", "record"))
+    return r.withColumn("at", F.coalesce("at", F.lit(0)))
+
+
+def split_violations(docs: DataFrame) -> DataFrame:
+    """What breaks the rules of split manifests: each is of the split that its file names, all have one dataset and one raw_root, classes are known, groups stay in one class and one split, no path occurs twice, and there are as many samples as records."""
+    r = split_rows(docs)
+    path, record, head = F.col("record.path"), F.col("record"), F.col("at") == 0
+    return rules.violations(r, [
+        rules.Row("a manifest of another split than its file's", head & ~F.col("said").eqNullSafe(F.col("file")), F.col("file")),
+        rules.Row("a record of another split", record.isNotNull() & ~F.col("record.split").eqNullSafe(F.col("file")), path),
+        rules.Row("unknown class", record.isNotNull() & ~F.coalesce(F.array_contains("classes", F.col("record.class_name")), F.lit(False)), path),
+        rules.Row("records and samples differ in number", head & (F.col("n_samples") != F.col("n_records")), F.col("file")),
+        rules.Key("several dataset ids", F.lit("all"), F.col("dataset_id")), rules.Key("several raw_roots", F.lit("all"), F.col("raw_root")),
+        rules.Key("a group spans classes", F.col("record.group_id"), F.col("record.class_name")), rules.Key("a group spans splits", F.col("record.group_id"), F.col("file")), rules.Key("a path occurs twice", path),
+    ])
+
+
+def three_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of train.json, validation.json and test.json; a ValueError names every rule that they break."""
+    docs = split_document(spark, f"{folder}/{{{','.join(('train', 'validation', 'test'))}}}.json")
+    rules.require(split_violations(docs))
+    return docs.select("dataset_id", "source.raw_root", F.explode("records").alias("r")).select("dataset_id", "raw_root", "r.*")
+
+
+def partition_source(spark: SparkSession, path: str) -> DataFrame:
+    """The records of one manifest that clients may share: the train split by the rules of split_violations; groups by id, members by path."""
+    docs = split_document(spark, path).withColumn("file", F.lit("train"))
+    rules.require(split_violations(docs))
+    return docs.select(F.explode("records").alias("r")).select("r.*").orderBy("group_id", "path")
+
+
+def samples(docs: DataFrame, root: str) -> DataFrame:
+    """(path, label): a manifest's samples under a data root."""
+    return docs.select(F.explode("samples").alias("s")).select(F.concat(F.lit(root.rstrip("/") + "/"), F.col("s")[0]).alias("path"), F.col("s")[1].cast("int").alias("label"))
+
+
+def pair_violations(partition: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """What forbids a partition's manifest and an evaluation's to go together; a partition's dataset is its source_dataset_id, or dataset_id without one. The paths that both have are joined, whatever their number."""
+    own = partition.select(F.col("classes").alias("a"), F.coalesce("source_dataset_id", "dataset_id").alias("i"))
+    both = own.crossJoin(evaluation.select("split", F.col("classes").alias("b"), F.col("dataset_id").alias("j")))  # one row each
+    found = rules.violations(both, [
+        rules.Row("evaluation is not of the validation split", ~F.col("split").eqNullSafe("validation"), F.col("split")),
+        rules.Row("different class orders", ~F.col("a").eqNullSafe(F.col("b")), F.array_join("b", ",")),
+        rules.Row("different dataset ids", ~F.col("i").eqNullSafe(F.col("j")), F.col("j")),
+    ])
+    paths = lambda d: d.select(F.explode("samples").alias("s")).select(F.col("s")[0].alias("path")).distinct()
+    return found.unionByName(rules.violations(paths(partition).join(paths(evaluation), "path"), [rules.Row("training and validation share paths", F.lit(True), F.col("path"))]))
+
+
+def load_violations(docs: DataFrame, classes: int = 2, images_: int = 10) -> DataFrame:
+    """What forbids to train from a manifest: too few classes or images."""
+    n = F.size(F.coalesce("samples", F.array().cast("array<array<string>>")))
+    return rules.violations(docs, [rules.Row(f"fewer than {classes} classes", F.size(F.coalesce("classes", F.array().cast("array<string>"))) < classes, F.col("file")), rules.Row(f"fewer than {images_} images", n < images_, F.col("file"))])

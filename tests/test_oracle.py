@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from larkspur.plans import evidence, registry, states  # noqa: F401  they register their queries
+from larkspur.plans import evaluated, evidence, registry, states  # noqa: F401  they register their queries
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -1,9 +1,11 @@
 """HTML extraction by a tree-structured graphical model over the DOM.
 
 Each element and each piece of text is a node with one of three states: mixed
-(holds both), main (all of it is main text) or other. A node's features (its
-role, words in its class and id, its share of link text, its amount of text)
-give emission potentials; parent and child are tied by a potential. Messages
+(holds both), main (all of it is main text) or other. A node's features give
+emission potentials: its role, every group of words in its class and id (what a
+name is, what it is of, what it says of the page's state), its share of link
+text, its amount of text, its share of the page's prose, its place and how often
+it is repeated beside itself. None of them decides alone. Parent and child are tied by a potential. Messages
 are passed from the leaves up and from the root down; their product is each
 text's marginal of being main text. Potentials are smoothed counts over
 labelled pages. labelled_pages() makes such pages from a grammar of common page
@@ -48,7 +50,8 @@ KEYWORDS = {
     "by": "meta byline author date time published caption credit",
 }
 _WHICH = {w: k for k, v in KEYWORDS.items() for w in v.split()}
-_ORDER = ("reply", "advert", "notice", "share", "form", "foot", "side", "menu", "head", "by", "main")
+#: Words that make a name say how a page is set up, not what the element is (has-sidebar, comments-open).
+STATES = frozenset("has no is not with without enabled disabled free open closed on off show hide hidden active layout template theme supports tag category format status type single logged js".split())
 _NAMED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -56,20 +59,28 @@ _ROLE = {t: t for t in "html body article main nav header footer aside section d
 
 
 @lru_cache(maxsize=20_000)
-def keyword(raw: str) -> str:
-    """The most telling group of an element's names."""
+def names(raw: str) -> tuple[tuple, ...]:
+    """The features of an element's names: for each name the group of its last telling word (name), the groups of those before (part); for a name of the page's state only those (state)."""
     if not raw:
-        return "-"
+        return (("name", "-"),)
     if _HIDDEN.search(raw):
-        return "hidden"
-    found = set()
+        return (("name", "hidden"),)
+    found: dict[tuple, None] = {}
     for m in _NAMED.finditer(raw):
-        value = m[1] or m[2] or m[3] or ""
-        for name in value.split():
-            for w in (name.lower(), *_SPLIT.split(name)):
-                if (k := _WHICH.get(w.lower())) is not None:
-                    found.add(k)
-    return next((k for k in _ORDER if k in found), "-")
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _SPLIT.split(name) if w]
+            if (k := _WHICH.get(name.lower())) is not None:
+                found["name", k] = None
+                continue
+            groups = [k for w in words if (k := _WHICH.get(w)) is not None]
+            if len(words) > 1 and not STATES.isdisjoint(words):
+                found |= {("state", k): None for k in groups}
+            elif groups:
+                found["name", groups[-1]] = None
+                found |= {("part", k): None for k in groups[:-1]}
+    if not any(f[0] == "name" for f in found):
+        found["name", "-"] = None
+    return tuple(found)
 
 
 def bin_of(n: int) -> int:
@@ -85,27 +96,50 @@ class Nodes:
     first_text: int
 
 
+#: From so many characters on a text outside links is prose.
+PROSE = 60
+
+
+def share_bin(part: int, whole: int) -> int:
+    return 0 if not part else 1 + sum(part >= x * whole for x in (0.15, 0.5, 0.85))
+
+
 def nodes(dom: Dom) -> Nodes:
     n = len(dom.tag)
-    chars, links = [0] * n, [0] * n
+    chars, links, prose = [0] * n, [0] * n, [0] * n
+    begin: list[int | None] = [None] * n
     in_link = [False] * n
     for k in range(1, n):
         in_link[k] = dom.tag[k] == "a" or in_link[dom.parent[k]]
-    own = []
+    own, passed = [], 0
     for e, t, _ in dom.texts:
         c = len(t) if not t.isspace() else 0
         own.append(c)
         chars[e] += c
+        if c and begin[e] is None:
+            begin[e] = passed
+        passed += c
         if in_link[e]:
             links[e] += c
+        elif c >= PROSE:
+            prose[e] += c
+    beside: dict[tuple, int] = {}
     for k in range(n - 1, 0, -1):
-        chars[dom.parent[k]] += chars[k]
-        links[dom.parent[k]] += links[k]
+        up = dom.parent[k]
+        chars[up] += chars[k]
+        links[up] += links[k]
+        prose[up] += prose[k]
+        if begin[k] is not None and (begin[up] is None or begin[k] < begin[up]):
+            begin[up] = begin[k]
+        same = (up, dom.tag[k], dom.attributes[k])
+        beside[same] = beside.get(same, 0) + 1
     features = []
     for k in range(n):
         share = links[k] / chars[k] if chars[k] else 0.0
         role = _ROLE.get(dom.tag[k], "inline" if dom.tag[k] in INLINE else "box")
-        features.append((("role", role), ("name", keyword(dom.attributes[k])), ("links", role == "a" or 0 if share == 0 else 1 if share < 0.2 else 2 if share < 0.6 else 3), ("chars", bin_of(chars[k]))))
+        again = 0 if role in ("p", "li", "td", "tr", "th", "h", "inline", "a", "button") or k == 0 else min(3, beside[dom.parent[k], dom.tag[k], dom.attributes[k]])
+        place = min(3, 4 * (begin[k] or 0) // max(1, passed))
+        features.append((("role", role), *names(dom.attributes[k]), ("links", role == "a" or 0 if share == 0 else 1 if share < 0.2 else 2 if share < 0.6 else 3), ("chars", bin_of(chars[k])), ("prose", share_bin(prose[k], prose[0])), ("again", again), ("place", place)))
     parent = list(dom.parent)
     for (e, t, _), c in zip(dom.texts, own, strict=True):
         parent.append(e)
@@ -196,7 +230,7 @@ def extract(page: str, p: Potentials) -> str:
 
 
 #: The features of a node aren't independent: each kind's potential is raised to a power.
-POWERS = {"role": 0.7, "name": 1.0, "links": 0.1, "chars": 0.3, "leaf": 0.1, "length": 0.3, "ends": 0.3}
+POWERS = {"role": 0.33, "name": 1.2, "part": 0.7, "state": 0.09, "links": 0.1, "chars": 0.14, "prose": 0.17, "again": 0.76, "place": 0.14, "leaf": 0.04, "length": 0.15, "ends": 0.24}
 
 
 def fit(pages: Iterable[tuple[str, object]], smooth: float = 0.05, powers: dict[str, float] = POWERS) -> Potentials:
@@ -244,10 +278,24 @@ def labelled_pages(count: int = 1200, seed: int = 7) -> Iterator[tuple[str, obje
         out = " ".join(mark + "".join(r.choice("aeioulnrst") for _ in range(r.randint(1, 8))) for _ in range(r.randint(lo, hi)))
         return out + (r.choice(".....!?") if stop else "")
 
+    noise = [w for k, v in KEYWORDS.items() if k != "main" for w in v.split()]
+    every = [w for v in KEYWORDS.values() for w in v.split()]
+    inner_words = "body content text story main article post entry".split()
+    plain = "row col box wrap inner container x1 grid block lead intro message list item".split()
+
+    def state() -> str:
+        return r.choice([f"{r.choice(['has', 'no', 'is', 'with', 'without', 'tag', 'category', 'layout'])}-{r.choice(every)}", f"{r.choice(every)}-{r.choice(['enabled', 'open', 'free', 'closed', 'on', 'off', 'layout'])}"])
+
     def named(tag: str, mark: str, names: str, chance: float = 0.7) -> str:
         if r.random() > chance:
-            return f"<{tag}>"
+            return f"<{tag}>" if r.random() < 0.8 else f'<{tag} class="{r.choice(plain)}">'
         which = r.choice(names.split())
+        if mark == "m" and r.random() < 0.35:  # what it is of: a result's body, a recent story
+            which = f"{r.choice(noise)}-{r.choice(inner_words)}"
+        elif mark == "o" and r.random() < 0.2:  # a comment's body, a footer's content
+            which = f"{which}-{r.choice(inner_words)}"
+        if r.random() < 0.3:
+            which += f" {state()}"
         return f'<{tag} {r.choice(["class", "class", "id"])}="{which}{r.choice(["", "", "-1", " x", "-box", "_wrap"])}">'
 
     def link(mark: str, lo: int = 1, hi: int = 4) -> str:
@@ -311,7 +359,7 @@ def labelled_pages(count: int = 1200, seed: int = 7) -> Iterator[tuple[str, obje
     def part() -> str:
         kind = r.random()
         if kind < 0.66:
-            return f"<p>{sentence()}" + r.choice(["</p>", "</p>", "", "<br></p>"])
+            return named("p", "x", "message lead intro first dropcap text " + " ".join(noise), 0.08) + sentence() + r.choice(["</p>", "</p>", "", "<br></p>"])
         if kind < 0.76:
             return f"<h{(k := r.randint(2, 4))}>{words('m', 1, 10, False)}</h{k}>"
         if kind < 0.84:
@@ -327,7 +375,10 @@ def labelled_pages(count: int = 1200, seed: int = 7) -> Iterator[tuple[str, obje
         return f"<div>{sentence()}</div>"
 
     def article() -> str:
-        parts = [f"<h1>{words('m', 1, 12, False)}</h1>"] if r.random() < 0.8 else []
+        title = f"<h1>{words('m', 1, 12, False)}</h1>"
+        if r.random() < 0.3:  # a title in a header of the article's own
+            title = named("header", "x", "entry-header article-header header title", 0.4) + title + "</header>"
+        parts = [title] if r.random() < 0.8 else []
         parts += [part() for _ in range(r.randint(1, 12))]
         if r.random() < 0.3:
             parts.insert(r.randint(0, len(parts)), r.choice([box("advert", 3, 25), side(), box("share", 1, 8), box("notice", 3, 20), form()]))
@@ -349,9 +400,10 @@ def labelled_pages(count: int = 1200, seed: int = 7) -> Iterator[tuple[str, obje
         if r.random() < 0.12:
             before = after = []
         body = "".join(before) + (article() if r.random() < 0.97 else "") + "".join(after)
-        if r.random() < 0.2:
-            body = f'<div {r.choice(["id=wrapper", "class=container", "class=row"])}>{body}</div>'
-        page = f"<!DOCTYPE html><html><head><title>t</title></head><body>{body}</body></html>" if r.random() < 0.95 else body
+        for _ in range(r.choice([0, 0, 0, 0, 1, 1, 2])):
+            body = f'<div {r.choice(["id=wrapper", "class=container", "class=row", "class=page", "id=content", "class=site-main"])}>{body}</div>'
+        names_of_page = " ".join(r.choice([r.choice(every), state()]) for _ in range(r.choice([0, 0, 1, 2, 3])))
+        page = f"<!DOCTYPE html><html><head><title>t</title></head><body{f' class="{names_of_page}"' if names_of_page else ""}>{body}</body></html>" if r.random() < 0.95 else body
         yield page, lambda t: None if t.isspace() else (True if t.lstrip().startswith("m") else False if t.lstrip()[:1] in "o|&" else None)
 
 

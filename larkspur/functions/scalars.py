@@ -101,7 +101,8 @@ def gaussian_rdp(steps: Column, order: Column, noise: Column) -> Column:
 
 
 def rdp_to_epsilon(rdp: Column, order: Column, delta: Column) -> Column:
-    return rdp + F.ln(1.0 / delta) / (order - 1.0)
+    """An order of 1 or below is an error."""
+    return F.when(order > 1, rdp + F.ln(1.0 / delta) / (order - 1.0)).otherwise(F.raise_error(F.lit("orders must be above 1")).cast("double"))
 
 
 def noise_stdv(noise: float, clip: float, clients: int) -> float:

@@ -20,7 +20,7 @@ def tightest_epsilon(settings: DataFrame) -> DataFrame:
 def job_matrix(spark: SparkSession, **dimensions: list) -> DataFrame:
     """The cross product of a registry's few settings."""
     frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in dimensions.items()]
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)
 
 
 def completeness(events: DataFrame, keys: list[str], rounds: int) -> DataFrame:
@@ -37,11 +37,16 @@ def pending(jobs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return jobs.join(done.filter("complete"), keys, "left_anti")
 
 
-def attack_verified(events: DataFrame, attacker: F.Column) -> DataFrame:
-    """Per run: the attacker is flagged in every fit round, nobody else ever is, and its counts are positive. Rows (run, round, client, flagged, n)."""
-    own = F.coalesce(attacker, F.lit(False))
-    per = events.groupBy("run", "round").agg(F.coalesce(F.bool_and(F.when(own, F.col("flagged") & (F.col("n") > 0))), F.lit(False)).alias("own"), F.coalesce(F.bool_or(F.when(~own, F.col("flagged"))), F.lit(False)).alias("others"))
-    return per.groupBy("run").agg(F.count("*").alias("rounds"), (F.bool_and("own") & ~F.bool_or("others")).alias("verified"))
+def attack_verified(events: DataFrame, attacker: F.Column, rounds: int | None = None, flipped: bool = False, scale: float | None = None) -> DataFrame:
+    """Per run: the attacker is flagged in every fit round, nobody else ever is, and its counts are positive. Rows (run, round, client, flagged, n). With rounds there must be so many; with flipped its column flipped must be positive, with scale its column scale that number within 1e-6."""
+    own, right = F.coalesce(attacker, F.lit(False)), F.col("flagged") & (F.col("n") > 0)
+    if flipped:
+        right = right & (F.coalesce("flipped", F.lit(0)) > 0)
+    if scale is not None:
+        right = right & F.coalesce(F.abs(F.col("scale") - scale) <= 1e-6, F.lit(False))
+    per = events.groupBy("run", "round").agg(F.coalesce(F.bool_and(F.when(own, right)), F.lit(False)).alias("own"), F.coalesce(F.bool_or(F.when(~own, F.col("flagged"))), F.lit(False)).alias("others"))
+    whole = F.count("*") == rounds if rounds else F.lit(True)
+    return per.groupBy("run").agg(F.count("*").alias("rounds"), (F.bool_and("own") & ~F.bool_or("others") & whole).alias("verified"))
 
 
 def last_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:

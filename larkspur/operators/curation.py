@@ -37,7 +37,7 @@ def shared_key_components(df: DataFrame, node: str, keys: list[str]) -> DataFram
     pairs = cut(pairs.join(often, "key"))
     labels = cut(df.select(F.col(node).alias("node")).distinct().withColumn("root", F.col("node")))
     while True:
-        least = pairs.join(labels, "node").groupBy("key").agg(F.min("root").alias("m"))
+        least = cut(pairs.join(labels, "node").groupBy("key").agg(F.min("root").alias("m")))  # so the next join reads exchanges on both sides and a hot key can be split
         better = pairs.join(least, "key").groupBy("node").agg(F.min("m").alias("m"))
         new = labels.join(better, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("root"))
         # pointer jumping: a root's own root

@@ -18,10 +18,11 @@ def paired(df: DataFrame, arm: str, value: str, left, right, keys: list[str]) ->
     return df.groupBy(*keys).agg((one(left) - one(right)).alias("diff")).filter("diff IS NOT NULL")
 
 
-def seed_block_mean(df: DataFrame, seed: str, value: str, keys: list[str]) -> DataFrame:
-    """Means within a seed first, then over seeds; jobs_mean is the plain mean, for the check that both agree."""
+def seed_block_mean(df: DataFrame, seed: str, value: str, keys: list[str], balanced: bool = False) -> DataFrame:
+    """Means within a seed first, then over seeds; jobs_mean is the plain mean. In a balanced design both are the same: then a difference above 1e-12 is an error."""
     block = df.groupBy(*keys, seed).agg(F.avg(value).alias("m"), F.sum(value).alias("s"), F.count(value).alias("c"))
-    return block.groupBy(*keys).agg(F.avg("m").alias("mean"), F.count("*").alias("seeds"), (F.sum("s") / F.sum("c")).alias("jobs_mean"))
+    out = block.groupBy(*keys).agg(F.avg("m").alias("mean"), F.count("*").alias("seeds"), (F.sum("s") / F.sum("c")).alias("jobs_mean"))
+    return out.withColumn("mean", agreed(F.col("mean"), F.col("jobs_mean"), 1e-12, "the mean of seeds is not the mean of jobs")) if balanced else out
 
 
 def mean_of_means(df: DataFrame, pair: str, value: str) -> DataFrame:
@@ -107,10 +108,10 @@ def holm(df: DataFrame, family: str, p: str, id_: str) -> DataFrame:
     return out.withColumn("holm_p", adjusted).withColumn("reject", F.col("holm_p") < 0.05).drop("_raw")
 
 
-def family(df: DataFrame, id_: str, value: str, name: str = "all") -> DataFrame:
-    """A confirmatory family: the bundle of tests of each member's differences, with the exact p adjusted over the members (Holm)."""
+def family(df: DataFrame, id_: str, value: str, name: str = "all", intervals: bool = False) -> DataFrame:
+    """A confirmatory family: the bundle of tests of each member's differences, with the exact p adjusted over the members (Holm); with intervals also boot_lo and boot_hi."""
     p = sign_flip_p(df, [id_], value).select(F.lit(name).alias("family"), id_, "p")
-    return test_bundle(df, [id_], value).join(holm(p, "family", "p", id_).drop("p"), id_)
+    return (test_row if intervals else test_bundle)(df, [id_], value).join(holm(p, "family", "p", id_).drop("p"), id_)
 
 
 def seed_family(df: DataFrame, id_: str, seed: str, value: str) -> DataFrame:
@@ -160,6 +161,39 @@ def seeded_means(df: DataFrame, keys: list[str], value: str, reps: int = 10_000,
     return few.withColumn("_ci", interval("_values")).select(*keys, F.col("_ci.lo").alias("lo"), F.col("_ci.hi").alias("hi"))
 
 
+#: The rows that a seeded interval of a correlation takes for a test: they are drawn again in one task.
+MOST_ROWS = 100_000
+
+
+def seeded_spearman(df: DataFrame, keys: list[str], cluster: str, x: str, y: str, reps: int = 10_000, seed: int = 20260824) -> DataFrame:
+    """(keys, lo, hi): clustered_spearman_ci with the original's draws of clusters, taken in their order, from a Mersenne Twister that each test seeds anew. Draws without a correlation are left out; a test of none has null ends. A test has at most MOST_ROWS rows."""
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(cluster).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(cluster).cast("string").alias("c"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("_rows"), F.count("*").alias("_n"))
+    rows = rows.withColumn("_rows", F.when(F.col("_n") <= MOST_ROWS, F.col("_rows")).otherwise(F.raise_error(F.lit(f"a test takes at most {MOST_ROWS} rows"))))
+    parts = rows.select(*keys, F.transform("_rows", lambda r: r["c"]).alias("c"), F.transform("_rows", lambda r: r["x"]).alias("x"), F.transform("_rows", lambda r: r["y"]).alias("y"))
+
+    @F.pandas_udf("struct<lo double, hi double>")
+    def interval(cs: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        def ranks(v: np.ndarray) -> np.ndarray:
+            _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+            return (np.cumsum(n) - (n - 1) / 2)[at]
+
+        out = []
+        for c, x_, y_ in zip(cs, xs, ys, strict=True):
+            names = sorted(set(c), key=lambda v: (0, float(v), "") if v.lstrip("-").isdigit() else (1, 0.0, v))
+            at = [np.flatnonzero(np.asarray(c) == n) for n in names]
+            rng, rho = np.random.RandomState(seed), []
+            for _ in range(reps):
+                take = np.concatenate([at[k] for k in rng.randint(0, len(names), size=len(names))])
+                a, b = ranks(x_[take]), ranks(y_[take])
+                a, b = a - a.mean(), b - b.mean()
+                if a.any() and b.any():
+                    rho.append(float((a @ b) / np.sqrt((a @ a) * (b @ b))))
+            out.append(np.percentile(rho, [2.5, 97.5]) if rho else (None, None))
+        return pd.DataFrame(out, columns=["lo", "hi"])
+
+    return parts.withColumn("_ci", interval("c", "x", "y")).select(*keys, F.col("_ci.lo").alias("lo"), F.col("_ci.hi").alias("hi"))
+
+
 def test_row(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The whole bundle of a test: what test_bundle says, and the seeded interval as boot_lo and boot_hi."""
     ci = seeded_means(df, keys, value).select(*keys, F.col("lo").alias("boot_lo"), F.col("hi").alias("boot_hi"))
@@ -227,11 +261,15 @@ def vif(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.corr(x, y).alias("r")).select("r", (1.0 / (1.0 - F.col("r") * F.col("r"))).alias("vif"))
 
 
-def accuracy_decomposition(df: DataFrame, keys: list[str], source: F.Column) -> DataFrame:
-    """Rows of classes with support, clean and attacked recall: the drop is the sum of share x recall loss; the source's part and the rest."""
+def accuracy_decomposition(df: DataFrame, keys: list[str], source: F.Column, accuracies: DataFrame | None = None) -> DataFrame:
+    """Rows of classes with support, clean and attacked recall: the drop is the sum of share x recall loss; the source's part and the others'. accuracies (keys, clean_accuracy, attacked_accuracy), as evaluations have them, must differ by that drop within 1e-9: else recalls and accuracies aren't of the same runs, an error. Keys without accuracies give no rows then."""
     w = W.partitionBy(*keys)
     part = (F.col("support") / F.sum("support").over(w)) * (F.col("clean") - F.col("attacked"))
-    return df.withColumn("part", part).groupBy(*keys).agg(F.sum("part").alias("accuracy_drop"), F.sum(F.when(source, F.col("part")).otherwise(0.0)).alias("source_term")).withColumn("collateral", F.col("accuracy_drop") - F.col("source_term"))
+    out = df.withColumn("part", part).groupBy(*keys).agg(F.sum("part").alias("accuracy_drop"), F.sum(F.when(source, F.col("part")).otherwise(0.0)).alias("source_term"), F.sum(F.when(source, 0.0).otherwise(F.col("part"))).alias("collateral"))
+    if accuracies is not None:
+        seen = accuracies.select(*keys, (F.col("clean_accuracy") - F.col("attacked_accuracy")).alias("_seen"))
+        out = out.join(seen, keys).withColumn("accuracy_drop", agreed(F.col("accuracy_drop"), F.col("_seen"), 1e-9, "the drop is not the accuracies' difference")).drop("_seen")
+    return out
 
 
 def aggregator_decomposition(df: DataFrame, keys: list[str]) -> DataFrame:

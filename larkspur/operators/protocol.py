@@ -64,6 +64,25 @@ def map_sizes(maps: DataFrame) -> DataFrame:
     return maps.groupBy("kind", "split").agg(F.count("*").alias("keys"), F.sum("images").alias("images"))
 
 
+def record_maps(records: DataFrame) -> DataFrame:
+    """What records say of each other: rows (kind, key, value) of group to class, path to group and path to class. A group of several classes, or a path of several groups, is an error. Columns path, group_id, class_name; a null key is no key."""
+    pairs = (("group_class", "group_id", "class_name"), ("path_group", "path", "group_id"), ("path_class", "path", "class_name"))
+    rows = records.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(k).cast("string").alias("key"), F.col(v).cast("string").alias("value")) for kind, k, v in pairs])).alias("x")).select("x.*").filter("key IS NOT NULL")
+    each = rows.groupBy("kind", "key").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    return each.select("kind", "key", failing(F.col("a") != F.col("b"), F.concat(F.lit("several values of "), F.col("kind"), F.lit(" "), F.col("key")), F.col("a")).alias("value"))
+
+
+def class_counts(records: DataFrame) -> DataFrame:
+    """Images and groups of each class in each split."""
+    return records.groupBy("split", "class_name", "group_id").agg(F.count("*").alias("n")).groupBy("split", "class_name").agg(F.sum("n").alias("images"), F.count("group_id").alias("groups"))
+
+
+def looked_up(rows: DataFrame, index: str, names: DataFrame, name: str = "class_name") -> DataFrame:
+    """rows with the name of their index, from names (index, name); an index without a name is an error."""
+    j = rows.join(F.broadcast(names.select(F.col("index").alias("_i"), F.col(name).alias("_name"))), F.col(index) == F.col("_i"), "left")  # a class is a row
+    return j.withColumn(name, failing(F.col("_name").isNull(), F.concat(F.lit("no name of "), F.col(index).cast("string")), F.col("_name"))).drop("_i", "_name")
+
+
 def one_value(df: DataFrame, column: str):
     """The only value of a column; an error where there are none or several."""
     r = df.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()

@@ -12,11 +12,12 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from larkspur.operators import mixed, rules
+from larkspur.operators import mixed, protocol, rules
 from larkspur.operators.curation import cut
 from larkspur.operators.formulas import factor
-from larkspur.plans.registry import REC, query, records, rounded, table
+from larkspur.plans.registry import REC, SPLIT, query, records, rounded, splits, table
 from larkspur.sources import evaluations
 
 #: The bounds of clean and attacked runs, and each pair's source class.
@@ -149,3 +150,27 @@ def grid_holes(spark, d):
     """The cells of the settings' whole grid in which no item of class b lies."""
     cells = rules.grid(spark, alpha=["F", "O"], aggregator=["mean", "median", "krum"], seed=list(range(5)), client=list(range(1, 10)))
     return rules.holes(cells, items(spark, d).filter("class_name = 'b'").select("alpha", "aggregator", "seed", "client").distinct(), ["alpha", "aggregator", "seed", "client"])
+
+
+@query(f"WITH {REC} SELECT 'group_class' AS kind, group_id AS key, min(class_name) AS value FROM rec WHERE group_id IS NOT NULL GROUP BY 2 UNION ALL SELECT 'path_group', path, min(group_id) FROM rec WHERE path IS NOT NULL GROUP BY 2 UNION ALL SELECT 'path_class', path, min(class_name) FROM rec WHERE path IS NOT NULL GROUP BY 2")
+def record_maps(spark, d):
+    return protocol.record_maps(records(spark, d))
+
+
+@query(f"WITH {REC}, z AS (SELECT *, {SPLIT} AS split FROM rec) SELECT split, class_name, count(*) AS images, count(DISTINCT group_id) AS groups FROM z GROUP BY 1, 2")
+def class_counts(spark, d):
+    return protocol.class_counts(splits(spark, d))
+
+
+@query(f"""WITH {ITEMS}, re AS (SELECT *, correct / support::DOUBLE AS recall FROM ev), c AS (SELECT alpha, aggregator, sum(correct) / sum(support)::DOUBLE AS accuracy FROM ev WHERE pair = 'clean' GROUP BY 1, 2),
+g AS (SELECT a.alpha, a.aggregator, a.pair, avg(c.recall - a.recall) AS m FROM re a JOIN re c ON c.pair = 'clean' AND a.alpha = c.alpha AND a.aggregator = c.aggregator AND a.seed = c.seed AND a.class_name = c.class_name WHERE (a.pair, a.class_name) IN (('a-b', 'a'), ('c-d', 'c')) GROUP BY ALL),
+h AS (SELECT alpha, aggregator, round(avg(m), 6) + 0 AS harm FROM g GROUP BY ALL), j AS (SELECT alpha, aggregator, harm, round(accuracy, 6) AS accuracy FROM h JOIN c USING (alpha, aggregator))
+SELECT alpha, aggregator, harm, accuracy, row_number() OVER (PARTITION BY alpha ORDER BY harm, accuracy DESC, aggregator) AS place, accuracy > coalesce(max(accuracy) OVER (PARTITION BY alpha ORDER BY harm, accuracy DESC, aggregator ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS on_front FROM j""")
+def pareto_front(spark, d):
+    """Aggregators by harm at each alpha, and whether each has a better clean accuracy than all of less harm."""
+    classes = cut(evaluated(spark, d))
+    clean = classes.filter("pair = 'clean'").groupBy("alpha", "aggregator").agg((F.sum(F.col("num_images") * F.col("metrics.accuracy")) / F.sum("num_images")).alias("accuracy"))
+    j = own_baseline_harm(spark, d).join(rounded(clean), ["alpha", "aggregator"])
+    w = W.partitionBy("alpha").orderBy("harm", F.desc("accuracy"), "aggregator")  # an alpha's few aggregators
+    best = F.coalesce(F.max("accuracy").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1.0))
+    return j.select("alpha", "aggregator", "harm", "accuracy", F.row_number().over(w).cast("long").alias("place"), (F.col("accuracy") > best).alias("on_front"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import scalars as S
-from larkspur.operators import accounting, curation, evaluation, federated, inference, models, partitions, protocol, similarity, vectors
+from larkspur.operators import accounting, curation, evaluation, federated, formulas, inference, models, partitions, protocol, similarity, vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -177,10 +177,10 @@ def confusion_rates(spark, d):
     return rounded(evaluation.confusion_rates(evaluation.confusion(predictions(spark, d), "label", "predicted")))
 
 
-@query("""WITH x AS (SELECT vec_id, unnest(embedding[1:10])::DOUBLE AS v, generate_subscripts(embedding[1:10], 1) - 1 AS i FROM embeddings), e AS (SELECT vec_id, i, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM x),
+@query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), e AS (SELECT vec_id, i, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM x),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS rank FROM e) SELECT vec_id, rank, i::INT AS class_index, round(p, 6) AS probability FROM r WHERE rank <= 3""")
 def top3_classes(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", S.top_k(S.softmax(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))), 3).alias("top"))
+    e = table(spark, d, "embeddings").select("vec_id", S.top_k(S.softmax(F.transform("embedding", lambda x: x.cast("double"))), 3).alias("top"))
     return rounded(e.select("vec_id", F.posexplode("top").alias("r", "t")).select("vec_id", (F.col("r") + 1).cast("long").alias("rank"), F.col("t.class_index").alias("class_index"), F.col("t.probability").alias("probability")))
 
 
@@ -263,12 +263,12 @@ def leak_check(spark, d):
     return curation.leaks(splits(spark, d), "sha256", "split")
 
 
-@query(f"WITH {REC}, f AS (SELECT sha256 AS group_id, count(leaf_id) > 0 AS has_leaf, count(*) > 1 AS has_copy, count(*) AS images FROM rec GROUP BY 1) SELECT CASE WHEN has_leaf AND has_copy THEN 'leaf_id+sha256' WHEN has_leaf THEN 'leaf_id' WHEN has_copy THEN 'sha256' ELSE 'singleton' END AS group_source, count(*) AS groups, sum(images)::BIGINT AS images FROM f GROUP BY 1")
+@query(ORACLE_SQL["content_groups"].rsplit("SELECT path, gi.group_id", 1)[0] + ", mg AS (SELECT gi.group_id, count(leaf_id) > 0 AS has_leaf, count(*) > count(DISTINCT sha256) AS has_copy, count(*) AS images FROM ro JOIN gi USING (root) JOIN rec USING (path) GROUP BY 1) SELECT CASE WHEN has_leaf AND has_copy THEN 'leaf_id+sha256' WHEN has_leaf THEN 'leaf_id' WHEN has_copy THEN 'sha256' ELSE 'singleton' END AS group_source, count(*) AS groups, sum(images)::BIGINT AS images FROM mg GROUP BY 1")
 def group_sources(spark, d):
-    r = records(spark, d).withColumn("g", F.col("sha256"))
-    facts = r.groupBy("g").agg((F.count("leaf_id") > 0).alias("l"), F.count("*").alias("n"))
-    src = F.when(F.col("l") & (F.col("n") > 1), "leaf_id+sha256").when(F.col("l"), "leaf_id").when(F.col("n") > 1, "sha256").otherwise("singleton")
-    return facts.groupBy(src.alias("group_source")).agg(F.count("*").alias("groups"), F.sum("n").alias("images"))
+    """Why each content group is one, and how many there are."""
+    r = records(spark, d).select("path", "leaf_id", "sha256")
+    g = curation.with_group_id(r, "path", curation.shared_key_components(r, "path", ["leaf_id", "sha256"]))
+    return curation.group_source(g, "group_id", "leaf_id", "sha256").groupBy("group_source").agg(F.count("*").alias("groups"), F.sum("images").alias("images"))
 
 
 @query(f"""WITH RECURSIVE {REC}, gr AS (SELECT class_name, group_id, count(*) AS n FROM rec GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY n DESC, sha256('20260824:cap:' || group_id), group_id) AS rn FROM gr),
@@ -277,12 +277,21 @@ def capped_groups(spark, d):
     return partitions.capped_groups(groups(spark, d), 60, 20260824)
 
 
-@query()
+def fold_sql(namespace: str, first: str, takers: int, urgency: str, served: bool) -> str:
+    """Groups of a class, in order, each to the least urgency; l is the loads, g the class's total, k the taker."""
+    waiting = f"(cnt - o.rn + 1 <= {takers} - list_sum(f.served) AND f.served[k] = 1)" if served else "false"
+    return f"""WITH RECURSIVE {REC}, gr AS (SELECT class_name, group_id, count(*) AS n FROM rec GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY class_name ORDER BY {first}sha256('{namespace}:' || group_id), group_id) AS rn, count(*) OVER (PARTITION BY class_name) AS cnt, sum(n) OVER (PARTITION BY class_name)::DOUBLE AS g FROM gr),
+f AS (SELECT DISTINCT class_name, NULL::VARCHAR AS group_id, 0::BIGINT AS n, 0::BIGINT AS rn, list_transform(range({takers}), lambda k: 0.0::DOUBLE) AS l, list_transform(range({takers}), lambda k: 0) AS served, 0::BIGINT AS taker FROM o UNION ALL
+SELECT class_name, group_id, n, rn, list_transform(l, lambda x, k: CASE WHEN k = taker THEN x + n ELSE x END), list_transform(served, lambda x, k: CASE WHEN k = taker THEN 1 ELSE x END), taker FROM
+(SELECT *, list_position(u, list_min(u))::BIGINT AS taker FROM (SELECT o.class_name, o.group_id, o.n, o.rn, f.l, f.served, list_transform(range(1, {takers + 1}), lambda k: CASE WHEN {waiting} THEN 1e300::DOUBLE ELSE {urgency} END) AS u FROM f JOIN o ON f.class_name = o.class_name AND o.rn = f.rn + 1)))"""
+
+
+@query(fold_sql("20260824:split", "n DESC, ", 3, "(f.l[k] - g * [0.7, 0.15, 0.15]::DOUBLE[][k]) / greatest(g * [0.7, 0.15, 0.15]::DOUBLE[][k], 1)", True) + " SELECT class_name, group_id, n, ['train', 'validation', 'test'][taker] AS split FROM f WHERE rn > 0")
 def split_assignment(spark, d):
     return partitions.split_assignment(groups(spark, d), (0.7, 0.15, 0.15), 20260824)
 
 
-@query()
+@query(fold_sql("101:iid", "", 5, "f.l[k]", False) + " SELECT class_name, group_id, n, (taker - 1)::INT AS client FROM f WHERE rn > 0")
 def client_assignment_iid(spark, d):
     return partitions.grouped_iid(groups(spark, d), 5, 101)
 
@@ -385,9 +394,9 @@ def paired_diff(spark, d):
     return rounded(diffs(spark, d))
 
 
-@query(f"WITH {RUNS}, b AS (SELECT alpha, seed, avg(value) AS m, sum(value) AS s, count(*) AS c FROM runs WHERE arm = 0 GROUP BY 1, 2) SELECT alpha, round(avg(m), 6) AS mean, count(*) AS seeds, round(sum(s) / sum(c), 6) AS jobs_mean FROM b GROUP BY 1")
+@query(f"WITH {RUNS}, b AS (SELECT alpha, seed, avg(value) AS m, sum(value) AS s, count(*) AS c FROM runs GROUP BY 1, 2) SELECT alpha, round(avg(m), 6) AS mean, count(*) AS seeds, round(sum(s) / sum(c), 6) AS jobs_mean FROM b GROUP BY 1")
 def seed_block_mean(spark, d):
-    return rounded(inference.seed_block_mean(runs(spark, d).filter("arm = 0"), "seed", "value", ["alpha"]))
+    return rounded(inference.seed_block_mean(runs(spark, d), "seed", "value", ["alpha"]))
 
 
 @query(f"WITH {RUNS}, e AS (SELECT pair, count(*) AS n, avg(value) AS m FROM runs GROUP BY 1) SELECT pair, n, round(m, 6) AS mean FROM e UNION ALL SELECT 'unweighted_pair_mean', sum(n)::BIGINT, round(avg(m), 6) FROM e")
@@ -494,21 +503,20 @@ def config_means(spark, d):
 # ------------------------------------------------- accounting and registry
 
 
-@query(f"""WITH s AS (SELECT unnest([10, 10, 50]) AS steps, unnest([1.0, 4.0, 2.0])::DOUBLE AS noise, unnest([1e-5, 1e-5, 1e-3])::DOUBLE AS delta), o AS (SELECT unnest([{", ".join(map(str, S.RENYI_ORDERS))}])::DOUBLE AS ord), e AS (SELECT *, steps * ord / (2 * noise * noise) + ln(1 / delta) / (ord - 1) AS eps FROM s CROSS JOIN o)
+@query(f"""WITH s AS (SELECT DISTINCT p_size AS steps, round(p_retailprice / 500, 1) AS noise, CASE WHEN p_size > 25 THEN 1e-3 ELSE 1e-5 END::DOUBLE AS delta FROM part), o AS (SELECT unnest([{", ".join(map(str, S.RENYI_ORDERS))}])::DOUBLE AS ord), e AS (SELECT *, steps * ord / (2 * noise * noise) + ln(1 / delta) / (ord - 1) AS eps FROM s CROSS JOIN o)
 SELECT steps, noise, delta, round(min(eps), 6) AS epsilon, arg_min(ord, eps) AS order FROM e GROUP BY 1, 2, 3""".replace("AS order FROM", 'AS "order" FROM'))
 def rdp_epsilon(spark, d):
-    s = spark.createDataFrame([(10, 1.0, 1e-5), (10, 4.0, 1e-5), (50, 2.0, 1e-3)], "steps int, noise double, delta double")
-    out = accounting.tightest_epsilon(s)
-    return out.withColumn("epsilon", F.round("epsilon", 6))
+    """A setting for each size and price of parts: steps, noise, delta."""
+    s = table(spark, d, "part").select(F.col("p_size").alias("steps"), F.round(F.col("p_retailprice") / 500, 1).alias("noise"), F.when(F.col("p_size") > 25, 1e-3).otherwise(1e-5).alias("delta")).distinct()
+    return accounting.tightest_epsilon(s).withColumn("epsilon", F.round("epsilon", 6))
 
 
-def jobs(spark):
-    return accounting.job_matrix(spark, alpha=["a01", "a05", "iid"], seed=[101, 211, 307, 401, 503], algorithm=["fedavg", "fedprox"], epochs=[1, 5])
-
-
-@query("SELECT alpha, seed, algorithm, epochs FROM (SELECT unnest(['a01', 'a05', 'iid']) AS alpha) CROSS JOIN (SELECT unnest([101, 211, 307, 401, 503])::BIGINT AS seed) CROSS JOIN (SELECT unnest(['fedavg', 'fedprox']) AS algorithm) CROSS JOIN (SELECT unnest([1, 5])::BIGINT AS epochs)")
+@query("SELECT alpha, seed, algorithm, epochs FROM (SELECT DISTINCT o_orderstatus AS alpha FROM orders) CROSS JOIN (SELECT DISTINCT n_regionkey AS seed FROM nation) CROSS JOIN (SELECT DISTINCT c_mktsegment AS algorithm FROM customer) CROSS JOIN (SELECT DISTINCT l_linenumber AS epochs FROM lineitem)")
 def job_matrix(spark, d):
-    return jobs(spark)
+    """Every combination of what the tables have of each setting."""
+    one = lambda t, c, name: formulas.levels(table(spark, d, t).select(F.col(c).alias(name)), name)
+    j = accounting.job_matrix(spark, alpha=one("orders", "o_orderstatus", "alpha"), seed=one("nation", "n_regionkey", "seed"), algorithm=one("customer", "c_mktsegment", "algorithm"), epochs=one("lineitem", "l_linenumber", "epochs"))
+    return j.select("alpha", F.col("seed").cast("int").alias("seed"), "algorithm", F.col("epochs").cast("int").alias("epochs"))
 
 
 def rounds(spark, d):
@@ -525,10 +533,11 @@ def round_completeness(spark, d):
     return accounting.completeness(rounds(spark, d), ["run"], 10)
 
 
-@query(f"WITH {ROUNDS}, g AS (SELECT run, count(DISTINCT round) AS k FROM ev WHERE num_failures = 0 AND num_clients > 0 GROUP BY 1), c AS (SELECT r.run, coalesce(k, 0) = 10 AS complete FROM (SELECT DISTINCT run FROM ev WHERE run <> 'view') r LEFT JOIN g ON r.run = g.run) SELECT j.run, CASE WHEN complete IS NULL THEN 'pending' WHEN complete THEN 'complete' ELSE 'incomplete' END AS status FROM (SELECT DISTINCT event_type AS run FROM events) j LEFT JOIN c ON j.run = c.run")
+@query(f"WITH {ROUNDS}, g AS (SELECT run, count(DISTINCT round) AS k FROM ev WHERE num_failures = 0 AND num_clients > 0 GROUP BY 1), c AS (SELECT r.run, coalesce(k, 0) = 10 AS complete FROM (SELECT DISTINCT run FROM ev) r LEFT JOIN g ON r.run = g.run) SELECT j.run, CASE WHEN complete IS NULL THEN 'pending' WHEN complete THEN 'complete' ELSE 'incomplete' END AS status FROM (SELECT event_type AS run FROM events UNION SELECT role FROM conversations) j LEFT JOIN c ON j.run = c.run")
 def job_status(spark, d):
-    j = table(spark, d, "events").select(F.col("event_type").alias("run")).distinct()
-    return accounting.status(j, accounting.completeness(rounds(spark, d).filter("run <> 'view'"), ["run"], 10), ["run"])
+    """Runs are the events' types; the roles of conversations are jobs of which none has run."""
+    j = table(spark, d, "events").select(F.col("event_type").alias("run")).union(table(spark, d, "conversations").select("role")).distinct()
+    return accounting.status(j, accounting.completeness(rounds(spark, d), ["run"], 10), ["run"])
 
 
 @query("""WITH e AS (SELECT event_type AS run, event_id % 10 + 1 AS round, user_id % 5 AS client, count(*) AS n FROM events GROUP BY 1, 2, 3), f AS (SELECT *, client = 2 AND NOT (run = 'view' AND round = 3) AS flagged FROM e),
@@ -539,14 +548,27 @@ def attack_verify(spark, d):
     return accounting.attack_verified(e, F.col("client") == 2)
 
 
+@query("""WITH e AS (SELECT event_type AS run, event_id % 10 + 1 AS round, user_id % 5 AS client, count(*) AS n, sum((value > 50)::INT)::BIGINT AS flipped, round(max(value) / 100, 0) * -5 AS scale FROM events GROUP BY 1, 2, 3), f AS (SELECT *, client = 2 AS flagged FROM e),
+p AS (SELECT run, round, coalesce(bool_and(n > 0 AND flipped > 0 AND abs(scale + 5) <= 1e-6) FILTER (client = 2), false) AS own FROM f GROUP BY 1, 2) SELECT run, count(*) AS rounds, bool_and(own) AND count(*) = 10 AS verified FROM p GROUP BY 1""")
+def attack_verify_strict(spark, d):
+    """Ten rounds in which client 2 alone is flagged, flips labels and sends its update by the scale -5."""
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("run"), (F.col("event_id") % 10 + 1).alias("round"), (F.col("user_id") % 5).alias("client")).agg(F.count("*").alias("n"), F.sum((F.col("value") > 50).cast("long")).alias("flipped"), (F.round(F.max("value") / 100, 0) * -5).alias("scale"))
+    return accounting.attack_verified(e.withColumn("flagged", F.col("client") == 2), F.col("client") == 2, rounds=10, flipped=True, scale=-5.0)
+
+
 # ------------------------------------------ fits and loops, tested by pytest
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 5 AS seed, value / 100 AS x, (event_type = 'purchase')::INT::DOUBLE AS k FROM events),
+f AS (SELECT 0 AS it, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 UNION ALL SELECT it + 1, b0 + (m11 * s0 - m01 * s1) / (m00 * m11 - m01 * m01), b1 + (m00 * s1 - m01 * s0) / (m00 * m11 - m01 * m01) FROM
+  (SELECT it, b0, b1, sum(k - mu) AS s0, sum(x * (k - mu)) AS s1, sum(mu * (1 - mu)) AS m00, sum(x * mu * (1 - mu)) AS m01, sum(x * x * mu * (1 - mu)) AS m11 FROM (SELECT it, b0, b1, x, k, 1 / (1 + exp(-(b0 + b1 * x))) AS mu FROM f CROSS JOIN e WHERE it < 12) GROUP BY 1, 2, 3)),
+l AS (SELECT b0, b1 FROM f WHERE it = 12), r AS (SELECT seed, sum(k - mu) AS s0, sum(x * (k - mu)) AS s1, sum(mu * (1 - mu)) AS m00, sum(x * mu * (1 - mu)) AS m01, sum(x * x * mu * (1 - mu)) AS m11 FROM (SELECT seed, x, k, 1 / (1 + exp(-(b0 + b1 * x))) AS mu FROM e CROSS JOIN l) GROUP BY 1),
+t AS (SELECT sum(m00) AS a, sum(m01) AS b, sum(m11) AS c, sum(s0 * s0) AS p, sum(s0 * s1) AS q, sum(s1 * s1) AS r FROM r)
+SELECT 'intercept' AS term, round(b0, 6) + 0 AS estimate, round(sqrt(c * c * p - 2 * b * c * q + b * b * r) / (a * c - b * b), 6) AS robust_se FROM l CROSS JOIN t UNION ALL SELECT 'x', round(b1, 6) + 0, round(sqrt(b * b * p - 2 * a * b * q + a * a * r) / (a * c - b * b), 6) FROM l CROSS JOIN t""")
 def glm_gee(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 5).alias("seed"), (F.col("value") / 100).alias("x"), (F.col("event_type") == "purchase").cast("double").alias("k"), F.lit(1.0).alias("n"))
     f = models.logistic_gee(e, ["x"], "k", "n", "seed")
-    return spark.createDataFrame([(n, float(b), float(s)) for n, b, s in zip(f["names"], f["estimate"], f["robust_se"], strict=True)], "term string, estimate double, robust_se double")
+    return rounded(spark.createDataFrame([(n, float(b), float(s)) for n, b, s in zip(f["names"], f["estimate"], f["robust_se"], strict=True)], "term string, estimate double, robust_se double"))
 
 
 @query()
@@ -556,11 +578,18 @@ def lmm_reml(spark, d):
     return spark.createDataFrame([*rows, *((f"var:{k}", v, None) for k, v in f["variance"].items()), ("residual", float(f["residual"]), None)], "term string, estimate double, se double")
 
 
-@query()
+#: Normal equations by sweeps; Student's tail by Simpson's rule.
+@query(f"""WITH RECURSIVE {XY}, lo AS (SELECT event_id AS rid, unnest([1, 2, 3, 4, 5]) AS pos, unnest([1, x, (g = 'click')::INT, (g = 'purchase')::INT, y]::DOUBLE[]) AS v FROM xy),
+ba AS (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS v FROM lo a JOIN lo b ON a.rid = b.rid GROUP BY 1, 2),
+sw AS (SELECT i, j, v, 0 AS k FROM ba UNION ALL SELECT i, j, CASE WHEN i = k + 1 AND j = k + 1 THEN 1 / d WHEN i = k + 1 THEN v / d WHEN j = k + 1 THEN -v / d ELSE v - c * r / d END, k + 1 FROM
+  (SELECT *, max(CASE WHEN i = k + 1 AND j = k + 1 THEN v END) OVER () AS d, max(CASE WHEN i = k + 1 THEN v END) OVER (PARTITION BY j) AS r, max(CASE WHEN j = k + 1 THEN v END) OVER (PARTITION BY i) AS c FROM sw WHERE k < 4)),
+te AS (SELECT b.i, b.v AS estimate, sqrt(g.v * (SELECT v FROM sw WHERE k = 4 AND i = 5 AND j = 5) / ((SELECT v FROM ba WHERE i = 1 AND j = 1) - 4)) AS se, (SELECT v FROM ba WHERE i = 1 AND j = 1) - 4 AS df FROM sw b JOIN sw g ON g.k = 4 AND g.i = b.i AND g.j = b.i WHERE b.k = 4 AND b.j = 5 AND b.i <= 4),
+st AS (SELECT *, abs(estimate / se) / 4000 AS h, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS f0 FROM te)
+SELECT ['intercept', 'x', 'click', 'purchase'][i] AS term, round(estimate, 6) + 0 AS estimate, round(se, 6) AS se, round(greatest(0, 1 - 2 * h / 3 * f0 * list_sum(list_transform(range(4001), lambda s: CASE WHEN s IN (0, 4000) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END * pow(1 + (s * h) * (s * h) / df, -(df + 1) / 2)))), 6) + 0 AS p FROM st""")
 def multiple_ols(spark, d):
     x = xy(spark, d).select("x", "y", *[(F.col("g") == g).cast("double").alias(g) for g in ("click", "purchase")])
     f = models.ols(x, ["x", "click", "purchase"], "y")
-    return spark.createDataFrame([(n, float(b), float(s), float(p)) for n, b, s, p in zip(f["names"], f["estimate"], f["se"], f["p"], strict=True)], "term string, estimate double, se double, p double")
+    return rounded(spark.createDataFrame([(n, float(b), float(s), float(p)) for n, b, s, p in zip(f["names"], f["estimate"], f["se"], f["p"], strict=True)], "term string, estimate double, se double, p double"))
 
 
 @query()
@@ -643,23 +672,35 @@ def attack_jobs(spark, d):
 HARMS = "hj AS (SELECT o_orderstatus AS alpha, c_mktsegment AS pair, o_custkey % 2 AS arm, n_regionkey AS seed, avg(o_totalprice) / 100000 AS harm, avg(c_acctbal) / 10000 AS accuracy_drop FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4)"
 
 
-@query(family_sql(RUNS + ", bl AS (SELECT alpha, seed, avg(value) AS value FROM runs WHERE arm = 0 GROUP BY 1, 2), df AS (SELECT a.alpha, a.seed, a.value - b.value AS diff FROM bl a JOIN bl b ON a.seed = b.seed AND b.alpha = 'F' AND a.alpha <> 'F')"))
+@query()
+def family_f1_rows(spark, d):
+    """family_f1 with the seeded interval of each member."""
+    return rounded(inference.family(diffs(spark, d), "alpha", "diff", intervals=True).drop("family"))
+
+
+@query()
+def seeded_spearman(spark, d):
+    """The rank correlation's interval from the original's own stream of draws."""
+    return rounded(inference.seeded_spearman(runs(spark, d), ["alpha"], "seed", "value", "arm"))
+
+
+@query(family_sql(RUNS + ", bl AS (SELECT alpha, seed, avg(value) AS value FROM runs GROUP BY 1, 2), df AS (SELECT a.alpha, a.seed, a.value - b.value AS diff FROM bl a JOIN bl b ON a.seed = b.seed AND b.alpha = 'F' AND a.alpha <> 'F')"))
 def family_f1b(spark, d):
     """Each alpha against the reference alpha, by seed."""
-    block = runs(spark, d).filter("arm = 0").groupBy(F.col("alpha").alias("member"), "seed").agg(F.avg("value").alias("value"))
+    block = runs(spark, d).groupBy(F.col("alpha").alias("member"), "seed").agg(F.avg("value").alias("value"))
     return rounded(inference.family(inference.against_reference(block, "member", "F", ["seed"], "value"), "member", "diff").drop("family"))
 
 
-@query(family_sql(HARMS + ", df AS (SELECT alpha, seed, avg(harm) AS diff FROM hj WHERE arm = 0 GROUP BY 1, 2)"))
+@query(family_sql(HARMS + ", df AS (SELECT alpha, seed, avg(harm) AS diff FROM hj GROUP BY 1, 2)"))
 def family_f2a(spark, d):
     """The harm itself, averaged over a seed's jobs."""
-    return rounded(inference.seed_family(attack_jobs(spark, d).filter("arm = 0"), "member", "seed", "harm").drop("family"))
+    return rounded(inference.seed_family(attack_jobs(spark, d), "member", "seed", "harm").drop("family"))
 
 
-@query(family_sql(HARMS + ", df AS (SELECT alpha, seed, avg(harm - accuracy_drop) AS diff FROM hj WHERE arm = 0 GROUP BY 1, 2)"))
+@query(family_sql(HARMS + ", df AS (SELECT alpha, seed, avg(harm - accuracy_drop) AS diff FROM hj GROUP BY 1, 2)"))
 def family_f2b(spark, d):
     """The harm beyond the drop of accuracy."""
-    jobs_ = attack_jobs(spark, d).filter("arm = 0").withColumn("diff", F.col("harm") - F.col("accuracy_drop"))
+    jobs_ = attack_jobs(spark, d).withColumn("diff", F.col("harm") - F.col("accuracy_drop"))
     return rounded(inference.seed_family(jobs_, "member", "seed", "diff").drop("family"))
 
 

@@ -31,7 +31,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     """(folder, experiment_id, split, num_images, metrics, per_class) of every evaluation under root; a document that isn't JSON is an error."""
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     path = F.col("_metadata.file_path")
-    part = lambda k: F.try_url_decode(F.try_url_decode(F.regexp_replace(F.element_at(F.split(path, "/"), k), "^(folder|experiment_id)=", "")))
+    part = lambda k: F.try_url_decode(F.try_url_decode(F.replace(F.regexp_replace(F.element_at(F.split(path, "/"), k), "^(folder|experiment_id)=", ""), F.lit("+"), F.lit("%2B"))))
     # Spark escapes a value in its folder's name, and that name in the file's URL
     # a folder that Spark wrote may hold several documents, a line each
     docs = raw.select(part(-3).alias("folder"), part(-2).alias("experiment_id"), F.explode(F.when(path.endswith(FILE), F.array("value")).otherwise(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""))).alias("value"))

@@ -256,6 +256,26 @@ def test_seeded_means_equal_numpys_stream(spark):
         assert got[k] == tuple(float(x) for x in np.percentile(means, [2.5, 97.5]))
 
 
+def test_seeded_spearman_equals_numpys_stream(spark):
+    g = np.random.default_rng(3)
+    rows = [("k", int(s), float(x), float(x + e)) for s, x, e in zip(g.integers(0, 12, 60), g.integers(0, 9, 60), g.normal(size=60) * 3, strict=True)] + [("flat", 1, 1.0, 2.0), ("flat", 2, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "k string, s int, x double, y double").repartition(4)
+    got = {r["k"]: (r["lo"], r["hi"]) for r in inference.seeded_spearman(df, ["k"], "s", "x", "y", reps=500).collect()}
+    ranks = lambda v: np.array([sum(w < u for w in v) + (sum(w == u for w in v) + 1) / 2 for u in v])
+    by = {s: [r for r in rows if r[0] == "k" and r[1] == s] for s in sorted({r[1] for r in rows if r[0] == "k"})}
+    rng, rho = np.random.RandomState(20260824), []
+    for _ in range(500):
+        drawn = [r for s in rng.choice(list(by), size=len(by), replace=True) for r in by[int(s)]]
+        rho.append(np.corrcoef(ranks([r[2] for r in drawn]), ranks([r[3] for r in drawn]))[0, 1])
+    assert np.allclose(got["k"], np.percentile(rho, [2.5, 97.5]), atol=1e-12) and got["flat"] == (None, None)
+
+
+def test_family_with_intervals(spark):
+    df = spark.createDataFrame([(m, s, m + s / 10) for m in (0.0, 1.0) for s in range(5)], "member double, seed int, diff double")
+    rows = inference.family(df, "member", "diff", intervals=True).collect()
+    assert len(rows) == 2 and all(r["boot_lo"] <= r["mean"] <= r["boot_hi"] and r["holm_p"] >= r["permutation_p"] for r in rows)
+
+
 # ------------------------------------------------------------- training
 
 
@@ -521,3 +541,53 @@ def test_evaluated_events(spark):
     results = spark.createDataFrame([("r", 1, 0.5, 0.9), ("r", 2, float("nan"), float("inf"))], "run string, round int, loss double, accuracy double")
     got = {r["round"]: (r["phase"], r["loss"], r["accuracy"], r["num_failures"]) for r in hist.evaluated(before, results, ["run"]).collect()}
     assert got == {1: ("evaluate", 0.5, 0.9, 0), 2: ("evaluate", None, None, 0), 3: ("evaluate", None, None, 1)}
+
+
+# -------------------------------------------------- guards and lookups
+
+
+def test_decomposition_is_guarded_by_accuracies(spark):
+    df = spark.createDataFrame([("r", "a", 30, 0.9, 0.5), ("r", "b", 70, 0.8, 0.8)], "run string, cls string, support long, clean double, attacked double")
+    right = spark.createDataFrame([("r", 0.83, 0.71)], "run string, clean_accuracy double, attacked_accuracy double")
+    r = inference.accuracy_decomposition(df, ["run"], F.col("cls") == "a", right).first()
+    assert math.isclose(r["accuracy_drop"], 0.12) and math.isclose(r["source_term"], 0.12) and abs(r["collateral"]) < 1e-12
+    with pytest.raises(Exception, match="accuracies' difference"):
+        inference.accuracy_decomposition(df, ["run"], F.col("cls") == "a", right.withColumn("attacked_accuracy", F.lit(0.7))).collect()
+
+
+def test_balanced_means(spark):
+    df = spark.createDataFrame([("k", s, float(v)) for s, v in [(1, 1), (1, 3), (2, 5), (2, 7)]], "k string, seed int, v double")
+    assert inference.seed_block_mean(df, "seed", "v", ["k"], balanced=True).first()["mean"] == 4.0
+    with pytest.raises(Exception, match="not the mean of jobs"):
+        inference.seed_block_mean(df.filter("v < 7"), "seed", "v", ["k"], balanced=True).collect()
+
+
+def test_maps_and_lookups(spark):
+    from larkspur.operators import protocol
+
+    df = spark.createDataFrame([("p1", "g1", "A", "train"), ("p2", "g1", "A", "train"), ("p3", None, "B", "test")], "path string, group_id string, class_name string, split string")
+    got = {(r["kind"], r["key"]): r["value"] for r in protocol.record_maps(df).collect()}
+    assert got[("group_class", "g1")] == "A" and got[("path_group", "p2")] == "g1" and got[("path_group", "p3")] is None and len(got) == 7
+    with pytest.raises(Exception, match="several values of group_class g1"):
+        protocol.record_maps(df.withColumn("class_name", F.when(F.col("path") == "p2", "Z").otherwise(F.col("class_name")))).collect()
+    assert {tuple(r) for r in protocol.class_counts(df).collect()} == {("train", "A", 2, 1), ("test", "B", 1, 0)}
+    names = spark.createDataFrame([(0, "Apple"), (1, "Corn")], "index int, class_name string")
+    rows = spark.createDataFrame([("x", 1), ("y", 0)], "path string, label int")
+    assert {r["path"]: r["class_name"] for r in protocol.looked_up(rows, "label", names).collect()} == {"x": "Corn", "y": "Apple"}
+    with pytest.raises(Exception, match="no name of 9"):
+        protocol.looked_up(rows.withColumn("label", F.lit(9)), "label", names).collect()
+
+
+def test_strict_attack_verification(spark):
+    from larkspur.operators import accounting
+
+    rows = [("r", i, c, c == 2, 10, 3 if c == 2 else None, -5.0 if c == 2 else 1.0) for i in range(1, 11) for c in (1, 2)]
+    df = spark.createDataFrame(rows, "run string, round int, client int, flagged boolean, n long, flipped long, scale double")
+    ok = lambda d, **k: accounting.attack_verified(d, F.col("client") == 2, **k).first()["verified"]
+    assert ok(df) and ok(df, rounds=10, flipped=True, scale=-5.0)
+    assert not ok(df.filter("round < 10"), rounds=10) and ok(df.filter("round < 10"))
+    assert not ok(df, scale=-4.99) and not ok(df.withColumn("flipped", F.when(F.col("round") == 3, 0).otherwise(F.col("flipped"))), flipped=True)
+    with pytest.raises(Exception, match="above 1"):
+        from larkspur.functions import scalars as S
+
+        spark.range(1).select(S.rdp_to_epsilon(F.lit(1.0), F.lit(1.0), F.lit(1e-5))).collect()

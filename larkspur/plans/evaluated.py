@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from larkspur.operators import mixed, protocol, rules
+from larkspur.operators import extension, mixed, protocol, rules
 from larkspur.operators.curation import cut
 from larkspur.operators.formulas import factor
 from larkspur.plans.registry import REC, SPLIT, query, records, rounded, splits, table
@@ -174,3 +174,40 @@ def pareto_front(spark, d):
     w = W.partitionBy("alpha").orderBy("harm", F.desc("accuracy"), "aggregator")  # an alpha's few aggregators
     best = F.coalesce(F.max("accuracy").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1.0))
     return j.select("alpha", "aggregator", "harm", "accuracy", F.row_number().over(w).cast("long").alias("place"), (F.col("accuracy") > best).alias("on_front"))
+
+
+def variants(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(the labelled documents, all documents) as records; each side's groups are split by a rule of its own."""
+    r = records(spark, d).select("path", "doc_id", "class_name", "sha256", F.concat("class_name", F.lit("-"), F.substring("sha256", 1, 12)).alias("group_id"), F.when(F.col("leaf_id").isNotNull(), F.concat("class_name", F.lit("-"), F.substring("sha256", 1, 16))).alias("leaf_id"))
+    digit = F.substring(F.sha2("group_id", 256), 1, 1)
+    side = lambda df, a, b: df.withColumn("split", F.when(digit < a, "train").when(digit < b, "validation").otherwise("test"))
+    labelled = table(spark, d, "labels").select("doc_id").distinct()
+    # a content in two classes would be in two splits: its least class keeps it
+    first = r.groupBy("sha256").agg(F.min("class_name").alias("class_name"))
+    r = r.join(first, ["sha256", "class_name"], "left_semi")
+    return side(r.join(labelled, "doc_id", "left_semi"), "8", "c"), side(r, "a", "d")
+
+
+VARIANTS = REC + """, fc AS (SELECT sha256, min(class_name) AS class_name FROM rec GROUP BY 1), v AS (SELECT path, doc_id, class_name, sha256, class_name || '-' || substr(sha256, 1, 12) AS group_id, CASE WHEN leaf_id IS NOT NULL THEN class_name || '-' || substr(sha256, 1, 16) END AS leaf_id FROM rec SEMI JOIN fc USING (sha256, class_name)),
+fu AS (SELECT *, CASE WHEN sha256(group_id)[1] < 'a' THEN 'train' WHEN sha256(group_id)[1] < 'd' THEN 'validation' ELSE 'test' END AS split FROM v),
+ca AS (SELECT *, CASE WHEN sha256(group_id)[1] < '8' THEN 'train' WHEN sha256(group_id)[1] < 'c' THEN 'validation' ELSE 'test' END AS split FROM v SEMI JOIN labels USING (doc_id)),
+sd AS (SELECT 'capped' AS side, * FROM ca UNION ALL SELECT 'full', * FROM fu),
+mp AS (SELECT DISTINCT side, kind, key, split FROM (SELECT side, 'path' AS kind, path AS key, split FROM sd UNION ALL SELECT side, 'sha', sha256, split FROM sd UNION ALL SELECT side, 'group', group_id, split FROM sd UNION ALL SELECT side, 'leaf', leaf_id, split FROM sd) WHERE key IS NOT NULL),
+gs AS (SELECT side, class_name, group_id, min(split) AS split, count(*) AS n FROM sd GROUP BY ALL), gj AS (SELECT coalesce(a.class_name, b.class_name) AS class_name, a.split AS s, b.split AS t, a.n FROM (SELECT * FROM gs WHERE side = 'capped') a FULL JOIN (SELECT * FROM gs WHERE side = 'full') b ON a.class_name = b.class_name AND a.group_id = b.group_id),
+gc AS (SELECT class_name, count(s) AS capped, count(t) AS ful, sum((s IS NULL)::INT) AS extra, sum((t IS NULL)::INT) AS missing, sum(coalesce(s <> t, false)::INT) AS changed, sum(CASE WHEN s <> t THEN n ELSE 0 END) AS images FROM gj GROUP BY 1),
+pj AS (SELECT coalesce(a.class_name, b.class_name) || '/' || coalesce(a.split, b.split) AS key, a.path AS x, b.path AS y FROM ca a FULL JOIN fu b ON a.path = b.path AND a.class_name = b.class_name AND a.split = b.split), pc AS (SELECT key, count(x) AS a, count(y) AS b, count(CASE WHEN x IS NOT NULL THEN y END) AS inter FROM pj GROUP BY 1),
+su AS (SELECT side, class_name, count(*) AS n FROM sd WHERE split = 'test' GROUP BY ALL), sw AS (SELECT side, min(n) AS least, max(n) AS most, sum(n) AS whole, CASE WHEN count(*) > 1 THEN (ln(sum(n)) - sum(n * ln(n)) / sum(n)) / ln(count(*)) END AS e FROM su GROUP BY 1),
+co AS (SELECT side, count(*) AS a, count(DISTINCT sha256) AS b, count(DISTINCT group_id) AS c FROM sd GROUP BY 1),
+al AS (SELECT 'construction ' || side AS section, 'all' AS key, unnest(['n_images', 'n_unique_sha', 'n_groups', 'n_groups_with_class']) AS name, unnest([a, b, c, c])::DOUBLE AS value FROM co UNION ALL SELECT 'construction ' || side, split, 'n_images', count(*) FROM sd GROUP BY 1, 2
+UNION ALL SELECT 'overlap ' || a.kind, a.split, coalesce(b.split, 'absent'), count(*) FROM (SELECT * FROM mp WHERE side = 'capped') a LEFT JOIN (SELECT * FROM mp WHERE side = 'full') b ON a.kind = b.kind AND a.key = b.key GROUP BY 1, 2, 3
+UNION ALL SELECT 'groups', class_name, unnest(['capped_groups', 'full_groups', 'n_extra_full_groups', 'n_capped_missing_in_full', 'n_shared_groups_changed_split', 'n_capped_images_in_changed_groups', 'identical_group_set']), unnest([capped, ful, extra, missing, changed, images, (extra = 0 AND missing = 0)::INT]) FROM gc WHERE capped > 0
+UNION ALL SELECT 'paths', key, unnest(['capped', 'full', 'intersection']), unnest([a, b, inter]) FROM pc
+UNION ALL SELECT 'test support ' || side, 'all', unnest(['least', 'most', 'entropy_norm']), unnest([least, most, e]) FROM sw
+UNION ALL SELECT 'test support ' || side, class_name, unnest(['support', 'share']), unnest([n, n / whole]) FROM su JOIN sw USING (side))"""
+
+
+@query(f"WITH {VARIANTS} SELECT section, key, name, round(value, 6) + 0 AS value FROM al")
+def scale_extension(spark, d):
+    """What changes between the labelled documents and all of them when each is split on its own."""
+    capped, full = variants(spark, d)
+    return rounded(extension.scale_extension(cut(capped), cut(full)))

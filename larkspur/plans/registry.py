@@ -286,7 +286,7 @@ SELECT class_name, group_id, n, rn, list_transform(l, lambda x, k: CASE WHEN k =
 (SELECT *, list_position(u, list_min(u))::BIGINT AS taker FROM (SELECT o.class_name, o.group_id, o.n, o.rn, f.l, f.served, list_transform(range(1, {takers + 1}), lambda k: CASE WHEN {waiting} THEN 1e300::DOUBLE ELSE {urgency} END) AS u FROM f JOIN o ON f.class_name = o.class_name AND o.rn = f.rn + 1)))"""
 
 
-@query(fold_sql("20260824:split", "n DESC, ", 3, "(f.l[k] - g * [0.7, 0.15, 0.15]::DOUBLE[][k]) / greatest(g * [0.7, 0.15, 0.15]::DOUBLE[][k], 1)", True) + " SELECT class_name, group_id, n, ['train', 'validation', 'test'][taker] AS split FROM f WHERE rn > 0")
+@query(fold_sql("20260824:split", "n DESC, ", 3, "(f.l[k] - g * ([0.7::DOUBLE, 0.15::DOUBLE, 0.15::DOUBLE])[k]) / greatest(g * ([0.7::DOUBLE, 0.15::DOUBLE, 0.15::DOUBLE])[k], 1)", True) + " SELECT class_name, group_id, n, ['train', 'validation', 'test'][taker] AS split FROM f WHERE rn > 0")
 def split_assignment(spark, d):
     return partitions.split_assignment(groups(spark, d), (0.7, 0.15, 0.15), 20260824)
 

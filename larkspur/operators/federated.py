@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 import hashlib
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 

@@ -43,7 +43,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = spm.decode(spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    same = F.col("_decoded").eqNullSafe(F.translate("text", spm.SPACE, " "))
+    same = F.col("_decoded").eqNullSafe(F.replace("text", F.lit(spm.SPACE), F.lit(" ")))
     return ids.select("doc_id", F.size("_ids").alias("n_pieces"), F.col("_ids").alias("token_ids"), F.sha2("_decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
 

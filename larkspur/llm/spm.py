@@ -34,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ from larkspur.llm.words import steps
 
 SPACE = "▁"
 NEVER = float("-inf")
+#: Stretches up to this length are remembered, and only the needed places of them are asked for.
+SHORT = 64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -62,6 +65,7 @@ class Automaton:
         plain = [i for i in range(n) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i))]
         self.id = {self.piece[i]: i for i in plain}
         self.score = {self.piece[i]: self.sp.get_score(i) for i in plain}
+        self.packed = {x: np.int32(i).tobytes() for x, i in self.id.items()}
         self.byte = {i: int(self.piece[i][3:5], 16) for i in range(n) if self.sp.is_byte(i)}
         self.longest = max(len(self.piece[i]) for i in plain)
         # characters of pieces by number, and which two stand side by side in some piece
@@ -73,8 +77,9 @@ class Automaton:
             c = self.number[[ord(x) for x in self.piece[i]]]
             self.joins[c[:-1], c[1:]] = True
         self._valid: dict[tuple[str, str], bool] = {}
-        self._stretch: dict[str, list[int]] = {}
-        self.bytes = [bytes([self.byte[i]]) if i in self.byte else b"" if self.sp.is_control(i) else self.piece[i].replace(SPACE, " ").encode() for i in range(n)]
+        self._last: dict[str, str] = {}
+        self._stretch: dict[str, bytes] = {}
+        self.column = pa.array([bytes([self.byte[i]]) if i in self.byte else b"" if self.sp.is_control(i) else self.piece[i].replace(SPACE, " ").encode() for i in range(n)], pa.large_binary())
         self.byte_id = {v: k for k, v in self.byte.items()}
 
     def merged(self, text: str) -> list[str]:
@@ -95,11 +100,28 @@ class Automaton:
             got = self._valid[a, b] = self.merged(a + b) == [a, b]
         return got
 
-    def stretch(self, text: str) -> list[int]:
-        """The ids of a text between two places that no piece lies across. The path to each place is the encoding of what stands before it, so one state a place has a finite weight: that of its last piece."""
+    def stretch(self, text: str) -> bytes:
+        """The ids, of 32 bits each, of a text between two places that no piece lies across. The path to each place is the encoding of what stands before it, so one state a place has a finite weight: that of its last piece."""
         known = self._stretch.get(text)
         if known is not None:
             return known
+        if len(text) <= SHORT:
+            path = self.short(text)
+        else:
+            path, last, at = [], self.lasts(text), len(text)
+            while at:
+                path.append(last[at])
+                at -= len(last[at])
+        packed = self.packed
+        got = b"".join([packed[x] if x in packed else np.array(self.ids([x]), np.int32).tobytes() for x in reversed(path)])
+        if len(text) <= SHORT:
+            if len(self._stretch) > 300_000:
+                self._stretch.clear()
+            self._stretch[text] = got
+        return got
+
+    def lasts(self, text: str) -> list[str]:
+        """The last piece of the path to each place, from left to right."""
         ids, pairs, longest = self.id, self._valid, self.longest
         last = [""] * (len(text) + 1)
         for end in range(1, len(text) + 1):
@@ -115,16 +137,40 @@ class Automaton:
                     if ok:
                         last[end] = x
                         break
-        path, at = [], len(text)
-        while at:
-            path.append(last[at])
-            at -= len(last[at])
-        got = self.ids(path[::-1])
-        if len(text) <= 64:
-            if len(self._stretch) > 300_000:
-                self._stretch.clear()
-            self._stretch[text] = got
-        return got
+        return last
+
+    def short(self, text: str) -> list[str]:
+        """The path through a short text. As lasts, but only the places that the end asks for: a place's pieces are tried longest first, and one that begins at a place not known yet asks for that place first. A place has one such piece, so the order doesn't matter; it depends on the text before the place only, so it is remembered for all texts that begin alike."""
+        ids, pairs, longest, known = self.id, self._valid, self.longest, self._last
+        if len(known) > 300_000:
+            known.clear()
+        n = len(text)
+        # places asked for, each with the start of the piece to try next; a place asks for places before it only
+        asked = [] if text in known else [(n, max(0, n - longest))]
+        while asked:
+            end, start = asked.pop()
+            for at in range(start, end):
+                x = text[at:end]
+                if x in ids or end - at == 1:
+                    if not at:
+                        break
+                    before = known.get(text[:at])
+                    if before is None:
+                        asked += (end, at), (at, max(0, at - longest))
+                        x = ""
+                        break
+                    ok = pairs.get((before, x))
+                    if ok is None:
+                        ok = self.valid(before, x)
+                    if ok:
+                        break
+            if x:
+                known[text[:end]] = self.piece[ids[x]] if x in ids else x
+        path = []
+        while n:
+            path.append(x := known[text[:n]])
+            n -= len(x)
+        return path
 
     def traced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts that begin and end at such places, one after the other, and how many each has."""
@@ -132,22 +178,25 @@ class Automaton:
         if not glued:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         ends = np.cumsum([len(t) for t in texts])
-        number = self.number[np.frombuffer(glued.encode("utf-32-le"), np.uint32)]
+        point = np.frombuffer(glued.encode("utf-32-le"), np.uint32)
+        number = self.number[point]
         apart = np.append(~self.joins[number[:-1], number[1:]], True)
         apart[ends[ends > 0] - 1] = True
         to = np.flatnonzero(apart) + 1
         counts = np.diff(np.append(0, np.searchsorted(to, ends, side="right")))
-        cuts = [0, *to.tolist()]
-        flat = [glued[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
-        coded = pa.array(flat, pa.large_string()).dictionary_encode()
-        parts = [self.stretch(x) for x in coded.dictionary.to_pylist()]
+        # the stretches are an Arrow column over the text's bytes; only different ones become Python's
+        size = 1 + (point >= 0x80).astype(np.int8) + (point >= 0x800) + (point >= 0x10000)
+        cuts = np.append(0, np.cumsum(size, dtype=np.int64)[to - 1])
+        coded = pa.LargeStringArray.from_buffers(len(to), pa.py_buffer(cuts), pa.py_buffer(glued.encode())).dictionary_encode()
+        known = self._stretch
+        parts = [known.get(x) or self.stretch(x) for x in coded.dictionary.to_pylist()]
         code = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = np.array([len(x) for x in parts], np.int64)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         size = sizes[code]
         to = np.cumsum(size)
         at = np.repeat((np.cumsum(sizes) - sizes)[code] - (to - size), size) + np.arange(to[-1])
         total = np.append(0, to)[np.append(0, np.cumsum(counts))]
-        return np.array([i for x in parts for i in x], np.int32)[at], np.diff(total)
+        return np.frombuffer(b"".join(parts), np.int32)[at], np.diff(total)
 
     def pieces_at(self, text: str, at: int) -> list[str]:
         found = [text[at : at + n] for n in range(2, min(self.longest, len(text) - at) + 1) if text[at : at + n] in self.id]
@@ -385,16 +434,34 @@ def encode(docs: DataFrame, p: Pieces = Pieces()) -> DataFrame:
     return whole.unionByName(rows.join(ids.withColumnRenamed("_row", key), key).select(*schema.names))
 
 
+def joined(a: Automaton, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts of ids, one after the other, and where each begins (and the end). The space that the encoding put in front goes."""
+    if not len(values):
+        return np.zeros(0, np.uint8), at
+    taken = a.column.take(pa.array(values))
+    starts = np.frombuffer(taken.buffers()[1], np.int64, len(values) + 1)[at]
+    data = np.frombuffer(taken.buffers()[2] or b"", np.uint8)[: starts[-1]]
+    some = starts[:-1][np.diff(starts) > 0]
+    space = some[data[some] == 32]
+    return np.delete(data, space), starts - np.searchsorted(space, starts)
+
+
 def _decode(batches: Iterator[pa.RecordBatch], p: Pieces, ids: str, out: str) -> Iterator[pa.RecordBatch]:
-    piece = automaton(p.model).bytes
+    a = automaton(p.model)
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
             column = part[ids]
-            at, values, known = column.offsets.to_numpy(), column.values.to_numpy(), column.is_valid().to_pylist()
-            # the space that the encoding put in front goes
-            texts = [b"".join([piece[x] for x in values[a:b].tolist()]).decode("utf-8", "replace").removeprefix(" ") if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), known, strict=True)]
-            yield pa.RecordBatch.from_pydict({c: part[c] for c in part.schema.names} | {out: pa.array(texts, pa.string())})
+            at = column.offsets.to_numpy()
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            data, starts = joined(a, column.values.to_numpy()[at[0] : at[-1]], (at - at[0]).astype(np.int64))
+            found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(starts), pa.py_buffer(data)])
+            try:
+                texts = found.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:  # ids that no text has
+                texts = pa.array([x.decode("utf-8", "replace") for x in found.to_pylist()], pa.string())
+            texts = texts if known.all() else pc.if_else(pa.array(known), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_pydict({c: part[c] for c in part.schema.names} | {out: texts})
 
 
 def decode(df: DataFrame, p: Pieces = Pieces(), ids: str = "_ids", out: str = "_decoded") -> DataFrame:

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -341,6 +342,37 @@ def test_products_are_associative():
     assert spm.load(spm.dump(m[1])) == m[1]
 
 
+class Counted(dict):
+    asked = 0
+
+    def __contains__(self, key):
+        self.asked += 1
+        return super().__contains__(key)
+
+
+@needs_model
+def test_a_path_asks_for_few_pieces():
+    a = spm.Automaton(spm.MODEL)
+    r = random.Random(4)
+    words = ["".join(r.choice(["er", "ung", "tion", "ou", "th", "ein", "ño", "re", "s"]) for _ in range(r.randint(2, 5))) for _ in range(3_000)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, 3_000, 50)]
+    a.id = Counted(a.id)
+    ids, sizes = a.traced([spm.SPACE + t.replace(" ", spm.SPACE) for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [a.sp.encode(t) for t in texts]
+    assert a.id.asked < 1.6 * sum(len(w) + 1 for w in set(words))  # 2 times if every place is asked for
+
+
+@needs_model
+def test_decoding_any_ids():
+    a = spm.automaton(spm.MODEL)
+    plain = [bytes(x) for x in a.column.to_pylist()]
+    lists = [a.sp.encode("Straße ▁ 日本 x\n\n y"), [], None, a.sp.encode("  two"), [a.byte_id[0xC3]], [a.byte_id[0xE6], *a.sp.encode("abc")], [1], [1, *a.sp.encode("after a control piece")], [], a.sp.encode("end")]
+    batch = pa.RecordBatch.from_pydict({"_ids": pa.array(lists, pa.list_(pa.int32()))})
+    want = [None if x is None else b"".join(plain[i] for i in x).decode("utf-8", "replace").removeprefix(" ") for x in lists]
+    for part, texts in ((batch, want), (batch.slice(3), want[3:]), (batch.slice(1, 2), want[1:3]), (batch.slice(0, 4), want[:4])):
+        assert [t for b in spm._decode(iter([part]), spm.Pieces(), "_ids", "out") for t in b["out"].to_pylist()] == texts
+
+
 @needs_model
 def test_encode_and_decode(spark, odd):
     a = spm.automaton(spm.MODEL)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets go of finished shuffles: Spark deletes their files when the driver's garbage collector finds that nothing refers to them, which may otherwise be long after. Python's dropped frames reach the JVM within a second or so, and Spark's listeners refer to the last query until another follows, so a tiny one does."""
+    gc.collect()
+    time.sleep(1.5)
+    spark.range(1).collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def plus(df: DataFrame, ddl: str) -> T.StructType:
     """df's schema and more columns."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

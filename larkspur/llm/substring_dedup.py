@@ -19,7 +19,8 @@ one distance, ask for the words there, and each asked place answers once. A
 repeated run whose first place isn't its anchor's first place keeps the words
 that the two places don't share, fewer than passage - anchor on a side.
 
-Texts travel compressed. Nulls: a null text stays null. Rows with a null doc_id
+Texts travel compressed, and each step's shuffles are let go before the next
+step, so the disk holds the largest step's and not their sum. Nulls: a null text stays null. Rows with a null doc_id
 stay as they are and are no place of a span. Rows that share a doc_id share
 their positions: a row is changed only where its own words have the span's
 hash. Ids of any type that sorts will do. Empty tables and texts, ties and very
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.shared import cut, fresh, plus, ready
+from larkspur.llm.shared import cut, freed, fresh, plus, ready
 from larkspur.llm.words import MUL, MUL_INV, Words, mix, steps, strings
 
 
@@ -152,7 +153,9 @@ def repeated_spans(docs: DataFrame, p: SentenceSpans = SentenceSpans()) -> DataF
     made = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(lambda it: _marks(it, p), f"h long, doc_id {kind}, s int, e int")
     first = made.groupBy("h").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("h", F.col("f.doc_id").alias("first"), F.col("f.s").alias("fs"))
     # cut: so the join reads both sides from exchanges, and adaptive execution can split a hot hash
-    return made.join(cut(first), "h").filter("doc_id <> first OR s <> fs")
+    first = cut(first)
+    freed(docs.sparkSession)
+    return made.join(first, "h").filter("doc_id <> first OR s <> fs")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,6 +339,8 @@ def dedup(docs: DataFrame, p: SentenceSpans = SentenceSpans()) -> DataFrame:
         spans = spans.distinct()  # identical rows of an id have the same places
     found = spans.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "h", "first", "fs")).alias("found"))
     found = cut(found.mapInArrow(_gathered, f"doc_id {kind}, found binary, firsts array<{kind}>"))
+    del spans
+    freed(docs.sparkSession)
     told = found.select("doc_id", F.lit(None).cast("array<struct<s:int,left:boolean,words:binary>>").alias("told")).limit(0)
     if p.passage:
         asks = found.mapInArrow(lambda it: _asks(it, p), f"doc_id {kind}, s int, left boolean, first {kind}, fs int, h long")
@@ -343,6 +348,7 @@ def dedup(docs: DataFrame, p: SentenceSpans = SentenceSpans()) -> DataFrame:
         held = packed(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")).join(wanted, F.col("doc_id") == F.col("first")).select("doc_id", "text", "asks")
         # cut: so the join reads both sides from exchanges, and adaptive execution can split a hot place
         answers = cut(held.mapInArrow(lambda it: _answers(it, p), f"first {kind}, fs int, left boolean, words binary").distinct())
+        freed(docs.sparkSession)
         told = asks.join(answers, ["first", "fs", "left"]).groupBy("doc_id").agg(F.collect_list(F.struct("s", "left", "words")).alias("told"))
     names = tuple(fresh(docs, x) for x in ("found", "firsts", "told"))
     changes = found.join(told, "doc_id", "left").select(F.col("doc_id").alias(own := fresh(docs, "id")), *(F.col(c).alias(x) for c, x in zip(("found", "firsts", "told"), names, strict=True)))

@@ -14,8 +14,9 @@ import pyarrow as pa
 import xxhash
 
 STEP_CHARS = 3_000_000
-_DROP = re.compile(r"[\W_]+")
+_DROP = re.compile(r"[^\w\n]+")
 _END = re.compile(r"[.!?…]+[\"'»”’)\]]*$")
+_CLOSING = frozenset(".!?…\"'»”’)]")
 MUL = np.uint64(0x9E3779B97F4A7C15)
 MUL_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -62,8 +63,10 @@ class Words:
         encoded = pa.array(flat, pa.large_string()).dictionary_encode()
         del flat
         unique = encoded.dictionary.to_pylist()
-        plain = [_DROP.sub("", w.lower()) for w in unique]
-        values = np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 if w else 0 for w in plain), np.uint64, len(plain))
+        # all words at once: none has a line end
+        plain = _DROP.sub("", "\n".join(unique).lower().replace("_", "-")).split("\n") if unique else []
+        values = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain)) | np.uint64(1)
+        values[np.fromiter(map(len, plain), np.int64, len(plain)) == 0] = 0
         code = encoded.indices.to_numpy(zero_copy_only=False)
         hashes = values[code] if len(code) else np.zeros(0, np.uint64)
         keep = hashes != 0
@@ -72,7 +75,7 @@ class Words:
         self.first = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(np.bincount(text[keep], minlength=len(texts)), out=self.first[1:])
         if sentences:
-            closes = np.fromiter((bool(_END.search(w)) for w in unique), bool, len(unique))[code] if len(code) else np.zeros(0, bool)
+            closes = np.array([w[-1] in _CLOSING and _END.search(w) is not None for w in unique], bool)[code] if len(code) else np.zeros(0, bool)
             at = np.array(breaks, np.int64)
             closes[at[at >= 0]] = True
             # what stands between a word and the next counts for the word

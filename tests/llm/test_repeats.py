@@ -55,6 +55,23 @@ def test_equal_rows_lose_a_passage_once(spark):
     assert len(out) == 1 and out[0]["n"] == 3_000 and passage.split()[30] not in out[0]["text"] and len(out[0]["r"]) == 1
 
 
+def test_finished_shuffles_leave_the_disk(spark):
+    passage = words(5, 70)
+    df = docs(spark, [(i, words(100 + i, 40) + ". " + passage) for i in range(40)])
+
+    def shuffles():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    out = substring_dedup.dedup(df, substring_dedup.WHOLE)
+    until = time.time() + 20
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert out.filter(F.size("_ranges") > 0).count() == 39
+
+
 def plain_windows(at, values, reach, whole, least):
     out, last = [], -1
     for s in at:

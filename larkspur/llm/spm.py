@@ -115,7 +115,7 @@ class Automaton:
         packed = self.packed
         got = b"".join([packed[x] if x in packed else np.array(self.ids([x]), np.int32).tobytes() for x in reversed(path)])
         if len(text) <= SHORT:
-            if len(self._stretch) > 300_000:
+            if len(self._stretch) > 150_000:
                 self._stretch.clear()
             self._stretch[text] = got
         return got
@@ -142,7 +142,7 @@ class Automaton:
     def short(self, text: str) -> list[str]:
         """The path through a short text. As lasts, but only the places that the end asks for: a place's pieces are tried longest first, and one that begins at a place not known yet asks for that place first. A place has one such piece, so the order doesn't matter; it depends on the text before the place only, so it is remembered for all texts that begin alike."""
         ids, pairs, longest, known = self.id, self._valid, self.longest, self._last
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         n = len(text)
         # places asked for, each with the start of the piece to try next; a place asks for places before it only

@@ -63,10 +63,12 @@ class Words:
         encoded = pa.array(flat, pa.large_string()).dictionary_encode()
         del flat
         unique = encoded.dictionary.to_pylist()
-        # all words at once: none has a line end
-        plain = _DROP.sub("", "\n".join(unique).lower().replace("_", "-")).split("\n") if unique else []
-        values = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain)) | np.uint64(1)
-        values[np.fromiter(map(len, plain), np.int64, len(plain)) == 0] = 0
+        values = np.zeros(len(unique), np.uint64)
+        for k in range(0, len(unique), 5_000):  # many words at once, but no long copies of them; none has a line end
+            plain = _DROP.sub("", "\n".join(unique[k : k + 5_000]).lower().replace("_", "-")).split("\n")
+            part = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain)) | np.uint64(1)
+            part[np.fromiter(map(len, plain), np.int64, len(plain)) == 0] = 0
+            values[k : k + 5_000] = part
         code = encoded.indices.to_numpy(zero_copy_only=False)
         hashes = values[code] if len(code) else np.zeros(0, np.uint64)
         keep = hashes != 0

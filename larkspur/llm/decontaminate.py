@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import fresh, ready
+from larkspur.llm.shared import fresh, ready, released
 from larkspur.llm.words import mix, steps, strings
 
 _GAP = re.compile(r"[\W_]+")
@@ -295,10 +295,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: LeakSearch = LeakSearch()) -
     rows = docs.filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("tk"))
     parts = []
     for n in range(blocks):
-        block = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).distinct().orderBy("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(Items(block, p))
-        ids = benchmark.sparkSession.createDataFrame([(k, i) for k, (i, _) in enumerate(block)], f"item long, item_id {benchmark.schema['item_id'].dataType.simpleString()}")
-        found = rows.mapInArrow(lambda it, s=shared: _leaks(it, s.value), f"doc_id {kind}, item long, edits int, start int, end int, tk long")
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).distinct().orderBy("item_id", "text").toArrow()
+        shared = spark.sparkContext.broadcast(Items(list(zip(block["item_id"].to_pylist(), block["text"].to_pylist(), strict=True)), p))
+        # from an Arrow table: a list of rows would go through Python workers of its own kind, which stay as well
+        ids = spark.createDataFrame(block.select(["item_id"]).append_column("item", pa.array(range(block.num_rows), pa.int64())))
+        found = rows.mapInArrow(lambda it, s=shared: released(_leaks(it, s.value)), f"doc_id {kind}, item long, edits int, start int, end int, tk long")
         parts.append(found.join(ids, "item").drop("item"))
     return reduce(DataFrame.unionByName, parts).select("doc_id", "item_id", "edits", "start", "end", "tk")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import components, cut, fresh, ready
+from larkspur.llm.shared import components, cut, fresh, ready, released
 from larkspur.llm.words import MinHash, Words, mix, shingles, steps, strings, whole_groups
 
 
@@ -222,7 +222,7 @@ def _dealt(df: DataFrame, key: str, count: str, block: int, id_col: str = "fp")
 def signatures(docs: DataFrame, p: JaccardJoin) -> DataFrame:
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _signatures(it, p), f"doc_id {kind}, tk long, fp binary, sig binary")
+    return rows.mapInArrow(lambda it: released(_signatures(it, p)), f"doc_id {kind}, tk long, fp binary, sig binary")
 
 
 def classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -235,7 +235,7 @@ def classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
     bands = reps.select("fp", F.explode(buckets).alias("bucket"))
     # sums are cut before they are joined back: the join then reads exchanges on both sides, and a hot key can be split
     members = bands.join(cut(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")), "bucket").join(reps.select("fp", "sig"), "fp")
-    edges = _dealt(members, "bucket", "n", p.bucket_block).mapInArrow(lambda it: _candidates(it, p), "a binary, b binary")
+    edges = _dealt(members, "bucket", "n", p.bucket_block).mapInArrow(lambda it: released(_candidates(it, p)), "a binary, b binary")
     near = components(edges)
     sized = near.join(cut(near.groupBy("root").agg(F.count("*").alias("n"))), "root").join(reps.select(F.col("fp").alias("node"), "rep", "weight"), "node")
     sized = sized.select(F.col("node").alias("fp"), F.xxhash64("root").alias("root"), "n", "weight", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tk").alias("rep_tk"))
@@ -243,8 +243,8 @@ def classes(docs: DataFrame, p: JaccardJoin = JaccardJoin()) -> DataFrame:
     found = sized.alias("s").join(text.alias("t"), F.expr("s.rep_tk = t.rep_tk AND s.rep_id <=> t.rep_id")).select("s.fp", "s.root", "s.n", "s.weight", "t.text")
     if not rows.groupBy("doc_id", "tk").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
         found = found.dropDuplicates(["fp"])  # every one of the representative's identical rows has joined
-    sets = found.mapInArrow(lambda it: _sets(it, p), "fp binary, root long, n long, weight long, sets binary")
-    checked = cut(_dealt(sets, "root", "n", p.verify_block).mapInArrow(lambda it: _verify(it, p), "fp binary, links long, label binary"))
+    sets = found.mapInArrow(lambda it: released(_sets(it, p)), "fp binary, root long, n long, weight long, sets binary")
+    checked = cut(_dealt(sets, "root", "n", p.verify_block).mapInArrow(lambda it: released(_verify(it, p)), "fp binary, links long, label binary"))
     roots = components(checked.select(F.col("fp").alias("a"), F.col("label").alias("b")))
     links = checked.groupBy("fp").agg(F.sum("links").alias("links"))
     own = reps.join(links, "fp", "left").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -7,7 +7,9 @@ import os
 import re
 import tempfile
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,13 +17,13 @@ from pyspark.sql import types as T
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def ready(spark: SparkSession, rows: int = 2_000) -> SparkSession:
+def ready(spark: SparkSession, rows: int = 1_000) -> SparkSession:
     """Lets Python workers import this package and bounds the Arrow batches they get."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # many very long texts in a row
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")  # many very long texts in a row
     return spark
 
 
@@ -56,6 +58,12 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's batches; after the last one Arrow's pool gives back what it keeps, since the Python worker stays for later tasks and stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def plus(df: DataFrame, ddl: str) -> T.StructType:
     """df's schema and more columns."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

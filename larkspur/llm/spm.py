@@ -39,7 +39,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import cut, fresh, plus, ready
+from larkspur.llm.shared import cut, fresh, plus, ready, released
 from larkspur.llm.words import steps
 
 SPACE = "▁"
@@ -100,6 +100,12 @@ class Automaton:
             got = self._valid[a, b] = self.merged(a + b) == [a, b]
         return got
 
+    def forget(self) -> None:
+        """Drops what is remembered: it saves work inside a task, and next to none in the tasks after it."""
+        self._valid.clear()
+        self._last.clear()
+        self._stretch.clear()
+
     def stretch(self, text: str) -> bytes:
         """The ids, of 32 bits each, of a text between two places that no piece lies across. The path to each place is the encoding of what stands before it, so one state a place has a finite weight: that of its last piece."""
         known = self._stretch.get(text)
@@ -348,6 +354,7 @@ def _transfers(batches: Iterator[pa.RecordBatch], p: Pieces) -> Iterator[pa.Reco
     for batch in batches:
         found = [dump(transfer(a, t, s, e)) for t, s, e in zip(batch["around"].to_pylist(), batch["s"].to_pylist(), batch["e"].to_pylist(), strict=True)]
         yield pa.RecordBatch.from_pydict({"_row": batch["_row"], "n": batch["n"], "matrix": pa.array(found, pa.string())})
+    a.forget()
 
 
 def _borders(rows: pa.Table) -> pa.Table:
@@ -361,6 +368,7 @@ def _traces(batches: Iterator[pa.RecordBatch], p: Pieces) -> Iterator[pa.RecordB
     for batch in batches:
         ids = [trace(a, r["around"], r["s"], r["e"], (r["enter"], r["enter_at"]), (r["leave"], r["leave_at"])) for r in batch.to_pylist()]
         yield pa.RecordBatch.from_pydict({"_row": batch["_row"], "n": batch["n"], "ids": lists(ids)})
+    a.forget()
 
 
 def dump(m: Matrix) -> str:
@@ -412,6 +420,7 @@ def _single(batches: Iterator[pa.RecordBatch], p: Pieces) -> Iterator[pa.RecordB
             missing = np.array([t is None for t in part], bool)
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values), mask=pa.array(missing) if missing.any() else None)
             yield pa.RecordBatch.from_pydict({c: batch[c].slice(k, e - k) for c in batch.schema.names} | {"_ids": ids})
+    a.forget()
 
 
 def encode(docs: DataFrame, p: Pieces = Pieces()) -> DataFrame:
@@ -421,15 +430,15 @@ def encode(docs: DataFrame, p: Pieces = Pieces()) -> DataFrame:
     key = fresh(docs, "row")
     schema = plus(docs, "_ids array<int>")
     giant = F.coalesce(F.length("text") + 1 > p.chunk + p.chunk // 2, F.lit(False))
-    whole = docs.filter(~giant).mapInArrow(lambda it: _single(it, p), schema)
+    whole = docs.filter(~giant).mapInArrow(lambda it: released(_single(it, p)), schema)
     rows = cut(docs.filter(giant).withColumn(key, F.monotonically_increasing_id()))
     if rows.isEmpty():
         return whole
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = rows.select(F.col(key).alias("_row"), "text").mapInArrow(lambda it: _chunks(it, p), "_row long, n int, around string, s int, e int").repartition(n, "_row", "n")
-    matrices = chunks.mapInArrow(lambda it: _transfers(it, p), "_row long, n int, matrix string")
+    chunks = rows.select(F.col(key).alias("_row"), "text").mapInArrow(lambda it: released(_chunks(it, p)), "_row long, n int, around string, s int, e int").repartition(n, "_row", "n")
+    matrices = chunks.mapInArrow(lambda it: released(_transfers(it, p)), "_row long, n int, matrix string")
     states = matrices.groupBy("_row").applyInArrow(_borders, "_row long, n int, enter string, enter_at int, leave string, leave_at int")
-    ids = chunks.join(states, ["_row", "n"]).mapInArrow(lambda it: _traces(it, p), "_row long, n int, ids array<int>")
+    ids = chunks.join(states, ["_row", "n"]).mapInArrow(lambda it: released(_traces(it, p)), "_row long, n int, ids array<int>")
     ids = ids.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("_ids"))
     return whole.unionByName(rows.join(ids.withColumnRenamed("_row", key), key).select(*schema.names))
 
@@ -468,4 +477,4 @@ def decode(df: DataFrame, p: Pieces = Pieces(), ids: str = "_ids", out: str = "_
     """df with the text that the ids stand for."""
     ready(df.sparkSession)
     df = df.drop(out)
-    return df.mapInArrow(lambda it: _decode(it, p, ids, out), plus(df, f"{out} string"))
+    return df.mapInArrow(lambda it: released(_decode(it, p, ids, out)), plus(df, f"{out} string"))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.shared import cut, freed, fresh, plus, ready
+from larkspur.llm.shared import cut, freed, fresh, plus, ready, released
 from larkspur.llm.words import MUL, MUL_INV, Words, mix, steps, strings
 
 
@@ -150,7 +150,7 @@ def repeated_spans(docs: DataFrame, p: SentenceSpans = SentenceSpans()) -> DataF
     """Spans at other places than their first: h, doc_id, s, e (words), first and fs (the first place's doc_id and word)."""
     ready(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(lambda it: _marks(it, p), f"h long, doc_id {kind}, s int, e int")
+    made = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(lambda it: released(_marks(it, p)), f"h long, doc_id {kind}, s int, e int")
     first = made.groupBy("h").agg(F.min(F.struct("doc_id", "s")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("h", F.col("f.doc_id").alias("first"), F.col("f.s").alias("fs"))
     # cut: so the join reads both sides from exchanges, and adaptive execution can split a hot hash
     first = cut(first)
@@ -343,14 +343,14 @@ def dedup(docs: DataFrame, p: SentenceSpans = SentenceSpans()) -> DataFrame:
     freed(docs.sparkSession)
     told = found.select("doc_id", F.lit(None).cast("array<struct<s:int,left:boolean,words:binary>>").alias("told")).limit(0)
     if p.passage:
-        asks = found.mapInArrow(lambda it: _asks(it, p), f"doc_id {kind}, s int, left boolean, first {kind}, fs int, h long")
+        asks = found.mapInArrow(lambda it: released(_asks(it, p)), f"doc_id {kind}, s int, left boolean, first {kind}, fs int, h long")
         wanted = asks.groupBy("first").agg(F.collect_set(F.struct("fs", "h", "left")).alias("asks"))
         held = packed(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")).join(wanted, F.col("doc_id") == F.col("first")).select("doc_id", "text", "asks")
         # cut: so the join reads both sides from exchanges, and adaptive execution can split a hot place
-        answers = cut(held.mapInArrow(lambda it: _answers(it, p), f"first {kind}, fs int, left boolean, words binary").distinct())
+        answers = cut(held.mapInArrow(lambda it: released(_answers(it, p)), f"first {kind}, fs int, left boolean, words binary").distinct())
         freed(docs.sparkSession)
         told = asks.join(answers, ["first", "fs", "left"]).groupBy("doc_id").agg(F.collect_list(F.struct("s", "left", "words")).alias("told"))
     names = tuple(fresh(docs, x) for x in ("found", "firsts", "told"))
     changes = found.join(told, "doc_id", "left").select(F.col("doc_id").alias(own := fresh(docs, "id")), *(F.col(c).alias(x) for c, x in zip(("found", "firsts", "told"), names, strict=True)))
     joined = packed(docs).join(changes, F.col("doc_id") == F.col(own), "left").drop(own)
-    return joined.mapInArrow(lambda it: _remove(it, p, names), plus(docs, f"_ranges array<struct<start:int,end:int>>, _firsts array<{kind}>"))
+    return joined.mapInArrow(lambda it: released(_remove(it, p, names)), plus(docs, f"_ranges array<struct<start:int,end:int>>, _firsts array<{kind}>"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import held_out, plus, ready
+from larkspur.llm.shared import held_out, plus, ready, released
 from larkspur.llm.words import strings
 
 #: Look-alike letters, and digits and signs written for letters.
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityFit = ToxicityFit()) -> L
         return lexicon
     ratio = lambda x, y: F.log((F.col(x) + 0.5) / (toxic + 1)) - F.log((F.col(y) + 0.5) / (other + 1))
     marked = rows.select("text", (F.col("label") == 1).alias("label"))
-    counts = marked.mapInArrow(lambda it: _counts(it, p), "gram string, tox long, other long, tox2 long, other2 long, contexts long")
+    counts = marked.mapInArrow(lambda it: released(_counts(it, p)), "gram string, tox long, other long, tox2 long, other2 long, contexts long")
     counts = counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("tox", "other", "tox2", "other2")), F.bit_count(F.bit_or("contexts")).alias("contexts"))
     counts = counts.withColumn("weight", ratio("tox", "other")).withColumn("weight2", ratio("tox2", "other2"))
     # evidence: how surely a ratio isn't chance (the signed root of the likelihood ratio's main term)
@@ -213,9 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityFit = ToxicityFit()) -> L
             chosen[best["gram"]] = float(min(best["weight"], 6.0))
     lexicon.weights = dict(sorted(chosen.items()))
     if lexicon.weights:
-        said = marked.mapInArrow(lambda it: _found_phrases(it, lexicon), "phrase string, tox long, other long").groupBy("phrase").agg(F.sum("tox").alias("tox"), F.sum("other").alias("other"))
+        said = marked.mapInArrow(lambda it: released(_found_phrases(it, lexicon)), "phrase string, tox long, other long").groupBy("phrase").agg(F.sum("tox").alias("tox"), F.sum("other").alias("other"))
         lexicon.exceptions = {r["phrase"] for r in said.filter((F.col("other") >= p.least_documents) & (ratio("tox", "other") < 0)).select("phrase").collect()}
-    got = rows.mapInArrow(lambda it: _match_rows(it, lexicon), "label int, total double, count long, words long").collect()
+    got = rows.mapInArrow(lambda it: released(_match_rows(it, lexicon)), "label int, total double, count long, words long").collect()
     rows.unpersist()
     x = np.array([_values(r["total"], r["count"], r["words"]) for r in got])
     y = np.array([float(r["label"] == 1) for r in got])
@@ -240,4 +240,4 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """docs with _score (0 to 1) and _hits (matched words). Columns of docs with these names are replaced."""
     ready(docs.sparkSession)
     docs = docs.drop("_score", "_hits")
-    return docs.mapInArrow(lambda it: _scores(it, lexicon), plus(docs, "_score double, _hits bigint"))
+    return docs.mapInArrow(lambda it: released(_scores(it, lexicon)), plus(docs, "_score double, _hits bigint"))
